@@ -38,11 +38,8 @@ def order_statistics(
     few values are ordered, so a group holding most of the table stays spread out.
     Groups of at most ``accuracy`` rows, and inputs proven small, skip the sketch.
     """
-    spark = df.sparkSession
     keys = list(groups)
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    if not keys:
-        data, keys = data.withColumn("_g", F.lit(0)), ["_g"]
     if small is None:
         small = is_small(data)
 
@@ -75,7 +72,11 @@ def order_statistics(
         )
     wanted = sketch.select(*keys, "n", F.inline(F.array(*targets))).filter("_pos >= 0")
 
-    near = data.join(bounded_side(wanted), keys).filter("_high IS NULL OR _v <= _high")
+    if keys:
+        near = data.join(bounded_side(wanted), keys)
+    else:
+        near = _with_rows(data, wanted)
+    near = near.filter("_high IS NULL OR _v <= _high")
     inside = F.col("_low").isNull() | (F.col("_v") >= F.col("_low"))
     counted = near.groupBy(
         *keys, "target", "n", "_pos", F.when(inside, F.col("_v")).alias("_key")
@@ -99,6 +100,20 @@ def order_statistics(
     return found.select(*groups, "target", "n", statistic.alias("statistic"))
 
 
+def _with_rows(df: DataFrame, side: DataFrame) -> DataFrame:
+    """Every row beside each row of a one-per-target side, written as literals."""
+    rows = side.collect()
+    if not rows:
+        return df.withColumns(
+            {f.name: F.lit(None).cast(f.dataType) for f in side.schema}
+        ).filter(F.lit(False))
+    literals = [
+        F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in side.schema])
+        for r in rows
+    ]
+    return df.select("*", F.inline(F.array(*literals)))
+
+
 def exact_quantiles(
     df: DataFrame,
     groups: Sequence[str],

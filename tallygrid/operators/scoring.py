@@ -94,8 +94,12 @@ JUDGEMENT = T.StructType(
 
 def strip_fences(raw: Column) -> Column:
     """Without one opening code fence, with or without "json", and one closing fence."""
-    opened = F.regexp_replace(F.regexp_replace(F.trim(raw), "^```json", ""), "^```", "")
-    return F.regexp_replace(F.regexp_replace(opened, "```$", ""), r"^\s+|\s+$", "")
+
+    def strip(text: Column) -> Column:
+        return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+    opened = F.regexp_replace(F.regexp_replace(strip(raw), "^```json", ""), "^```", "")
+    return strip(F.regexp_replace(opened, "```$", ""))
 
 
 def parse_judgements(df: DataFrame, raw: str = "raw") -> DataFrame:

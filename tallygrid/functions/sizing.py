@@ -15,7 +15,7 @@ SIDE_ROWS = 10_000
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimized plan, in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:

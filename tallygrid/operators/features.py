@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.numeric import guarded_ratio, zero_if_null
+from ..functions.numeric import guarded_ratio, mean, zero_if_null
 from ..functions.selection import exact_quantiles
 from ..functions.sizing import is_small
 from ..schemas import FeatureSpec, Names
@@ -32,7 +32,7 @@ def feature_base(
         .groupBy(names.entity)
         .agg(
             *[F.sum(c).alias(c) for c in sums],
-            *[F.avg(F.col(c).cast("double")).alias(c) for c in means],
+            *[mean(F.col(c)).alias(c) for c in means],
             *[F.max(c).alias(c) for c in maxima],
         )
     )
@@ -63,7 +63,7 @@ def category_pivot(
         F.sum(count).alias("all_events"),
         F.sum(names.event_severe).alias("all_severe"),
         F.sum(names.event_minor).alias("all_minor"),
-        F.avg(F.col(names.event_avg_damage).cast("double")).alias("mean_damage"),
+        mean(F.col(names.event_avg_damage)).alias("mean_damage"),
         F.sum(damage).alias("all_total_damage"),
         *columns,
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ("gold",)
+SUBJECTS = ("gold", "features", "monitoring")
 
 
 def _merged(attribute: str) -> dict:

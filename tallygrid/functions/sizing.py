@@ -22,6 +22,17 @@ def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
     return plan_bytes(df) <= limit
 
 
+def spread(df: DataFrame, limit: int = 16 * SMALL_BYTES) -> DataFrame:
+    """Even rows over all cores before per-row heavy work, if the input is small.
+
+    A small file is often a single row group, which one task would read and process
+    alone.  Large inputs have row groups to go round and are left as they lie.
+    """
+    if not is_small(df, limit):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def bounded_side(df: DataFrame, max_rows: int = SIDE_ROWS) -> DataFrame:
     """A join side that is broadcast if it really has at most ``max_rows`` rows.
 

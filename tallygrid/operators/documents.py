@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.sizing import spread
 from ..functions.text import first_contained, squeeze_whitespace
 from ..vocabulary import CHUNK_TAGS
 
@@ -24,22 +25,6 @@ def normalize_text(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, squeeze_whitespace(F.col(text)))
 
 
-def _windows(text: Column, width: int, stride: int) -> Column:
-    """Array of windows of ``width`` characters, one every ``stride``.
-
-    The text is cut once into blocks of ``stride`` and a window joins the blocks it
-    spans, which is linear in the text; a substring per window would rescan it.
-    """
-    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{stride}}}"), F.lit(0))
-    spanned = -(-width // stride)
-    return F.transform(
-        blocks,
-        lambda block, i: F.substring(
-            F.array_join(F.slice(blocks, i + 1, F.lit(spanned)), ""), 1, width
-        ),
-    )
-
-
 def chunk_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 512, overlap: int = 64
 ) -> DataFrame:
@@ -53,14 +38,25 @@ def chunk_documents(
     width = size * CHARS_PER_TOKEN
     stride = width - overlap * CHARS_PER_TOKEN
     source = F.col(key).cast("string")
-    chunks = (
-        docs.select(F.col(key), squeeze_whitespace(F.col(text)).alias("_text"))
-        .filter("_text <> ''")
-        .select(
-            key,
-            F.ceil(F.length("_text") / stride).cast("int").alias("total_chunks"),
-            F.posexplode(_windows(F.col("_text"), width, stride)).alias("chunk_index", "text"),
-        )
+    # The text is cut once into blocks of one stride; a chunk joins the blocks it spans,
+    # which is linear in the text where a substring per chunk would rescan it.  Blocks are
+    # a column of their own so that they are computed once per document.
+    blocks = F.regexp_extract_all(
+        squeeze_whitespace(F.col(text)), F.lit(rf"(?s).{{1,{stride}}}"), F.lit(0)
+    )
+    spanned = -(-width // stride)
+    cut = spread(docs.select(key, text)).select(key, blocks.alias("_blocks"))
+    windows = F.transform(
+        "_blocks",
+        lambda _, i: F.substring(
+            F.array_join(F.slice("_blocks", i + 1, F.lit(spanned)), ""), 1, width
+        ),
+    )
+    # No blocks, no chunks: blank documents need no filter.
+    chunks = cut.select(
+        key,
+        F.size("_blocks").alias("total_chunks"),
+        F.posexplode(windows).alias("chunk_index", "text"),
     )
     return chunks.select(
         F.md5(F.concat(source, F.lit("::"), F.col("chunk_index").cast("string"))).alias("id"),
@@ -80,7 +76,8 @@ def tag_chunks(
 ) -> DataFrame:
     """First vocabulary term, in list order, that a chunk contains."""
     terms = {term: term for term in vocabulary}
-    return chunks.withColumn(name, first_contained(F.lower(text), terms, default))
+    lowered = chunks.withColumn("_lower", F.lower(text))
+    return lowered.withColumn(name, first_contained(F.col("_lower"), terms, default)).drop("_lower")
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:

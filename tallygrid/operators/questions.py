@@ -34,6 +34,11 @@ def _group(text: Column, pattern: str, index: int = 1) -> Column:
     return F.regexp_extract(text, _unicode(pattern), index)
 
 
+def _with_lower(df: DataFrame, question: str) -> DataFrame:
+    """The lower-cased question as a column, computed once for all rules."""
+    return df.withColumn("_lower", F.lower(question))
+
+
 def _any_signal(text: Column, patterns: Sequence[str]) -> Column:
     return any_match(text, [_unicode(p) for p in patterns])
 
@@ -77,9 +82,8 @@ def extract_limit(
 def extract_category(questions: DataFrame, question: str = "question") -> DataFrame:
     """Category of the longest phrase in the question, else "all"."""
     phrases = longest_first(words.CATEGORY_PHRASES)
-    return questions.withColumn(
-        "category", first_contained(F.lower(question), phrases, ALL)
-    )
+    category = first_contained(F.col("_lower"), phrases, ALL)
+    return _with_lower(questions, question).withColumn("category", category).drop("_lower")
 
 
 def _state_name(lower: Column) -> Column:
@@ -95,13 +99,17 @@ def _state_name(lower: Column) -> Column:
 def extract_group(questions: DataFrame, question: str = "question") -> DataFrame:
     """Full state name: written out, or a code after a comma, "in" or "County"."""
     q = F.col(question)
-    code = _group(q, words.STATE_CODE)
-    by_code = None
+    code, by_code = F.col("_code"), None
     for name, abbreviation in words.STATES.items():
         hit = code == abbreviation
         by_code = F.when(hit, name) if by_code is None else by_code.when(hit, name)
-    state = F.initcap(F.coalesce(_state_name(F.lower(q)), by_code, F.lit("")))
-    return questions.withColumn("group_name", state)
+    state = F.initcap(F.coalesce(_state_name(F.col("_lower")), by_code, F.lit("")))
+    return (
+        _with_lower(questions, question)
+        .withColumn("_code", _group(q, words.STATE_CODE))
+        .withColumn("group_name", state)
+        .drop("_lower", "_code")
+    )
 
 
 def extract_entity(questions: DataFrame, question: str = "question") -> DataFrame:
@@ -142,7 +150,7 @@ def tag_template(
     An ordered pattern list chooses the report; a named category, a tracked category or a
     state scope then moves it to a narrower one.
     """
-    lower = F.lower(question)
+    lower = F.col("_lower")
     chain = None
     for name, pattern in words.REPORT_PATTERNS:
         hit = _found(lower, pattern)
@@ -150,7 +158,7 @@ def tag_template(
     out = extract_category(extract_limit(extract_years(questions, question=question),
                                          default_limit, question), question)
     out = period_split(
-        out.withColumns(
+        _with_lower(out, question).withColumns(
             {
                 "_report": chain.otherwise(words.DEFAULT_REPORT),
                 "_state": _state_name(lower),
@@ -184,7 +192,7 @@ def tag_template(
             "group_name": F.when(kind == "top_entities_in_group", F.col("_state")),
             **{p: F.when(increase, F.col(p)) for p in periods},
         }
-    ).drop("_report", "_state", "_scoped")
+    ).drop("_lower", "_report", "_state", "_scoped")
 
 
 def route_questions(questions: DataFrame, question: str = "question") -> DataFrame:
@@ -193,8 +201,8 @@ def route_questions(questions: DataFrame, question: str = "question") -> DataFra
     A prediction needs a county: without one, mixed questions stay analytic.  Analytics
     and explanation combine only on a strong wish for explanation.
     """
-    q, lower = F.col(question), F.lower(question)
-    out = questions.withColumns(
+    q, lower = F.col(question), F.col("_lower")
+    out = _with_lower(questions, question).withColumns(
         {
             "_predict": _any_signal(lower, words.PREDICT_SIGNALS),
             "_query": _any_signal(lower, words.QUERY_SIGNALS),
@@ -218,7 +226,7 @@ def route_questions(questions: DataFrame, question: str = "question") -> DataFra
     return (
         out.withColumn("tools", chosen)
         .withColumn("is_hybrid", F.size("tools") > 1)
-        .drop("_predict", "_query", "_ask", "_county")
+        .drop("_lower", "_predict", "_query", "_ask", "_county")
     )
 
 
@@ -255,9 +263,9 @@ def quality_notes(
     Codes: ``years`` outside coverage, ``not_filtered`` by the named category,
     ``storm_record`` / ``fire_record`` incomplete, ``frequency`` is not risk, ``all_zero``.
     """
-    lower = F.lower(question)
+    lower = F.col("_lower")
     report = F.col(template)
-    out = extract_category(questions, question).withColumn(
+    out = _with_lower(extract_category(questions, question), question).withColumn(
         "_outside", F.size(_outside_years(F.col(question), first, last)) > 0
     )
     category = F.col("category")
@@ -274,7 +282,7 @@ def quality_notes(
         .when(F.col(all_zero), "all_zero")
         .otherwise("")
     )
-    return out.withColumn("note", note).drop("_outside")
+    return out.withColumn("note", note).drop("_outside", "_lower")
 
 
 def all_zero_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -176,7 +176,7 @@ def build_context(
     header = F.concat(
         F.lit("[Source "), F.col("_n").cast("string"), F.lit(": "),
         F.coalesce(F.col(source).cast("string"), F.lit("Unknown source")), named,
-        F.lit(" | similarity="), F.format_string("%.2f", F.col("score")), F.lit("]\n"),
+        F.lit(" | similarity="), F.format_number("score", 2), F.lit("]\n"),
     )
     part = F.concat(header, F.coalesce(F.col(text), F.lit("")))
     return (

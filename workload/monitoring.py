@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallygrid.functions.numeric import rounded
+from tallygrid.functions.sizing import bounded_side
 from tallygrid.operators import drift
 from tallygrid.sources.readers import coerce_numeric, parse_capture
 from tallygrid.streaming.capture import daily_feature_stats
@@ -42,6 +43,11 @@ def _baseline(spark, sf_dir):
     )
 
 
+def _stored(df):
+    """A baseline as a job would read it back: features x bins rows, computed once."""
+    return bounded_side(df)
+
+
 def _hist_columns(df):
     return df.select(
         "feature", "bin", rounded(F.col("edge_lo"), 6).alias("edge_lo"), "rows",
@@ -55,19 +61,21 @@ def _histogram(spark, sf_dir):
 
 def _recent(spark, sf_dir):
     base, recent = _shifted(spark, sf_dir)
-    return _hist_columns(drift.recent_histogram(recent, drift.histogram(base)))
+    return _hist_columns(drift.recent_histogram(recent, _stored(drift.histogram(base))))
 
 
 def _kl(spark, sf_dir):
     base, recent = _shifted(spark, sf_dir)
-    reference = drift.histogram(base)
+    reference = _stored(drift.histogram(base))
     kl = drift.kl_drift(drift.recent_histogram(recent, reference), reference)
     return kl.select("feature", rounded(F.col("kl_divergence"), 6).alias("kl_divergence"))
 
 
 def _full_report(spark, sf_dir):
     base, recent = _shifted(spark, sf_dir)
-    return drift.drift_report(recent, drift.baseline_stats(base), drift.histogram(base))
+    return drift.drift_report(
+        recent, _stored(drift.baseline_stats(base)), _stored(drift.histogram(base))
+    )
 
 
 def _report(spark, sf_dir):

@@ -63,16 +63,19 @@ def tertile_by_rank(
     return df.join(tiers, key, "left")
 
 
-def split_hash(key: str, seed: int) -> Column:
-    """52 pseudo-random bits of ``key``, exact in a double."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+def split_hash(key: str, seed: int, purpose: str = "") -> Column:
+    """52 pseudo-random bits of ``key``, exact in a double.
+
+    Different purposes draw independent bits from the same seed.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:{purpose}"), F.col(key).cast("string")))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
 
 
 def _cut_points(
-    df: DataFrame, stratum: str, key: str, seed: int, probs: Sequence[float], position
+    df: DataFrame, stratum: str, key: Column, probs: Sequence[float], position
 ) -> tuple[DataFrame, DataFrame]:
-    hashed = df.withColumn("_hash", split_hash(key, seed))
+    hashed = df.withColumn("_hash", key)
     cuts = order_statistics(hashed, [stratum], "_hash", probs, position)
     per_stratum = cuts.groupBy(stratum).agg(
         *[
@@ -95,7 +98,9 @@ def stratified_split(
     def last_train_row(n: Column, p: float) -> Column:
         return F.floor(n * F.lit(p) + F.lit(0.5)) - 1
 
-    hashed, cuts = _cut_points(df, stratum, key, seed, [ratio], last_train_row)
+    hashed, cuts = _cut_points(
+        df, stratum, split_hash(key, seed), [ratio], last_train_row
+    )
     chosen = F.coalesce(F.col("_hash") <= F.col("_cut0"), F.lit(False))
     return (
         hashed.join(cuts, stratum, "left").withColumn(name, chosen).drop("_hash", "_cut0")
@@ -105,14 +110,19 @@ def stratified_split(
 def stratified_folds(
     df: DataFrame, stratum: str, key: str, k: int = 5, seed: int = 42, name: str = "fold"
 ) -> DataFrame:
-    """Fold 0..k-1 per row; every fold holds its share of each stratum within one row."""
+    """Fold 0..k-1 per row; every fold holds its share of each stratum within one row.
+
+    Folds are independent of a split with the same seed.
+    """
 
     def last_row_of_fold(n: Column, p: float) -> Column:
         part = int(round(p * k))
         return F.floor((n * part + (k - 1)) / k) - 1
 
     probs = [i / k for i in range(1, k)]
-    hashed, cuts = _cut_points(df, stratum, key, seed, probs, last_row_of_fold)
+    hashed, cuts = _cut_points(
+        df, stratum, split_hash(key, seed, "fold:"), probs, last_row_of_fold
+    )
     fold = F.lit(0)
     for i in range(len(probs)):
         cut = F.col(f"_cut{i}")

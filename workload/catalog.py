@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ("gold", "features", "monitoring", "documents", "questions")
+SUBJECTS = ("gold", "features", "monitoring", "documents", "questions", "evaluation", "training")
 
 
 def _merged(attribute: str) -> dict:

@@ -285,10 +285,10 @@ _SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 _REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 
-def _split_order(seed: int = 42) -> str:
+def _split_order(salt: str = "42:") -> str:
     return (
         "row_number() OVER (PARTITION BY c_mktsegment ORDER BY "
-        f"substring(md5('{seed}:' || CAST(c_custkey AS VARCHAR)), 1, 13)) AS n, "
+        f"substring(md5('{salt}' || CAST(c_custkey AS VARCHAR)), 1, 13)) AS n, "
         "COUNT(*) OVER (PARTITION BY c_mktsegment) AS total"
     )
 
@@ -369,7 +369,7 @@ SELECT c_custkey, {_TIERS} AS risk_bucket FROM customer, edges""",
 SELECT c_custkey, CASE WHEN r <= 1 + (n - 1) / 3.0 THEN 'LOW'
   WHEN r <= 1 + 2 * (n - 1) / 3.0 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_bucket FROM ranked""",
     "stratified_split": f"""SELECT c_custkey, n <= floor(total * 0.8 + 0.5) AS is_train
-FROM (SELECT c_custkey, {_split_order()} FROM customer) t""",
+FROM (SELECT c_custkey, {_split_order("42:fold:")} FROM customer) t""",
     "stratified_folds": f"""SELECT c_custkey, CAST(
   CASE WHEN n > ceil(total * 1 / 5.0) THEN 1 ELSE 0 END
   + CASE WHEN n > ceil(total * 2 / 5.0) THEN 1 ELSE 0 END

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from .. import vocabulary as words
 from ..functions.numeric import mean, rounded
+from ..functions.sizing import spread
 from ..functions.text import any_contained, count_contained, occurrences
 
 DIMENSIONS = ("faithfulness", "relevance", "groundedness")
@@ -28,7 +29,7 @@ def rubric_score(
 
     ``references`` is an array of values the answer should cite.
     """
-    out = answers.withColumn("_lower", F.lower(text))
+    out = spread(answers).withColumn("_lower", F.lower(text))
     lower, body = F.col("_lower"), F.col(text)
     wanted = F.col(references)
     cited = F.size(F.filter(wanted, lambda v: F.contains(lower, F.lower(v))))

@@ -369,13 +369,13 @@ SELECT c_custkey, {_TIERS} AS risk_bucket FROM customer, edges""",
 SELECT c_custkey, CASE WHEN r <= 1 + (n - 1) / 3.0 THEN 'LOW'
   WHEN r <= 1 + 2 * (n - 1) / 3.0 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_bucket FROM ranked""",
     "stratified_split": f"""SELECT c_custkey, n <= floor(total * 0.8 + 0.5) AS is_train
-FROM (SELECT c_custkey, {_split_order("42:fold:")} FROM customer) t""",
+FROM (SELECT c_custkey, {_split_order()} FROM customer) t""",
     "stratified_folds": f"""SELECT c_custkey, CAST(
   CASE WHEN n > ceil(total * 1 / 5.0) THEN 1 ELSE 0 END
   + CASE WHEN n > ceil(total * 2 / 5.0) THEN 1 ELSE 0 END
   + CASE WHEN n > ceil(total * 3 / 5.0) THEN 1 ELSE 0 END
   + CASE WHEN n > ceil(total * 4 / 5.0) THEN 1 ELSE 0 END AS INTEGER) AS fold
-FROM (SELECT c_custkey, {_split_order()} FROM customer) t""",
+FROM (SELECT c_custkey, {_split_order('42:fold:')} FROM customer) t""",
     "label_encode": f"""WITH {_EDGES}
 SELECT c_custkey, CASE {_TIERS} WHEN 'LOW' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END AS label,
   'c_acctbal' AS features FROM customer, edges""",

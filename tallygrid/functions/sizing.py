@@ -33,12 +33,18 @@ def spread(df: DataFrame, limit: int = 16 * SMALL_BYTES) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def bounded_rows(df: DataFrame, max_rows: int = SIDE_ROWS) -> DataFrame | None:
+    """The frame as a broadcast copy of at most ``max_rows`` rows; None if it has more."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def bounded_side(df: DataFrame, max_rows: int = SIDE_ROWS) -> DataFrame:
     """A join side that is broadcast if it really has at most ``max_rows`` rows.
 
     Above the bound the frame comes back unhinted, and the join shuffles.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    small = bounded_rows(df, max_rows)
+    return df if small is None else small

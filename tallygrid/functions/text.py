@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Unicode white space and the four ASCII separators, as one explicit class: the same
 # characters as the Unicode space class, which is several times slower to match.
 _SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+NOT_SPACE = rf"[^{_SPACE}]"
 # Only runs that change: two or more, or a single one that is not a plain blank.
 WHITESPACE = rf"[{_SPACE}]{{2,}}|[{_SPACE}&&[^ ]]"
 

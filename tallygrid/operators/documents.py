@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.sizing import spread
-from ..functions.text import first_contained, squeeze_whitespace
+from ..functions.text import NOT_SPACE, first_contained, squeeze_whitespace
 from ..vocabulary import CHUNK_TAGS
 
 CHARS_PER_TOKEN = 4
@@ -17,7 +17,7 @@ CHARS_PER_TOKEN = 4
 
 def nonempty_docs(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents with something besides white space."""
-    return docs.filter(F.length(squeeze_whitespace(F.col(text))) > 0)
+    return docs.filter(F.col(text).rlike(NOT_SPACE))
 
 
 def normalize_text(docs: DataFrame, text: str = "text") -> DataFrame:

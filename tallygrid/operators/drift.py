@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.numeric import rounded
 from ..functions.selection import exact_quantiles
@@ -94,23 +95,19 @@ def histogram_on(long: DataFrame, ranges: DataFrame, bins: int = BINS) -> DataFr
         .groupBy("feature", bin_index(F.col("value"), bins).alias("bin"))
         .agg(F.count("*").alias("rows"))
     )
-    totals = counted.groupBy("feature").agg(F.sum("rows").alias("total"))
     grid = side.select(
         "feature", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
     )
-    return (
-        grid.join(counted, ["feature", "bin"], "left")
-        .join(totals, "feature", "left")
-        .select(
-            "feature",
-            "bin",
-            bin_edge(F.col("bin"), bins).alias("edge_lo"),
-            bin_edge(F.col("bin") + 1, bins).alias("edge_hi"),
-            F.coalesce("rows", F.lit(0)).alias("rows"),
-            F.coalesce(
-                F.try_divide(F.col("rows").cast("double"), F.col("total")), F.lit(0.0)
-            ).alias("share"),
-        )
+    kept = F.coalesce("rows", F.lit(0))
+    # A window partition is the bins of one feature.
+    total = F.sum(kept).over(Window.partitionBy("feature"))
+    return grid.join(counted, ["feature", "bin"], "left").select(
+        "feature",
+        "bin",
+        bin_edge(F.col("bin"), bins).alias("edge_lo"),
+        bin_edge(F.col("bin") + 1, bins).alias("edge_hi"),
+        kept.alias("rows"),
+        F.coalesce(F.try_divide(kept.cast("double"), total), F.lit(0.0)).alias("share"),
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import mean, rounded
+from ..functions.sizing import bounded_side
 from ..schemas import Names
 
 ORDER_COLUMNS = ("total_events", "total_severe", "total_minor")
@@ -210,8 +211,10 @@ def entity_rank(
     """Rank of entities inside a report by ``metric`` descending; ties share a rank.
 
     A value's rank is one plus the rows above it, so only distinct values are ordered.
-    ``report`` has at most 100 rows when it comes from a governed query.
+    ``report`` has at most 100 rows when it comes from a governed query; it is then
+    computed once.
     """
+    report = bounded_side(report)
     levels = report.groupBy(metric).agg(F.count("*").alias("_rows"))
     above = (
         Window.orderBy(F.desc_nulls_last(metric)).rowsBetween(Window.unboundedPreceding, -1)

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.sizing import bounded_rows
 from ..schemas import Names
 
 # Names are cut to this many characters before lookup.
 NAME_CHARS = 40
 
+# Up to this many distinct lookups travel to the entities before these are shuffled.
+ASKED_ROWS = 50_000
+
 # Rank of a match: exact name, exact after hyphens became blanks, prefix.
 EXACT, EXACT_SPACED, PREFIX = 0, 1, 2
 
@@ -21,11 +25,12 @@ def clean_name(name: Column) -> Column:
     return F.lower(F.trim(F.substring(letters, 1, NAME_CHARS)))
 
 
-def _prefix_index(entity: DataFrame, names: Names) -> DataFrame:
+def _prefix_index(entity: DataFrame, wanted: DataFrame, names: Names) -> DataFrame:
     """Best candidate per (name prefix, group hint); hint "" stands for any group.
 
     Prefix lookup becomes an equi-join: a name yields at most ``NAME_CHARS`` prefixes,
-    and candidates collapse to one per prefix before the join, map-side first.
+    and candidates collapse to one per prefix before the join, map-side first.  If few
+    prefixes are asked for, all others are dropped where they arise.
     """
     lower = F.lower(names.name)
     lengths = F.sequence(F.lit(1), F.least(F.length(lower), F.lit(NAME_CHARS)))
@@ -45,6 +50,9 @@ def _prefix_index(entity: DataFrame, names: Names) -> DataFrame:
             ).alias("_candidate"),
         )
     )
+    asked = bounded_rows(wanted.select("_prefix", "_hint").distinct(), ASKED_ROWS)
+    if asked is not None:
+        rows = rows.join(asked, ["_prefix", "_hint"], "left_semi")
     return rows.groupBy("_prefix", "_hint").agg(F.min("_candidate").alias("_candidate"))
 
 
@@ -83,7 +91,7 @@ def resolve_entity(
     candidate = F.col("_candidate")
     priority = F.when(candidate["partial"] == 0, F.col("_variant")).otherwise(F.lit(PREFIX))
     best = (
-        wanted.join(_prefix_index(entity, names), ["_prefix", "_hint"])
+        wanted.join(_prefix_index(entity, wanted, names), ["_prefix", "_hint"])
         .groupBy(key)
         .agg(
             F.min(

@@ -54,11 +54,16 @@ def _best(qids: np.ndarray, query_rows: np.ndarray, vids: np.ndarray, vectors: p
         i, j = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
         found.append((i, ids[j], scores[i, j]))
     i, v, s = (np.concatenate(part) for part in zip(*found, strict=True))
-    order = np.lexsort((v, -s, i))
-    i, v, s = i[order], v[order], s[order]
-    place = np.arange(len(i)) - np.searchsorted(i, i)
-    kept = place < k
-    return {"_qid": qids[i[kept]], "_vid": v[kept], "_score": s[kept]}
+    return _trim({"_qid": qids[i], "_vid": v, "_score": s}, k)
+
+
+def _trim(hits: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
+    """The k best hits per query, in order."""
+    order = np.lexsort((hits["_vid"], -hits["_score"], hits["_qid"]))
+    sorted_hits = {name: column[order] for name, column in hits.items()}
+    ids = sorted_hits["_qid"]
+    kept = np.arange(len(ids)) - np.searchsorted(ids, ids) < k
+    return {name: column[kept] for name, column in sorted_hits.items()}
 
 
 def _valid(df: DataFrame, id_col: str, vector: str, as_id: str, as_vector: str) -> DataFrame:
@@ -115,13 +120,18 @@ def _score_near_vectors(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_rows = shared.value
+        kept = None
         for batch in batches:
-            if batch.num_rows:
-                vids = batch.column("_vid").to_numpy(zero_copy_only=False)
-                best = _best(
-                    query_ids, query_rows, vids, batch.column("_vec"), k, exclude_self
-                )
-                yield pa.RecordBatch.from_pydict(best)
+            if batch.num_rows == 0:
+                continue
+            vids = batch.column("_vid").to_numpy(zero_copy_only=False)
+            best = _best(query_ids, query_rows, vids, batch.column("_vec"), k, exclude_self)
+            if kept is not None:
+                both = {name: np.concatenate([kept[name], best[name]]) for name in best}
+                best = _trim(both, k)
+            kept = best
+        if kept is not None:
+            yield pa.RecordBatch.from_pydict(kept)
 
     return vectors.mapInArrow(score, _PARTIAL)
 

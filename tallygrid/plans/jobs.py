@@ -184,15 +184,5 @@ def index_corpus(
     docs = readers.read_corpus(spark, corpus)
     chunks = documents.tag_chunks(documents.chunk_documents(docs, "source", "text", size, overlap))
     new = enrich(chunks) if enrich else chunks
-    if _exists(spark, table):
-        merged = documents.upsert_chunks(spark.read.parquet(table), new)
-        sinks.overwrite_table(merged, table, f"{table}_staged")
-    else:
-        sinks.write_dataset(new, table)
-    return spark.read.parquet(table)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    sinks.upsert_table(new, table, F.col("metadata.source"))
+    return spark.read.parquet(table).drop("bucket")

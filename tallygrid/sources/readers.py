@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import NOT_SPACE
 from ..schemas import require_columns
 
 
@@ -105,5 +106,5 @@ def read_corpus(
     return (
         files.filter(wanted)
         .select(F.col("path").alias("source"), F.col("content").cast("string").alias("text"))
-        .filter(F.col("text").rlike(r"\S"))
+        .filter(F.col("text").rlike(NOT_SPACE))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallygrid import vocabulary as words
+from tallygrid.functions.sizing import spread
 from tallygrid.operators import documents, retrieval
 from workload.gold import ENTITY, MART, entity, mart, table
 
@@ -19,7 +20,7 @@ def docs(spark, sf_dir):
 
 
 def _normalize(spark, sf_dir):
-    rows = documents.normalize_text(docs(spark, sf_dir))
+    rows = documents.normalize_text(spread(docs(spark, sf_dir)))
     return rows.select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("chars"))
 
 

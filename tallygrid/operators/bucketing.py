@@ -6,7 +6,7 @@ stratum: cut points are exact order statistics, and rows compare against them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,12 +63,17 @@ def tertile_by_rank(
     return df.join(tiers, key, "left")
 
 
-def split_hash(key: str, seed: int, purpose: str = "") -> Column:
-    """52 pseudo-random bits of ``key``, exact in a double.
+Hasher = Callable[[Column, str], Column]
 
-    Different purposes draw independent bits from the same seed.
-    """
-    digest = F.md5(F.concat(F.lit(f"{seed}:{purpose}"), F.col(key).cast("string")))
+
+def fast_hash(key: Column, salt: str) -> Column:
+    """52 pseudo-random bits of ``key``, exact in a double."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), key), 12)
+
+
+def portable_hash(key: Column, salt: str) -> Column:
+    """The same from MD5: many times slower, but any engine can repeat it."""
+    digest = F.md5(F.concat(F.lit(salt), key.cast("string")))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
 
 
@@ -88,7 +93,7 @@ def _cut_points(
 
 def stratified_split(
     df: DataFrame, stratum: str, key: str, ratio: float = 0.8, seed: int = 42,
-    name: str = "is_train",
+    name: str = "is_train", hasher: Hasher = fast_hash,
 ) -> DataFrame:
     """Exactly ``round(ratio * n)`` rows of each stratum become training rows.
 
@@ -99,7 +104,7 @@ def stratified_split(
         return F.floor(n * F.lit(p) + F.lit(0.5)) - 1
 
     hashed, cuts = _cut_points(
-        df, stratum, split_hash(key, seed), [ratio], last_train_row
+        df, stratum, hasher(F.col(key), f"{seed}:"), [ratio], last_train_row
     )
     chosen = F.coalesce(F.col("_hash") <= F.col("_cut0"), F.lit(False))
     return (
@@ -108,7 +113,8 @@ def stratified_split(
 
 
 def stratified_folds(
-    df: DataFrame, stratum: str, key: str, k: int = 5, seed: int = 42, name: str = "fold"
+    df: DataFrame, stratum: str, key: str, k: int = 5, seed: int = 42, name: str = "fold",
+    hasher: Hasher = fast_hash,
 ) -> DataFrame:
     """Fold 0..k-1 per row; every fold holds its share of each stratum within one row.
 
@@ -121,7 +127,7 @@ def stratified_folds(
 
     probs = [i / k for i in range(1, k)]
     hashed, cuts = _cut_points(
-        df, stratum, split_hash(key, seed, "fold:"), probs, last_row_of_fold
+        df, stratum, hasher(F.col(key), f"{seed}:fold:"), probs, last_row_of_fold
     )
     fold = F.lit(0)
     for i in range(len(probs)):

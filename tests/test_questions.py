@@ -18,25 +18,23 @@ def column(df, name):
 
 
 REPORTS = [
-    ("Show top 10 counties by risk from 2015 to 2023", "top_counties_by_risk"),
-    ("Which counties have the highest expected annual loss?", "top_counties_by_risk"),
-    ("Worst counties for disaster risk", "top_counties_by_risk"),
-    ("Which counties saw the biggest increase in events from 2010 to 2020?", "largest_increase"),
-    ("Which counties saw the largest increase in flood events 2015–2023?",
-     "hazard_event_increase"),
-    ("Biggest increase in tornado events 2010 to 2023", "hazard_event_increase"),
-    ("Most growth in hurricane disaster events 2010–2022", "hazard_event_increase"),
-    ("Compare Harris County vs Miami-Dade County from 2015 to 2023", "county_comparison"),
-    ("Show the annual trend of hazard events from 2015 to 2023", "hazard_trend_by_year"),
-    ("Year-over-year change in events 2015 to 2023", "hazard_trend_by_year"),
-    ("Annual trend of drought events 2015 to 2023", "category_trend_specific"),
-    ("Show year-over-year wildfire events from 2010 to 2023", "category_trend"),
-    ("states with the most disaster declarations: FEMA declaration totals",
-     "fema_declarations_by_state"),
-    ("Highest tornado deaths by county", "top_counties_by_hazard"),
-    ("How does Harris County compare to other Texas counties?", "top_counties_in_state"),
-    ("Top counties in New Mexico", "top_counties_in_state"),
-    ("hello there", "top_counties_by_risk"),
+    ("List the top 12 counties for 2016 through 2021", "top_counties_by_risk"),
+    ("Where is the highest yearly loss expected?", "top_counties_by_risk"),
+    ("worst places to build a house", "top_counties_by_risk"),
+    ("Where was the biggest increase of recorded events, 2011 to 2019?", "largest_increase"),
+    ("Where was the largest increase of flood events, 2016–2022?", "hazard_event_increase"),
+    ("biggest growth in twister events since 2012", "hazard_event_increase"),
+    ("most rise in typhoon disasters", "hazard_event_increase"),
+    ("Kings County versus Orleans County", "county_comparison"),
+    ("Hazards by year, 2012 to 2020", "hazard_trend_by_year"),
+    ("How did all events develop over time?", "hazard_trend_by_year"),
+    ("Droughts by year since 2013", "category_trend_specific"),
+    ("Forest fires by year since 2013", "category_trend"),
+    ("Which state filed the most federal declarations?", "fema_declarations_by_state"),
+    ("worst hail for roofs", "top_counties_by_hazard"),
+    ("Does Cook rank highest against other Illinois counties?", "top_counties_in_state"),
+    ("Top counties in North Dakota", "top_counties_in_state"),
+    ("good morning", "top_counties_by_risk"),
 ]
 
 
@@ -49,7 +47,7 @@ def test_reports(spark):
 
 def test_increase_questions_split_their_range(spark):
     row = questions.tag_template(
-        ask(spark, ["Largest increase in flood events 2015 to 2023"])
+        ask(spark, ["largest rise in flood events, 2015 until 2023"])
     ).first()
     assert (row["period_a_start"], row["period_a_end"]) == (2015, 2019)
     assert (row["period_b_start"], row["period_b_end"]) == (2020, 2023)
@@ -83,9 +81,9 @@ def test_years(spark, question, years):
 
 
 def test_limits(spark):
-    texts = ["Show top 10 counties by risk", "Top 25 counties", "the 7 counties with most hail",
-             "Which county has the highest risk?", "what is the least risky county",
-             "counties and county, highest", "Show counties by risk", "top 99999999999"]
+    texts = ["the top 10 places", "Top 25, please", "name 7 counties with most hail",
+             "Which county is the deadliest?", "the safest county of all",
+             "one county or two counties, the worst", "risk overview", "top 99999999999"]
     out = questions.extract_limit(ask(spark, texts))
     assert column(out, "row_limit") == [10, 25, 7, 1, 1, 10, 10, 10]
 
@@ -116,14 +114,13 @@ def test_entities(spark):
 
 
 ROUTES = [
-    ("Show top 10 counties by predicted risk score", ["query"]),
-    ("Which counties have the highest flood event count since 2015?", ["query"]),
-    ("Why are coastal counties more vulnerable to hurricanes?", ["ask"]),
-    ("What is the predicted risk and total property damage for Harris County TX?",
-     ["predict", "query"]),
-    ("What are the trend results and why do they show increasing floods?", ["query", "ask"]),
-    ("What is Harris County's predicted risk tier?", ["predict"]),
-    ("What is the NRI expected loss methodology?", ["ask"]),
+    ("Ranking of places by predicted risk", ["query"]),
+    ("Where was the lowest number of hail reports?", ["query"]),
+    ("What makes deltas flood, and what causes surges?", ["ask"]),
+    ("total loss and risk level of Kings County", ["predict", "query"]),
+    ("Compare both coasts and explain the gap", ["query", "ask"]),
+    ("Tell me the risk tier of Butte", ["predict"]),
+    ("What is resilience?", ["ask"]),
 ]
 
 

@@ -97,6 +97,17 @@ def strata(spark):
     return spark.range(3_000).select("id", stratum.alias("s"))
 
 
+@pytest.mark.parametrize("hasher", [bucketing.fast_hash, bucketing.portable_hash])
+def test_hashes_fit_a_double_and_differ_by_salt(spark, hasher):
+    rows = spark.range(2_000).select(
+        hasher(F.col("id"), "a").alias("a"), hasher(F.col("id"), "b").alias("b")
+    ).collect()
+    assert all(0 <= r["a"] < 2**52 for r in rows)
+    assert len({r["a"] for r in rows}) == 2_000
+    assert sum(r["a"] == r["b"] for r in rows) == 0
+    assert 0.4 < sum(r["a"] < 2**51 for r in rows) / 2_000 < 0.6
+
+
 def test_split_is_exact_per_stratum_and_repeatable(strata):
     first = bucketing.stratified_split(strata, "s", "id", 0.8, 42)
     counts = first.groupBy("s").agg(

@@ -184,12 +184,16 @@ def _tertile_rank(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    rows = bucketing.stratified_split(_customers(spark, sf_dir), "c_mktsegment", "c_custkey")
+    rows = bucketing.stratified_split(
+        _customers(spark, sf_dir), "c_mktsegment", "c_custkey", hasher=bucketing.portable_hash
+    )
     return rows.select("c_custkey", "is_train")
 
 
 def _folds(spark, sf_dir):
-    rows = bucketing.stratified_folds(_customers(spark, sf_dir), "c_mktsegment", "c_custkey")
+    rows = bucketing.stratified_folds(
+        _customers(spark, sf_dir), "c_mktsegment", "c_custkey", hasher=bucketing.portable_hash
+    )
     return rows.select("c_custkey", "fold")
 
 

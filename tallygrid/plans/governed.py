@@ -6,14 +6,14 @@ Parameters never become SQL text: they are validated here and bound as literals.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
 
 from .. import vocabulary as words
-from ..operators import ranking, trends
+from ..operators import questions, ranking, resolve, trends
 from ..schemas import COUNTY, Names
 
 MAX_LIMIT = 100
@@ -31,6 +31,7 @@ _FIPS = re.compile(r"[0-9]{5}")
 # County names of parameters and reports, accepted beside the neutral ones.
 PARAMETER_ALIASES = {
     "hazard_type": "category", "state_name": "group", "county_fips_list": "ids",
+    "row_limit": "limit", "group_name": "group",
 }
 REPORT_ALIASES = {
     "top_counties_by_risk": "top_entities_by_score",
@@ -131,6 +132,35 @@ class Gold:
         report, clean = validate(name, params, self.min_year, self.max_year, self.id_pattern)
         return _REPORTS[report](self, clean)
 
+    def answer(self, question: str, default_limit: int = DEFAULT_LIMIT) -> DataFrame:
+        """Run the report a question asks for.  A log of questions is tagged as a table."""
+        spark = self.mart.sparkSession
+        asked = spark.createDataFrame([(0, question)], "lookup_id int, question string")
+        tagged = questions.extract_entities(questions.tag_template(asked, default_limit))
+        tags = tagged.first().asDict()
+        params = {k: tags[k] for k in (*YEARS, "row_limit", "category", "order_col", "group_name")}
+        if tags["template"] == "entity_comparison":
+            params["ids"] = self._ids(tags["entities"])
+        return self.run(tags["template"], **params)
+
+    def _ids(self, mentioned: Sequence[str]) -> list[str]:
+        """Ids among the mentioned entities, and those that the mentioned names resolve to."""
+        ids = [m for m in mentioned if self.id_pattern.fullmatch(m)]
+        others = [(i, m) for i, m in enumerate(mentioned) if m not in ids]
+        if others:
+            lookups = self.mart.sparkSession.createDataFrame(
+                others, "lookup_id int, name string"
+            )
+            found = resolve.resolve_entity(lookups, self.entity, names=self.names)
+            ids += [r[self.names.entity] for r in found.orderBy("lookup_id").collect()]
+        return ids
+
+    def sql(self, text: str, **args: Any) -> DataFrame:
+        """A query over ``{mart}``, ``{events}`` and ``{entity}`` with ``:name`` arguments."""
+        return self.mart.sparkSession.sql(
+            text, args=args, mart=self.mart, events=self.events, entity=self.entity
+        )
+
     def ranked_by(self, name: str, **params: Any) -> str:
         """The column a report's order comes from, or "" for time series."""
         report = REPORT_ALIASES.get(name, name)

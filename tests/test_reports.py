@@ -212,6 +212,28 @@ def test_ranked_by(gold):
     assert gold.ranked_by("hazard_trend_by_year") == ""
 
 
+def test_questions_run_their_report(gold):
+    top = gold.answer("the 2 counties with the highest risk since 2019")
+    assert [r["county_fips"] for r in top.collect()] == ["48201", "01003"]
+    pair = gold.answer("Miami-Dade County versus 48201, which counties lead in 2021 and 2022")
+    assert {r["county_fips"] for r in pair.collect()} == {"12086", "48201"}
+    texas = gold.answer("top counties in Texas")
+    assert {r["state"] for r in texas.collect()} == {"Texas"}
+    deadly = gold.answer("Highest flood deaths, 2019 to 2022")
+    assert [r["total_severe"] for r in deadly.collect()] == [4, 1]
+    growth = gold.answer("biggest increase in flood events 2019 to 2022")
+    assert growth.first()["county_fips"] == "48201"
+
+
+def test_sql_binds_arguments(gold):
+    rows = gold.sql(
+        "SELECT e.state, SUM(m.noaa_event_count) AS n FROM {mart} m JOIN {entity} e "
+        "ON m.county_fips = e.county_fips WHERE m.year >= :first AND e.state = :state "
+        "GROUP BY e.state", first=2022, state="Florida",
+    ).collect()
+    assert [(r["state"], r["n"]) for r in rows] == [("Florida", 11)]
+
+
 def test_resolution_prefers_exact_then_hyphen_then_prefix(spark, county_dim):
     lookups = spark.createDataFrame(
         [(1, "Harris", None), (2, "miami-dade", None), (3, "Harri", "texas"),

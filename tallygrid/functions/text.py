@@ -20,7 +20,7 @@ def squeeze_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITESPACE, " "))
 
 
-def first_contained(text: Column, phrases: Mapping[str, object], default: object) -> Column:
+def first_contained(text: Column, phrases: Mapping[str, str], default: str) -> Column:
     """Value of the first phrase, in mapping order, that occurs in ``text``."""
     chain = None
     for phrase, result in phrases.items():
@@ -29,6 +29,12 @@ def first_contained(text: Column, phrases: Mapping[str, object], default: object
     return F.lit(default) if chain is None else chain.otherwise(F.lit(default))
 
 
+def lookup(table: Mapping[str, str], key: Column) -> Column:
+    """Value of a key in a small constant table, else NULL."""
+    keys, values = (F.array(*[F.lit(v) for v in side]) for side in (table, table.values()))
+    return F.try_element_at(F.map_from_arrays(keys, values), key)
+
+
 def longest_first(phrases: Mapping[str, object]) -> dict[str, object]:
     """Longer phrases first; equal lengths keep their order."""
     return dict(sorted(phrases.items(), key=lambda item: -len(item[0])))
@@ -49,12 +55,9 @@ def any_contained(text: Column, phrases: Iterable[str]) -> Column:
     return hit
 
 
-def any_match(text: Column, patterns: Iterable[str]) -> Column:
-    """True if one of the regular expressions is found."""
-    hit = F.lit(False)
-    for pattern in patterns:
-        hit = hit | text.rlike(pattern)
-    return hit
+def any_match(text: Column, patterns: Iterable[str], flags: str = "") -> Column:
+    """True if one of the regular expressions is found; one pass with all alternatives."""
+    return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
 
 
 def occurrences(text: Column, literal: str) -> Column:

@@ -6,32 +6,39 @@ rules is part of their meaning.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as words
-from ..functions.text import any_contained, any_match, first_contained, longest_first
+from ..functions.text import any_contained, any_match, first_contained, longest_first, lookup
 
 ALL = "all"
 
 
-def _unicode(pattern: str) -> str:
-    """Word, digit and space classes cover Unicode, as a question log needs."""
-    return "(?U)" + pattern
+def _by_script(text: Column, match: Callable[[str], Column]) -> Column:
+    """``match`` with plain classes on ASCII text, with Unicode ones elsewhere.
+
+    Word, digit and space classes must cover Unicode, but then match far more slowly;
+    on ASCII text both give the same.
+    """
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, match("")).otherwise(match("(?U)"))
 
 
 def _all_matches(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(_unicode(pattern)), F.lit(1))
+    return _by_script(
+        text, lambda flag: F.regexp_extract_all(text, F.lit(flag + pattern), F.lit(1))
+    )
 
 
 def _found(text: Column, pattern: str) -> Column:
-    return text.rlike(_unicode(pattern))
+    return _by_script(text, lambda flag: text.rlike(flag + pattern))
 
 
 def _group(text: Column, pattern: str, index: int = 1) -> Column:
-    return F.regexp_extract(text, _unicode(pattern), index)
+    return _by_script(text, lambda flag: F.regexp_extract(text, flag + pattern, index))
 
 
 def _with_lower(df: DataFrame, question: str) -> DataFrame:
@@ -40,7 +47,7 @@ def _with_lower(df: DataFrame, question: str) -> DataFrame:
 
 
 def _any_signal(text: Column, patterns: Sequence[str]) -> Column:
-    return any_match(text, [_unicode(p) for p in patterns])
+    return _by_script(text, lambda flag: any_match(text, patterns, flag))
 
 
 def extract_years(
@@ -87,29 +94,23 @@ def extract_category(questions: DataFrame, question: str = "question") -> DataFr
 
 
 def _state_name(lower: Column) -> Column:
-    """Longest state name in the text as whole words, or NULL."""
-    chain = None
-    for name in longest_first(words.STATES):
-        # The substring test is cheap and lets the expression be skipped almost always.
-        hit = lower.contains(name) & _found(lower, rf"\b{name}\b")
-        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
-    return chain
+    """Longest state name in the text as whole words, or NULL.
+
+    One alternation finds all names; no name overlaps the start of a longer one.
+    """
+    ranked = list(longest_first(words.STATES))
+    names = F.array(*[F.lit(name) for name in ranked])
+    found = _all_matches(lower, rf"\b({'|'.join(ranked)})\b")
+    first = F.array_min(F.transform(found, lambda name: F.array_position(names, name)))
+    return F.get(names, first.cast("int") - 1)
 
 
 def extract_group(questions: DataFrame, question: str = "question") -> DataFrame:
     """Full state name: written out, or a code after a comma, "in" or "County"."""
-    q = F.col(question)
-    code, by_code = F.col("_code"), None
-    for name, abbreviation in words.STATES.items():
-        hit = code == abbreviation
-        by_code = F.when(hit, name) if by_code is None else by_code.when(hit, name)
+    codes = {code: name for name, code in words.STATES.items()}
+    by_code = lookup(codes, _group(F.col(question), words.STATE_CODE))
     state = F.initcap(F.coalesce(_state_name(F.col("_lower")), by_code, F.lit("")))
-    return (
-        _with_lower(questions, question)
-        .withColumn("_code", _group(q, words.STATE_CODE))
-        .withColumn("group_name", state)
-        .drop("_lower", "_code")
-    )
+    return _with_lower(questions, question).withColumn("group_name", state).drop("_lower")
 
 
 def extract_entity(questions: DataFrame, question: str = "question") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import first_argmax, rounded
@@ -72,7 +72,9 @@ def batch_score(
     )
 
 
-def confusion_matrix(pred: DataFrame, label: str = "label", predicted: str = "prediction"):
+def confusion_matrix(
+    pred: DataFrame, label: str = "label", predicted: str = "prediction"
+) -> DataFrame:
     """Rows per (actual, predicted) pair."""
     return pred.groupBy(
         F.col(label).cast("int").alias("actual"), F.col(predicted).cast("int").alias("predicted")
@@ -168,8 +170,6 @@ def feature_importance(
     trees = stage.models if hasattr(stage, "models") else [stage]
     vectors = [m.featureImportances.toArray() for m in trees]
     mean = reduce(lambda a, b: a + b, vectors) / len(vectors)
-    from pyspark.sql import SparkSession
-
     rows = [(name, float(value)) for name, value in zip(features, mean, strict=True)]
     return (
         SparkSession.active()
@@ -184,7 +184,9 @@ def cv_scores(
     params: Mapping[str, float] | None = None, kind: str = "forest",
 ) -> DataFrame:
     """Balanced accuracy per held-out fold, with mean and population std over the folds."""
-    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).limit(100).collect()]
+    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).limit(101).collect()]
+    if len(folds) > 100:
+        raise ValueError("more than 100 folds")
     data = df.select(*features, label, fold).persist()
     per_fold = []
     for f in folds:

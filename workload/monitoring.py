@@ -108,8 +108,7 @@ def _outliers(spark, sf_dir):
 
 
 def _daily(spark, sf_dir):
-    rows = long_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    return daily_feature_stats(rows).select(
+    return daily_feature_stats(long_events(spark, sf_dir)).select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), "feature", "rows",
         *[rounded(F.col(c), 6).alias(c) for c in ("mean", "min", "max")],
     )

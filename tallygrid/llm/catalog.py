@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ("op9",)
+SUBJECTS = ("op6", "op9")
 
 
 def _merged(attribute: str) -> dict:

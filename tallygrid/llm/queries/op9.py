@@ -24,7 +24,7 @@ d AS (
   SELECT *, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)),
-                     l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+                     lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
 win AS (
   SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
@@ -35,7 +35,7 @@ cov AS (
   FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS k FROM rep) GROUP BY doc_id),
 m AS (
   SELECT d.* EXCLUDE (t, w, ls), len(w)::BIGINT AS n_words,
-         coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+         coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          len(ls)::BIGINT AS n_lines,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ("op1", "op3", "op4", "op6", "op7", "op8", "op9", "op10")
+SUBJECTS = ("op1", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10")
 
 
 def _merged(attribute: str) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -50,3 +52,17 @@ def sequence_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
         for k in range(size):
             total = total * _MULTIPLIER + hashes[k : k + count]
     return mixed(total)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read again."""
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        current = context._jsc.sc().getCheckpointDir()
+        if not current.isDefined():
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
+        folder = current.get()
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,15 +1,53 @@
-"""The corpus pipeline: each stage is written as Parquet and read again by the next."""
+"""The corpus pipeline: quality rules, quality classifier, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next stage's documents.  All but the last return the columns of
+``documents``; the last returns one row per packed piece.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallygrid.llm import ngram_join, quality_model
+from tallygrid.llm.common import stored
 from tallygrid.llm.quality_rules import apply_policy
+from tallygrid.llm.queries.op4 import pieces
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule of the policy."""
+    """Documents that pass every rule of the newest policy."""
     return apply_policy(docs, "v3")
 
 
-STAGES = [("quality_rules", quality_rules)]
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model of trusted text does not reject."""
+    return quality_model.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 0.8 of its five-word shingles."""
+    return ngram_join.keep_one(docs, n=5, num=4, den=5)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of windows of at most 2048 tokens."""
+    return pieces(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("packing", packing),
+]
+# The classifier's model and the tokenizer are beyond SQL; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ("op1", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10")
+import corpus_pipeline
+
+SUBJECTS = ("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10")
 
 
 def _merged(attribute: str) -> dict:
@@ -15,7 +17,7 @@ def _merged(attribute: str) -> dict:
 
 
 def queries() -> dict:
-    return _merged("QUERIES")
+    return _merged("QUERIES") | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:

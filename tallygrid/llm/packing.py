@@ -111,9 +111,9 @@ class Packer:
 
     def pack(self) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
         """Full windows from the waiting runs; less than a window's tokens stay waiting."""
-        total = sum(r[0] for runs in self.waiting for r in runs)
         for k in range(len(self.tiers) - 1, -1, -1):
             size = self.tiers[k]
+            total = sum(r[0] for runs in self.waiting[: k + 1] for r in runs)
             while self.waiting[k] and total >= size:
                 length, doc, start = self.waiting[k].pop()
                 window, gap = [(doc, start, length)], size - length

@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -125,16 +124,17 @@ class PrefixTable:
 
 
 class Pieces(dict):
-    """Ids of pieces, found on first use; bounded in number and in the size of a piece."""
+    """Ids of pieces as 32-bit integers, found on first use; bounded in number and in size."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.vocabulary.ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(PrefixTable(self.vocabulary, data).ids())
+        found = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
+        ids = np.array(found, np.int32).tobytes()
         if len(data) <= 256:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -150,14 +150,17 @@ class Encoder:
         self.pieces = regex.compile(pattern).findall
         self.known = Pieces(self.vocabulary)
 
+    def packed(self, text: str | None) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.pieces(text or "")))
+
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.known.__getitem__, self.pieces(text or ""))))
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def append(self, text: str, ids: list[int], more: str) -> list[int]:
         """The ids of ``text + more`` from those of ``text``: only its last two pieces may change."""
         tail = self.pieces(text)[-2:]
         redo = "".join(tail)
-        keep = len(ids) - sum(len(self.known[p]) for p in tail)
+        keep = len(ids) - sum(len(self.known[p]) // 4 for p in tail)
         return ids[:keep] + self.encode(redo + more)
 
     def decode(self, ids) -> bytes:
@@ -189,9 +192,9 @@ def encode(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(_local(ranks_path), pattern)
         for batch in batches:
-            rows = [np.array(encoder.encode(t.as_py()), np.int32) for t in batch.column(text)]
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            values = np.concatenate([*rows, np.array([], np.int32)])
+            rows = [encoder.packed(t.as_py()) for t in batch.column(text)]
+            offsets = (np.cumsum([0, *map(len, rows)]) // 4).astype(np.int32)
+            values = np.frombuffer(b"".join(rows), np.int32)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
             keep = [c for c in batch.schema.names if c != ids]
             yield pa.RecordBatch.from_arrays(
@@ -211,8 +214,9 @@ def decode(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(_local(ranks_path), pattern)
         for batch in batches:
-            column = [None if x is None else encoder.decode(x)
-                      for x in (v.as_py() for v in batch.column(ids))]
+            lists = batch.column(ids)
+            column = [encoder.decode(v.values.to_numpy().tolist()) if v.is_valid else None
+                      for v in lists]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(column, pa.binary())],
                 names=[*batch.schema.names, data],

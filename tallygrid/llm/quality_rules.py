@@ -104,7 +104,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": _repeat_words(F.col("_words"), F.col("_hashes")),
         "n_upper": F.regexp_count(value, F.lit(r"\p{Lu}")),
     }
-    return staged.select(*kept, *[v.cast("bigint").alias(k) for k, v in values.items()])
+    # A generator keeps the optimizer from copying these expressions into later filters.
+    row = F.struct(*[v.cast("bigint").alias(k) for k, v in values.items()])
+    return staged.select(*kept, F.inline(F.array(row)))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

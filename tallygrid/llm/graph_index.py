@@ -124,6 +124,8 @@ def build_graph(vectors: np.ndarray, seed: int = 0) -> tuple[np.ndarray, int]:
             # Each new edge also runs backwards; full lists are pruned again.
             to, source = graph[nodes].ravel(), np.repeat(nodes, DEGREE)
             source, to = source[to >= 0], to[to >= 0]
+            if not len(to):
+                continue
             by = np.argsort(to, kind="stable")
             targets, first = np.unique(to[by], return_index=True)
             full, lists = [], []

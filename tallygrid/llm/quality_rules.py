@@ -129,7 +129,9 @@ def passes(policy: str, failures: str = "failures") -> Column:
 
 def apply_policy(docs: DataFrame, policy: str = "v3", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with the columns of ``docs``."""
-    return ledger(docs, text).filter(passes(policy)).select(*docs.columns)
+    own = {c: f"_own_{c}" for c in docs.columns if c in (*MEASURES, "failures")}
+    kept = ledger(docs.withColumnsRenamed(own), text).filter(passes(policy))
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def ablation(rows: DataFrame, policy: str = "v3") -> DataFrame:

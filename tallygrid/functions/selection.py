@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import ensure_checkpoint_dir
-from .sizing import bounded_side, is_small
+from .sizing import bounded_side
 
 # Rank error of the sketch that brackets a target is at most n / ACCURACY.
 ACCURACY = 10_000
+# A bracket that may hold more rows than this is narrowed by a second sketch inside it.
+BRACKET_ROWS = 1_000_000
+# Rows that a global rank samples for its range bounds, about.
+BOUND_ROWS = 20_000
 
 Position = Callable[[Column, float], Column]
 
@@ -21,6 +24,18 @@ def _linear_position(n: Column, p: float) -> Column:
     return F.lit(p) * (n - 1)
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the left side's keys are kept."""
+    if not keys:
+        return left.join(right, how=how)
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    condition = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        condition = same if condition is None else condition & same
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def order_statistics(
     df: DataFrame,
     groups: Sequence[str],
@@ -28,40 +43,30 @@ def order_statistics(
     probs: Sequence[float],
     position: Position = _linear_position,
     accuracy: int = ACCURACY,
-    small: bool | None = None,
 ) -> DataFrame:
     """``(groups…, target, n, statistic)``: the value at 0-based rank ``position(n, probs[target])``.
 
-    Fractional positions interpolate linearly; NULL values are ignored.  A quantile
-    sketch first brackets every target to about ``10 n / accuracy`` rows; a second pass
-    counts the rows below the bracket and the distinct values inside it.  Only those
-    few values are ordered, so a group holding most of the table stays spread out.
-    Groups of at most ``accuracy`` rows, and inputs proven small, skip the sketch.
+    Fractional positions interpolate linearly.  NULL values are ignored; a NULL group is a
+    group like any other, and a group without values has a NULL statistic.  A quantile sketch
+    first brackets every target to about ``10 n / accuracy`` rows (its rank error is
+    guaranteed, so the bracket holds the target); a second pass counts the rows below the
+    bracket and the distinct values inside it.  Only those few values are ordered, so a group
+    holding most of the table stays spread out.  There is one way for inputs of all sizes;
+    brackets of more than ``BRACKET_ROWS`` rows are narrowed once more.
     """
     keys = list(groups)
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    if small is None:
-        small = is_small(data)
-
+    data = df.select(*keys, F.col(value).cast("double").alias("_v"))
     margin = 5.0 / accuracy
-    summary = [F.count("*").alias("n")]
-    if not small:
-        cuts = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
-        summary.append(F.percentile_approx("_v", cuts, accuracy).alias("_cuts"))
-    sketch = data.groupBy(*keys).agg(*summary)
-
-    def bracket(index: int) -> tuple[Column, Column]:
-        none = F.lit(None).cast("double")
-        if small:
-            return none, none
-        p, wide = probs[index], F.col("n") > accuracy
-        low = F.when(wide, F.col("_cuts")[index]) if p - margin > 0 else none
-        high = F.when(wide, F.col("_cuts")[len(probs) + index]) if p + margin < 1 else none
-        return low, high
-
+    none = F.lit(None).cast("double")
+    cuts = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
+    sketch = data.groupBy(*keys).agg(
+        F.count("_v").alias("n"), F.percentile_approx("_v", cuts, accuracy).alias("_cuts")
+    )
     targets = []
     for index, p in enumerate(probs):
-        low, high = bracket(index)
+        wide = F.col("n") > accuracy
+        low = F.when(wide, F.col("_cuts")[index]) if p - margin > 0 else none
+        high = F.when(wide, F.col("_cuts")[len(probs) + index]) if p + margin < 1 else none
         targets.append(
             F.struct(
                 F.lit(index).alias("target"),
@@ -70,14 +75,15 @@ def order_statistics(
                 high.alias("_high"),
             )
         )
-    wanted = sketch.select(*keys, "n", F.inline(F.array(*targets))).filter("_pos >= 0")
+    brackets = bounded_side(sketch.select(*keys, "n", F.inline(F.array(*targets))))
+    wanted = brackets.filter("n > 0 AND _pos >= 0")
+    if (brackets.agg(F.max("n")).first()[0] or 0) > BRACKET_ROWS * accuracy // 10:
+        wanted = _narrowed(data, wanted, keys, accuracy)
 
-    if keys:
-        near = data.join(bounded_side(wanted), keys)
-    else:
-        near = _with_rows(data, wanted)
-    near = near.filter("_high IS NULL OR _v <= _high")
     inside = F.col("_low").isNull() | (F.col("_v") >= F.col("_low"))
+    near = _beside(data.filter("_v IS NOT NULL"), wanted, keys).filter(
+        "_high IS NULL OR _v <= _high"
+    )
     counted = near.groupBy(
         *keys, "target", "n", "_pos", F.when(inside, F.col("_v")).alias("_key")
     ).agg(F.count("*").alias("_count"))
@@ -89,15 +95,49 @@ def order_statistics(
     running = counted.withColumn("_cum", F.sum("_count").over(ordered))
     known = F.col("_key").isNotNull()
     found = running.groupBy(*keys, "target", "n", "_pos").agg(
-        F.max(F.when(~known, F.col("_cum"))).alias("_below"),
         F.min(F.when(known & (F.col("_cum") > F.floor("_pos")), F.col("_key"))).alias("_a"),
         F.min(F.when(known & (F.col("_cum") > F.ceil("_pos")), F.col("_key"))).alias("_b"),
     )
-    missed = (F.coalesce("_below", F.lit(0)) > F.floor("_pos")) | F.col("_b").isNull()
-    statistic = F.when(
-        missed, F.raise_error(F.lit("quantile sketch did not bracket its target")).cast("double")
-    ).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos")))
-    return found.select(*groups, "target", "n", statistic.alias("statistic"))
+    part = F.col("_pos") - F.floor("_pos")
+    statistic = F.when(part == 0, F.col("_a")).otherwise(
+        (1 - part) * F.col("_a") + part * F.col("_b")
+    )
+    empty = brackets.filter("n = 0").select(*keys, "target", "n", none.alias("statistic"))
+    return found.select(*keys, "target", "n", statistic.alias("statistic")).unionByName(empty)
+
+
+def _narrowed(
+    data: DataFrame, wanted: DataFrame, keys: Sequence[str], accuracy: int
+) -> DataFrame:
+    """The same targets with brackets cut once more, by a sketch of what lies inside each."""
+    near = _beside(data.filter("_v IS NOT NULL"), wanted, keys)
+    inside = (F.col("_low").isNull() | (F.col("_v") >= F.col("_low"))) & (
+        F.col("_high").isNull() | (F.col("_v") <= F.col("_high"))
+    )
+    counts = near.groupBy(*keys, "target", "n", "_pos", "_low", "_high").agg(
+        F.count_if(F.col("_v") < F.col("_low")).alias("_below"),
+        F.count_if(inside).alias("_inside"),
+        F.percentile_approx(
+            F.when(inside, F.col("_v")), [i / 1000 for i in range(1001)], accuracy
+        ).alias("_grid"),
+    )
+    # Where the target's neighbours lie among the rows inside, in thousandths; the error of
+    # the sketch takes one, or more if it is coarser.
+    room = 1 + 1000.0 / accuracy
+    part = F.lit(1000.0) / F.greatest(F.col("_inside"), F.lit(1))
+    before = F.coalesce("_below", F.lit(0))
+    low = F.floor((F.floor("_pos") - before) * part - room).cast("int")
+    high = F.ceil((F.ceil("_pos") + 1 - before) * part + room).cast("int")
+    return bounded_side(counts.select(
+        *keys, "n", "target", "_pos",
+        F.when(low < 0, F.col("_low")).otherwise(F.get("_grid", low)).alias("_low"),
+        F.when(high > 1000, F.col("_high")).otherwise(F.get("_grid", high)).alias("_high"),
+    ))
+
+
+def _beside(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows beside the side's rows of their group, or beside all of them without groups."""
+    return null_safe(df, side, keys) if keys else _with_rows(df, side)
 
 
 def _with_rows(df: DataFrame, side: DataFrame) -> DataFrame:
@@ -120,16 +160,12 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     names: Sequence[str],
-    small: bool | None = None,
 ) -> DataFrame:
-    """One row per group with the linearly interpolated quantiles as columns ``names``."""
-    if small is None:
-        small = is_small(df)
-    if small:
-        array = F.percentile(F.col(value).cast("double"), list(probs))
-        rows = df.groupBy(*groups).agg(array.alias("_q"))
-        return rows.select(*groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    stats = order_statistics(df, groups, value, probs, small=False)
+    """One row per group with the linearly interpolated quantiles as columns ``names``.
+
+    Groups without values have NULLs.
+    """
+    stats = order_statistics(df, groups, value, probs)
     columns = [
         F.max(F.when(F.col("target") == i, F.col("statistic"))).alias(n)
         for i, n in enumerate(names)
@@ -137,26 +173,53 @@ def exact_quantiles(
     return stats.groupBy(*groups).agg(*columns)
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """1-based rank over the whole frame in ``order`` (which must be total).
+def _ranges(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` with ``_part``, the number of its range of the ascending order ``by``.
 
-    Range partitions are ranked locally and shifted by the row counts before them.
-    The partitioned rows are checkpointed: sampled range bounds may not change
-    between the counting and the ranking, also if an executor is lost.
+    Bounds are literals from a sample of about ``BOUND_ROWS`` rows.  They are part of the
+    plan, so a lost executor cannot change them, and decide only where rows are worked on.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    parts = (
-        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
-    )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    order = F.struct(*by)
+    every = max(1, df.count() // BOUND_ROWS)
+    rows = df.select(*by).filter(F.pmod(F.xxhash64(*by), F.lit(every)) == 0)
+    sample = rows.distinct().orderBy(*by).limit(4 * BOUND_ROWS).collect()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = max(1, len(sample) // parts)
+    types = {f.name: f.dataType for f in df.schema}
+    bounds = [
+        F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in by]) for r in sample[step::step]
+    ]
+    part = F.size(F.filter(F.array(*bounds), lambda b: b < order)) if bounds else F.lit(0)
+    return df.withColumn("_part", part)
+
+
+def running_total(df: DataFrame, by: Sequence[str], weight: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``weight`` over all rows before each in the total order ``by``.
+
+    Rows are cut into ranges, summed per range, and added up inside their range.
+    """
+    placed = _ranges(df, by)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range.
     offsets = (
-        parts.groupBy("_part")
-        .agg(F.count("*").alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+        placed.groupBy("_part")
+        .agg(F.sum(weight).alias("_sum"))
+        .select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    )
+    before = (
+        Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return (
-        parts.join(bounded_side(offsets, 1_000_000), "_part")
-        .withColumn(name, local + F.col("_offset"))
+        placed.join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.coalesce(F.sum(weight).over(before), F.lit(0)) + F.col("_offset"))
         .drop("_part", "_offset")
     )
+
+
+def global_rank(df: DataFrame, by: Sequence[str], name: str = "rank") -> DataFrame:
+    """1-based rank over the whole frame by ``by``, ascending, NULLs first.
+
+    ``by`` must order the rows totally.
+    """
+    counted = running_total(df.withColumn("_one", F.lit(1).cast("bigint")), by, "_one", "_before")
+    return counted.withColumn(name, F.col("_before") + 1).drop("_one", "_before")

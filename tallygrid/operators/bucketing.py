@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.selection import exact_quantiles, global_rank, order_statistics
+from ..functions.selection import exact_quantiles, global_rank, null_safe, order_statistics
 from ..functions.sizing import bounded_side
 from .features import LABELS
 
@@ -52,7 +52,7 @@ def tertile_by_rank(
 ) -> DataFrame:
     """Label rows by equal-width bins of their rank; ties are ranked by ``key``."""
     valued = df.filter(F.col(column).isNotNull())
-    ranked = global_rank(valued.select(key, column), [F.col(column).asc(), F.col(key).asc()])
+    ranked = global_rank(valued.select(key, column), [column, key])
     n = ranked.count()
     rank, width = F.col("rank"), len(labels)
     chain = F.when(F.lit(False), F.lit(None).cast("string"))
@@ -97,6 +97,8 @@ def stratified_split(
 ) -> DataFrame:
     """Exactly ``round(ratio * n)`` rows of each stratum become training rows.
 
+    Rows without a stratum are a stratum of their own.
+
     The choice depends on the key and seed only, so it survives recomputation.
     """
 
@@ -108,7 +110,7 @@ def stratified_split(
     )
     chosen = F.coalesce(F.col("_hash") <= F.col("_cut0"), F.lit(False))
     return (
-        hashed.join(cuts, stratum, "left").withColumn(name, chosen).drop("_hash", "_cut0")
+        null_safe(hashed, cuts, [stratum], "left").withColumn(name, chosen).drop("_hash", "_cut0")
     )
 
 
@@ -133,5 +135,5 @@ def stratified_folds(
     for i in range(len(probs)):
         cut = F.col(f"_cut{i}")
         fold = fold + F.when(cut.isNull() | (F.col("_hash") > cut), 1).otherwise(0)
-    joined = hashed.join(cuts, stratum, "left").withColumn(name, fold)
+    joined = null_safe(hashed, cuts, [stratum], "left").withColumn(name, fold)
     return joined.drop("_hash", *[f"_cut{i}" for i in range(len(probs))])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import rounded
-from ..functions.selection import exact_quantiles
+from ..functions.selection import exact_quantiles, null_safe
 from ..functions.sizing import bounded_side
 
 BINS = 20
@@ -32,7 +32,7 @@ def to_long(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*pairs))).filter("value IS NOT NULL")
 
 
-def baseline_stats(long: DataFrame, small: bool | None = None) -> DataFrame:
+def baseline_stats(long: DataFrame) -> DataFrame:
     """Rows, mean, sample std, min, max and quartiles per feature."""
     known = long.filter("value IS NOT NULL")
     moments = known.groupBy("feature").agg(
@@ -43,9 +43,9 @@ def baseline_stats(long: DataFrame, small: bool | None = None) -> DataFrame:
         F.max("value").alias("max"),
     )
     quartiles = exact_quantiles(
-        known, ["feature"], "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], small
+        known, ["feature"], "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"]
     )
-    return moments.join(quartiles, "feature")
+    return null_safe(moments, quartiles, ["feature"])
 
 
 def value_ranges(long: DataFrame) -> DataFrame:
@@ -201,11 +201,11 @@ def label_drift(recent: DataFrame, baseline: DataFrame, label: str) -> DataFrame
     )
 
 
-def outliers_iqr(long: DataFrame, k: float = 1.5, small: bool | None = None) -> DataFrame:
+def outliers_iqr(long: DataFrame, k: float = 1.5) -> DataFrame:
     """Per feature: the fences p25 - k*IQR and p75 + k*IQR and the rows outside them."""
     known = long.filter("value IS NOT NULL")
     quartiles = exact_quantiles(
-        known, ["feature"], "value", [0.25, 0.75], ["p25", "p75"], small
+        known, ["feature"], "value", [0.25, 0.75], ["p25", "p75"]
     )
     spread = F.col("p75") - F.col("p25")
     fences = quartiles.select(
@@ -215,7 +215,7 @@ def outliers_iqr(long: DataFrame, k: float = 1.5, small: bool | None = None) ->
     )
     value = F.col("value")
     return (
-        known.join(bounded_side(fences), "feature")
+        null_safe(known, bounded_side(fences), ["feature"])
         .groupBy("feature", "lower_fence", "upper_fence")
         .agg(
             F.count("*").alias("rows"),

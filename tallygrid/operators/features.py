@@ -13,10 +13,9 @@ from pyspark.sql.window import Window
 
 from ..functions.numeric import guarded_ratio, mean, zero_if_null
 from ..functions.selection import exact_quantiles
-from ..functions.sizing import is_small
 from ..schemas import FeatureSpec, Names
 
-MAX_LEVELS = 1_000
+
 
 
 def feature_base(
@@ -110,18 +109,11 @@ def log_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ) if columns else df
 
 
-def column_medians(
-    df: DataFrame, columns: Sequence[str], small: bool | None = None
-) -> dict[str, float | None]:
+def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Exact medians of the non-NULL values; one row reaches the driver."""
     present = [c for c in columns if c in df.columns]
     if not present:
         return {}
-    if small is None:
-        small = is_small(df)
-    if small:
-        row = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in present]).first()
-        return row.asDict()
     tall = df.select(
         F.inline(
             F.array(
@@ -132,7 +124,7 @@ def column_medians(
             )
         )
     )
-    rows = exact_quantiles(tall, ["feature"], "value", [0.5], ["median"], small=False).collect()
+    rows = exact_quantiles(tall, ["feature"], "value", [0.5], ["median"]).collect()
     found = {r["feature"]: r["median"] for r in rows}
     return {c: found.get(c) for c in present}
 
@@ -168,12 +160,14 @@ def lag_features(
     return df.withColumns(added) if added else df
 
 
-def category_levels(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list[str]:
-    """Sorted distinct values of a low-cardinality column."""
-    rows = (
-        df.select(F.col(column).cast("string")).dropna().distinct().limit(max_levels + 1).collect()
-    )
-    if len(rows) > max_levels:
+def category_levels(df: DataFrame, column: str, max_levels: int | None = None) -> list[str]:
+    """Sorted distinct values of a low-cardinality column; each becomes a column of a matrix.
+
+    With ``max_levels`` more values than that raise an error.
+    """
+    values = df.select(F.col(column).cast("string")).dropna().distinct()
+    rows = (values if max_levels is None else values.limit(max_levels + 1)).collect()
+    if max_levels is not None and len(rows) > max_levels:
         raise ValueError(f"{column} has more than {max_levels} levels")
     return sorted(r[0] for r in rows)
 
@@ -240,17 +234,14 @@ class FittedFeatures:
         if not keep_incomplete:
             out = drop_incomplete(out)
         out = out.drop(*spec.drop)
-        prefixes = tuple(f"{c}_" for c in spec.categorical)
-        return out.select(
-            [
-                c
-                for c in out.columns
-                if c in spec.numeric
-                or c in spec.passthrough
-                or c.endswith("_log")
-                or (prefixes and c.startswith(prefixes))
-            ]
-        )
+        made = set(self.made_columns())
+        return out.select([c for c in out.columns if c in made])
+
+    def made_columns(self) -> list[str]:
+        """Exactly the columns that ``transform`` may put into a matrix."""
+        spec = self.spec
+        levels = [f"{c}_{v}" for c in spec.categorical for v in self.levels.get(c, [])]
+        return [*spec.numeric, *spec.passthrough, *[f"{c}_log" for c in spec.log], *levels]
 
     def feature_names(self, columns: Sequence[str]) -> list[str]:
         return [c for c in columns if c not in self.spec.passthrough]

@@ -10,10 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.numeric import mean, rounded
-from ..functions.sizing import bounded_side
+from ..functions.selection import running_total
 from ..schemas import Names
 
 ORDER_COLUMNS = ("total_events", "total_severe", "total_minor")
@@ -200,9 +199,9 @@ def latest_snapshot(
     scored = mart.filter(F.col(names.loss).isNotNull())
     if year is not None:
         return scored.filter(F.col(names.year) == year)
-    # One row; the join is a broadcast of that row.
-    newest = mart.agg(F.max(names.year).alias(names.year))
-    return scored.join(F.broadcast(newest), names.year, "left_semi")
+    # One row; as a literal it prunes before anything is aggregated.
+    newest = mart.agg(F.max(names.year)).first()[0]
+    return scored.filter(F.col(names.year) == F.lit(newest))
 
 
 def entity_rank(
@@ -210,19 +209,16 @@ def entity_rank(
 ) -> DataFrame:
     """Rank of entities inside a report by ``metric`` descending; ties share a rank.
 
-    A value's rank is one plus the rows above it, so only distinct values are ordered.
-    ``report`` has at most 100 rows when it comes from a governed query; it is then
-    computed once.
+    A value's rank is one plus the rows above it, so only distinct values are ordered, in
+    ranges that are summed one after the other.
     """
-    report = bounded_side(report)
     levels = report.groupBy(metric).agg(F.count("*").alias("_rows"))
-    above = (
-        Window.orderBy(F.desc_nulls_last(metric)).rowsBetween(Window.unboundedPreceding, -1)
+    order = levels.select(
+        "*", F.col(metric).isNull().alias("_last"), (-F.col(metric)).alias("_falling")
     )
-    ranks = levels.select(
-        metric, (F.coalesce(F.sum("_rows").over(above), F.lit(0)) + 1).alias("rank")
-    )
-    ranked = report.join(ranks, report[metric].eqNullSafe(ranks[metric])).drop(ranks[metric])
+    above = running_total(order, ["_last", "_falling"], "_rows", "_above")
+    ranks = above.select(F.col(metric).alias("_metric"), (F.col("_above") + 1).alias("rank"))
+    ranked = report.join(ranks, report[metric].eqNullSafe(ranks["_metric"])).drop("_metric")
     return ranked if ids is None else ranked.filter(F.col(names.entity).isin(list(ids)))
 
 

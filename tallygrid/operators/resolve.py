@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.sizing import bounded_rows
 from ..schemas import Names
 
-# Names are cut to this many characters before lookup.
-NAME_CHARS = 40
-
 # Up to this many distinct lookups travel to the entities before these are shuffled.
 ASKED_ROWS = 50_000
 
@@ -19,23 +15,28 @@ ASKED_ROWS = 50_000
 EXACT, EXACT_SPACED, PREFIX = 0, 1, 2
 
 
-def clean_name(name: Column) -> Column:
-    """Letters, digits, blanks and hyphens only, cut, trimmed, in lower case."""
-    letters = F.regexp_replace(name, r"[^a-zA-Z0-9 \-]", "")
-    return F.lower(F.trim(F.substring(letters, 1, NAME_CHARS)))
+def clean_name(name: Column, chars: int | None = None) -> Column:
+    """Letters, digits, blanks and hyphens only, trimmed, in lower case, cut if asked.
+
+    Asked names and entities' names are cleaned alike, so dots and apostrophes never decide.
+    """
+    letters = F.lower(F.trim(F.regexp_replace(name, r"[^\p{L}\p{N} \-]", "")))
+    return F.substring(letters, 1, chars) if chars else letters
 
 
-def _prefix_index(entity: DataFrame, wanted: DataFrame, names: Names) -> DataFrame:
+def _prefix_index(
+    entity: DataFrame, wanted: DataFrame, names: Names, chars: int | None
+) -> DataFrame:
     """Best candidate per (name prefix, group hint); hint "" stands for any group.
 
-    Prefix lookup becomes an equi-join: a name yields at most ``NAME_CHARS`` prefixes,
-    and candidates collapse to one per prefix before the join, map-side first.  If few
-    prefixes are asked for, all others are dropped where they arise.
+    Prefix lookup becomes an equi-join: a name yields its prefixes, and candidates collapse
+    to one per prefix before the join, map-side first.  If few prefixes are asked for, all
+    others are dropped where they arise.
     """
-    lower = F.lower(names.name)
-    lengths = F.sequence(F.lit(1), F.least(F.length(lower), F.lit(NAME_CHARS)))
+    lower = clean_name(F.col(names.name), chars)
+    lengths = F.sequence(F.lit(1), F.length(lower))
     rows = (
-        entity.filter(F.length(names.name) > 0)
+        entity.filter(F.length(lower) > 0)
         .withColumn("_length", F.explode(lengths))
         .select(
             F.substring(lower, F.lit(1), F.col("_length")).alias("_prefix"),
@@ -58,14 +59,14 @@ def _prefix_index(entity: DataFrame, wanted: DataFrame, names: Names) -> DataFra
 
 def resolve_entity(
     lookups: DataFrame, entity: DataFrame, key: str = "lookup_id", name: str = "name",
-    hint: str | None = None, names: Names = Names(),
+    hint: str | None = None, names: Names = Names(), chars: int | None = None,
 ) -> DataFrame:
     """Best entity per looked-up name: exact before hyphen variant before prefix.
 
     ``hint`` names a column with an optional group to narrow to.  Ties go to the
     smallest entity id.  Names without a match are left out.
     """
-    cleaned = clean_name(F.col(name))
+    cleaned = clean_name(F.col(name), chars)
     group = F.lower(F.trim(F.col(hint))) if hint else F.lit("")
     wanted = (
         lookups.select(
@@ -91,7 +92,7 @@ def resolve_entity(
     candidate = F.col("_candidate")
     priority = F.when(candidate["partial"] == 0, F.col("_variant")).otherwise(F.lit(PREFIX))
     best = (
-        wanted.join(_prefix_index(entity, wanted, names), ["_prefix", "_hint"])
+        wanted.join(_prefix_index(entity, wanted, names, chars), ["_prefix", "_hint"])
         .groupBy(key)
         .agg(
             F.min(
@@ -114,20 +115,17 @@ def resolve_entity(
 
 
 def ambiguous_names(
-    entity: DataFrame, limit: int = 20, names: Names = Names()
+    entity: DataFrame, limit: int | None = None, names: Names = Names()
 ) -> DataFrame:
-    """Names that occur in more than one group, with the first ``limit`` groups.
+    """Names that occur in more than one group, with all groups or the first ``limit``.
 
     The full number of groups is counted beside the listing.
     """
     pairs = entity.select(F.lower(names.name).alias("name"), F.col(names.group).alias("_group"))
     pairs = pairs.distinct()
     many = pairs.groupBy("name").agg(F.count("*").alias("group_count")).filter("group_count > 1")
-    order = F.row_number().over(Window.partitionBy("name").orderBy("_group"))
-    listed = (
-        pairs.withColumn("_n", order)
-        .filter(F.col("_n") <= limit)
-        .groupBy("name")
-        .agg(F.sort_array(F.collect_list("_group")).alias("groups"))
+    groups = F.sort_array(F.collect_set("_group"))
+    listed = pairs.groupBy("name").agg(
+        (F.slice(groups, 1, limit) if limit else groups).alias("groups")
     )
     return many.join(listed, "name").select("name", "group_count", "groups")

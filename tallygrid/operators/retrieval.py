@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.numeric import rounded
@@ -17,9 +18,9 @@ from ..functions.numeric import rounded
 # The block scorer travels with its tasks; executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Queries in one broadcast or grid block, vectors in one grid block, vectors scored at once.
-QUERY_BLOCK = 1_024
-VECTOR_BLOCK = 16_384
+# Queries that travel to the vectors at once, and the rows that are scored at once.
+QUERY_BLOCK = 16_384
+QUERY_SLICE = 1_024
 SLICE = 8_192
 
 TOP_K = 5
@@ -29,46 +30,61 @@ LOW_CONFIDENCE = 0.5
 TIE_PLACES = 12
 
 
-def _unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of a list column as unit vectors in double precision."""
+def _unit_rows(column: pa.ChunkedArray | pa.Array, ids: list, length: int) -> np.ndarray:
+    """Rows of a list column as unit vectors in double precision; all of one length."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = rows.reshape(len(column), -1)
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    if (sizes != length).any():
+        at = int(np.flatnonzero(sizes != length)[0])
+        raise ValueError(f"vector {ids[at]!r} has {sizes[at]} values, not {length}")
+    flat = column.flatten()
+    rows = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, length)
+    if flat.null_count or not np.isfinite(rows).all():
+        at = int(np.flatnonzero(~np.isfinite(rows).all(axis=1))[0])
+        raise ValueError(f"vector {ids[at]!r} holds NULL or a value that is not finite")
     norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
     return rows / np.where(norms > 0, norms, 1.0)[:, None]
 
 
-def _best(qids: np.ndarray, query_rows: np.ndarray, vids: np.ndarray, vectors: pa.Array,
-          k: int, exclude_self: bool) -> dict[str, np.ndarray]:
-    """The k best vectors of a block per query, ties to the smaller id."""
-    unit = _unit_rows(vectors)
-    found = []
-    for start in range(0, len(vids), SLICE):
-        ids = vids[start : start + SLICE]
-        scores = np.round(query_rows @ unit[start : start + SLICE].T, TIE_PLACES)
-        if exclude_self:
-            scores[qids[:, None] == ids[None, :]] = -np.inf
-        n = scores.shape[1]
-        floor = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(qids), -2)
-        i, j = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
-        found.append((i, ids[j], scores[i, j]))
-    i, v, s = (np.concatenate(part) for part in zip(*found, strict=True))
-    return _trim({"_qid": qids[i], "_vid": v, "_score": s}, k)
-
-
-def _trim(hits: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
-    """The k best hits per query, in order."""
-    order = np.lexsort((hits["_vid"], -hits["_score"], hits["_qid"]))
-    sorted_hits = {name: column[order] for name, column in hits.items()}
-    ids = sorted_hits["_qid"]
-    kept = np.arange(len(ids)) - np.searchsorted(ids, ids) < k
-    return {name: column[kept] for name, column in sorted_hits.items()}
+class _Hits:
+    """The k best vectors so far of every query: its number, the vector's id, the score."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.query, self.vector, self.score = np.array([], np.int64), [], np.array([])
+
+    def add(self, query: np.ndarray, vector: list, score: np.ndarray) -> None:
+        query, score = np.concatenate([self.query, query]), np.concatenate([self.score, score])
+        vector = self.vector + vector
+        # Ids of any type are ordered by their place among the ids at hand.
+        place = {v: i for i, v in enumerate(sorted(set(vector)))}
+        rank = np.array([place[v] for v in vector], np.int64)
+        order = np.lexsort((rank, -score, query))
+        query = query[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        self.query, self.score = query[kept], score[order][kept]
+        self.vector = [vector[i] for i in order[kept]]
+
+
+def _score(hits: _Hits, first: int, query_ids: list, query_rows: np.ndarray, ids: list,
+           unit: np.ndarray, exclude_self: bool) -> None:
+    """Add a slice of queries against a slice of vectors; ties at the edge go to the smaller id."""
+    scores = np.round(query_rows @ unit.T, TIE_PLACES)
+    if exclude_self:
+        place = {v: j for j, v in enumerate(ids)}
+        for i, q in enumerate(query_ids):
+            if q in place:
+                scores[i, place[q]] = -np.inf
+    n, k = scores.shape[1], hits.k
+    floor = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -2.0)
+    i, j = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+    hits.add(i + first, [ids[x] for x in j], scores[i, j])
 
 
 def _valid(df: DataFrame, id_col: str, vector: str, as_id: str, as_vector: str) -> DataFrame:
     return df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(
-        F.col(id_col).cast("bigint").alias(as_id), F.col(vector).cast("array<double>").alias(as_vector)
+        F.col(id_col).alias(as_id), F.col(vector).cast("array<double>").alias(as_vector)
     )
 
 
@@ -79,20 +95,21 @@ def cosine_topk(
 ) -> DataFrame:
     """``(query_id, vec_id, score, rank)``: the k nearest vectors, then the score floor.
 
-    Up to ``max_queries`` queries travel to the tasks and every vector is read once where
-    it lies.  More queries than that are cut into blocks and meet blocks of vectors in a
-    grid of bounded tasks.  Either way a task returns only its k best per query, and the
-    final choice merges those.  Ids must be integers.
+    Ids may be of any type that has an order.  All vectors must be of one length.  Blocks of
+    at most about ``max_queries`` queries travel to the tasks, and every vector is scored where
+    it lies; more queries take more passes over the vectors, which are never shuffled.  A
+    task returns only its k best per query, and the final choice merges those.
     """
     if k < 1:
         k = TOP_K
     q = _valid(queries, query_id, query_vector, "_qid", "_qvec")
     v = _valid(vectors, vector_id, vector, "_vid", "_vec")
-    sample = q.limit(max_queries + 1).toArrow()
-    if sample.num_rows <= max_queries:
-        partial = _score_near_vectors(sample, v, k, exclude_self)
-    else:
-        partial = _score_grid(q, v, k, exclude_self, max_queries)
+    blocks = max(1, -(-q.count() // max_queries))
+    partial = None
+    for block in range(blocks):
+        own = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("_qid"), F.lit(blocks)) == block)
+        scored = _score_in_place(own, v, k, exclude_self)
+        partial = scored if partial is None else partial.unionByName(scored)
     order = Window.partitionBy("_qid").orderBy(F.desc("_score"), F.asc("_vid"))
     return (
         partial.withColumn("rank", F.row_number().over(order))
@@ -106,59 +123,50 @@ def cosine_topk(
     )
 
 
-_PARTIAL = "_qid bigint, _vid bigint, _score double"
-
-
-def _score_near_vectors(
-    queries: pa.Table, vectors: DataFrame, k: int, exclude_self: bool
-) -> DataFrame:
-    if queries.num_rows == 0:
-        return vectors.sparkSession.createDataFrame([], _PARTIAL)
-    ids = queries.column("_qid").to_numpy()
-    matrix = _unit_rows(queries.column("_qvec"))
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+def _score_in_place(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    schema = T.StructType([
+        queries.schema["_qid"], vectors.schema["_vid"], T.StructField("_score", T.DoubleType())
+    ])
+    table = queries.toArrow()
+    if table.num_rows == 0:
+        return vectors.sparkSession.createDataFrame([], schema)
+    query_ids = table.column("_qid").to_pylist()
+    length = len(table.column("_qvec")[0])
+    matrix = _unit_rows(table.column("_qvec"), query_ids, length)
+    shared = vectors.sparkSession.sparkContext.broadcast((query_ids, matrix))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_rows = shared.value
-        kept = None
+        asked, rows = shared.value
+        hits, types = _Hits(k), None
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            vids = batch.column("_vid").to_numpy(zero_copy_only=False)
-            best = _best(query_ids, query_rows, vids, batch.column("_vec"), k, exclude_self)
-            if kept is not None:
-                both = {name: np.concatenate([kept[name], best[name]]) for name in best}
-                best = _trim(both, k)
-            kept = best
-        if kept is not None:
-            yield pa.RecordBatch.from_pydict(kept)
-
-    return vectors.mapInArrow(score, _PARTIAL)
-
-
-def _score_grid(
-    queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool, block: int
+            ids = batch.column("_vid").to_pylist()
+            types = batch.column("_vid").type
+            unit = _unit_rows(batch.column("_vec"), ids, length) if ids else None
+            for at in range(0, len(ids), SLICE):
+                for first in range(0, len(asked), QUERY_SLICE):
+                    part = slice(first, first + QUERY_SLICE)
+                    _score(hits, first, asked[part], rows[part], ids[at : at + SLICE],
+                           unit[at : at + SLICE], exclude_self)
+        if types is not None:
+            found = [asked[i] for i in hits.query]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, table.schema.field("_qid").type), pa.array(hits.vector, types),
+                 pa.array(hits.score)], names=["_qid", "_vid", "_score"])
+
+    return vectors.mapInArrow(score, schema)
+
+
+def retrieve_chunks(
+    queries: DataFrame, chunks: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE,
+    query_id: str = "query_id", query_vector: str = "embedding", chunk_id: str = "chunk_id",
+    vector: str = "embedding",
 ) -> DataFrame:
-    """Query blocks x vector blocks, each pair of blocks one bounded task."""
-    query_blocks = -(-queries.count() // block)
-    vector_blocks = -(-vectors.count() // VECTOR_BLOCK) or 1
-    q = queries.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(query_blocks)))
-    v = vectors.withColumn("_vb", F.pmod(F.xxhash64("_vid"), F.lit(vector_blocks)))
-    q = q.withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1))))
-    v = v.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    q = q.select(F.col("_qb").cast("int"), F.col("_vb").cast("int"), "_qid", "_qvec")
-    v = v.select(F.col("_qb").cast("int"), F.col("_vb").cast("int"), "_vid", "_vec")
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            none = pa.array([], pa.int64())
-            return pa.table({"_qid": none, "_vid": none, "_score": pa.array([], pa.float64())})
-        qids, vids = left.column("_qid").to_numpy(), right.column("_vid").to_numpy()
-        rows = _unit_rows(left.column("_qvec"))
-        return pa.table(_best(qids, rows, vids, right.column("_vec"), k, exclude_self))
-
-    grouped = q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb"))
-    return grouped.applyInArrow(score, _PARTIAL)
+    """The k nearest chunks of every query, with all their columns but the vector.
+
+    Only the hits' ids meet the chunk table; AQE broadcasts them where they are few.
+    """
+    hits = cosine_topk(queries, chunks, k, min_score, query_id, query_vector, chunk_id, vector)
+    return hits.join(chunks.drop(vector), chunk_id)
 
 
 def retrieval_confidence(

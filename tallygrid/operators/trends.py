@@ -58,10 +58,10 @@ def _both_periods(df: DataFrame, before: Period, after: Period, year: str):
 
 
 def largest_increase(
-    mart: DataFrame, entity: DataFrame, period_a: Period, period_b: Period, limit: int = 20,
-    names: Names = Names(),
+    mart: DataFrame, entity: DataFrame, period_a: Period, period_b: Period,
+    limit: int | None = 20, names: Names = Names(),
 ) -> DataFrame:
-    """Change of the mean yearly events between two periods, largest first.
+    """Change of the mean yearly events between two periods, largest first; None for all.
 
     One scan with conditional aggregates stands for the self-join of two period
     aggregates; entities without rows in both periods drop out.
@@ -74,7 +74,7 @@ def largest_increase(
         F.count_if(early).alias("_rows_a"),
         F.count_if(late).alias("_rows_b"),
     ).filter("_rows_a > 0 AND _rows_b > 0")
-    return (
+    report = (
         with_entity(change, entity, names)
         .select(
             names.entity, names.name, names.group,
@@ -83,9 +83,10 @@ def largest_increase(
             rounded(b - a, 2).alias("absolute_increase"),
             rounded(percent_change(a, b), 2).alias("pct_increase"),
         )
-        .orderBy(F.desc_nulls_last("absolute_increase"), names.entity)
-        .limit(limit)
     )
+    if limit is None:
+        return report
+    return report.orderBy(F.desc_nulls_last("absolute_increase"), names.entity).limit(limit)
 
 
 def category_increase(

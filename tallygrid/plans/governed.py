@@ -22,10 +22,6 @@ DEFAULT_LIMIT = 20
 YEARS = (
     "start_year", "end_year", "period_a_start", "period_a_end", "period_b_start", "period_b_end"
 )
-_TEXT = {
-    "category": re.compile(r"[a-zA-Z \-]+"),
-    "group": re.compile(r"[a-zA-Z ]+"),
-}
 _FIPS = re.compile(r"[0-9]{5}")
 
 # County names of parameters and reports, accepted beside the neutral ones.
@@ -70,47 +66,93 @@ RANKED_BY = {
 }
 
 
+@dataclass(frozen=True)
+class Parameter:
+    """How a parameter is read: ``parse`` gives its canonical form, or fails with ValueError."""
+
+    parse: Callable[[Any, "Limits"], Any]
+    expects: str
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What the data at hand allows."""
+
+    min_year: int = words.MIN_YEAR
+    max_year: int = words.MAX_YEAR
+    id_pattern: re.Pattern[str] = _FIPS
+
+
+def _require(fine: bool) -> None:
+    if not fine:
+        raise ValueError
+
+
+def _year(value: Any, limits: Limits) -> int:
+    year = int(value)
+    _require(limits.min_year <= year <= limits.max_year)
+    return year
+
+
+def _row_limit(value: Any, limits: Limits) -> int:
+    _require(int(value) >= 1)
+    return min(int(value), MAX_LIMIT)
+
+
+def _text(pattern: str, canonical: Callable[[str], str] = str) -> Callable[[Any, Limits], str]:
+    def parse(value: Any, limits: Limits) -> str:
+        _require(re.fullmatch(pattern, str(value)) is not None)
+        return canonical(str(value))
+
+    return parse
+
+
+def _id_list(value: Any, limits: Limits) -> list:
+    parts = value.replace(" ", "").split(",") if isinstance(value, str) else value
+    ids = [p.strip("'") if isinstance(p, str) else p for p in parts]
+    _require(bool(ids) and all(limits.id_pattern.fullmatch(str(i)) for i in ids))
+    return ids
+
+
+def _order(value: Any, limits: Limits) -> str:
+    column = ORDER_ALIASES.get(value, value)
+    _require(column in ranking.ORDER_COLUMNS)
+    return column
+
+
+PARAMETERS: dict[str, Parameter] = {
+    **{name: Parameter(_year, "a covered year") for name in YEARS},
+    "limit": Parameter(_row_limit, "a positive number of rows"),
+    "category": Parameter(_text(r"[a-zA-Z \-]+"), "letters, blanks and hyphens"),
+    "group": Parameter(
+        _text(r"[a-zA-Z ]+", lambda v: v.strip().lower()), "letters and blanks"),
+    "ids": Parameter(_id_list, "entity ids"),
+    "order_col": Parameter(_order, f"one of {', '.join(ranking.ORDER_COLUMNS)}"),
+}
+
+
 def validate(
-    name: str, params: Mapping[str, Any], min_year: int = words.MIN_YEAR,
-    max_year: int = words.MAX_YEAR, id_pattern: re.Pattern[str] = _FIPS,
+    name: str, params: Mapping[str, Any], limits: Limits = Limits()
 ) -> tuple[str, dict[str, Any]]:
     """Canonical report name and clean parameters; anything doubtful raises ValueError."""
     report = REPORT_ALIASES.get(name, name)
     if report not in REQUIRED:
-        raise ValueError(f"Unknown report {name!r}. Allowed: {sorted(REQUIRED)}")
-    given = {PARAMETER_ALIASES.get(k, k): v for k, v in params.items() if v is not None}
+        raise ValueError(f"no report is called {name!r}; there are {', '.join(sorted(REQUIRED))}")
     clean: dict[str, Any] = {}
-    for key, value in given.items():
-        if key in YEARS:
-            year = int(value)
-            if not min_year <= year <= max_year:
-                raise ValueError(f"Year out of range: {year}")
-            clean[key] = year
-        elif key == "limit":
-            limit = min(int(value), MAX_LIMIT)
-            if limit < 1:
-                raise ValueError(f"Invalid limit: {value}")
-            clean[key] = limit
-        elif key in _TEXT:
-            if not _TEXT[key].fullmatch(str(value)):
-                raise ValueError(f"Invalid {key}: {value}")
-            clean[key] = str(value).strip().lower() if key == "group" else str(value)
-        elif key == "ids":
-            parts = value.replace(" ", "").split(",") if isinstance(value, str) else list(value)
-            ids = [p.strip("'") if isinstance(p, str) else p for p in parts]
-            if not ids or not all(id_pattern.fullmatch(str(i)) for i in ids):
-                raise ValueError(f"Invalid entity list: {value}")
-            clean[key] = ids
-        elif key == "order_col":
-            column = ORDER_ALIASES.get(value, value)
-            if column not in ranking.ORDER_COLUMNS:
-                raise ValueError(f"Invalid order_col {value!r}")
-            clean[key] = column
-        else:
-            raise ValueError(f"Unknown parameter: {key}")
-    missing = [k for k in REQUIRED[report] if k not in clean]
-    if missing:
-        raise ValueError(f"Missing parameter: {missing}")
+    for given, value in params.items():
+        key = PARAMETER_ALIASES.get(given, given)
+        if key not in PARAMETERS:
+            raise ValueError(f"{report} takes no {given!r}")
+        if value is None:
+            continue
+        try:
+            clean[key] = PARAMETERS[key].parse(value, limits)
+        except (TypeError, ValueError):
+            expected = PARAMETERS[key].expects
+            raise ValueError(f"{given} must be {expected}, not {value!r}") from None
+    lacking = sorted(set(REQUIRED[report]) - set(clean))
+    if lacking:
+        raise ValueError(f"{report} needs {', '.join(lacking)}")
     return report, clean
 
 
@@ -129,7 +171,8 @@ class Gold:
 
     def run(self, name: str, **params: Any) -> DataFrame:
         """Run a named report; the result never has more than ``MAX_LIMIT`` rows."""
-        report, clean = validate(name, params, self.min_year, self.max_year, self.id_pattern)
+        limits = Limits(self.min_year, self.max_year, self.id_pattern)
+        report, clean = validate(name, params, limits)
         return _REPORTS[report](self, clean)
 
     def answer(self, question: str, default_limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -155,12 +198,6 @@ class Gold:
             ids += [r[self.names.entity] for r in found.orderBy("lookup_id").collect()]
         return ids
 
-    def sql(self, text: str, **args: Any) -> DataFrame:
-        """A query over ``{mart}``, ``{events}`` and ``{entity}`` with ``:name`` arguments."""
-        return self.mart.sparkSession.sql(
-            text, args=args, mart=self.mart, events=self.events, entity=self.entity
-        )
-
     def ranked_by(self, name: str, **params: Any) -> str:
         """The column a report's order comes from, or "" for time series."""
         report = REPORT_ALIASES.get(name, name)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -22,16 +20,3 @@ def local_session(cores: int | str = 8, app: str = "tallygrid", memory: str = "1
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a session that names none (a test) gets a temporary one.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    folder = named or tempfile.mkdtemp(prefix="tallygrid-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder

@@ -124,7 +124,7 @@ def expected_topk(values, queries, k, floor, exclude):
 @pytest.mark.parametrize("max_queries", [1_000, 7])
 @pytest.mark.parametrize("exclude", [True, False])
 def test_topk_equals_brute_force(vectors, max_queries, exclude, monkeypatch):
-    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 90)
+    monkeypatch.setattr(retrieval, "QUERY_SLICE", 9)
     monkeypatch.setattr(retrieval, "SLICE", 64)
     df, values = vectors
     queries = df.filter("vec_id < 25").withColumnRenamed("vec_id", "query_id")
@@ -138,6 +138,26 @@ def test_topk_equals_brute_force(vectors, max_queries, exclude, monkeypatch):
     assert got == {q: v for q, v in expected.items() if v}
 
 
+def test_chunks_are_found_by_their_string_ids(vectors):
+    df, values = vectors
+    chunks = df.select(F.md5(F.col("vec_id").cast("string")).alias("chunk_id"), "embedding",
+                       F.concat(F.lit("text "), "vec_id").alias("text"))
+    queries = df.filter("vec_id < 3").select(
+        F.concat(F.lit("q"), "vec_id").alias("query_id"), "embedding")
+    hits = retrieval.retrieve_chunks(queries, chunks, k=1).collect()
+    assert {(r["query_id"], r["text"]) for r in hits} == {(f"q{i}", f"text {i}") for i in range(3)}
+    assert "embedding" not in hits[0].asDict()
+
+
+@pytest.mark.parametrize("bad", [[1.0] * 5, [1.0] * 7 + [None], [1.0] * 7 + [float("inf")]])
+def test_a_bad_vector_is_named(spark, vectors, bad):
+    df, _ = vectors
+    queries = df.filter("vec_id < 3").withColumnRenamed("vec_id", "query_id")
+    other = spark.createDataFrame([(77, bad)], "vec_id bigint, embedding array<float>")
+    with pytest.raises(Exception, match="vector 77"):
+        retrieval.cosine_topk(queries, other).collect()
+
+
 def test_floor_applies_after_topk_and_k_zero_means_default(vectors):
     df, values = vectors
     queries = df.filter("vec_id = 3").withColumnRenamed("vec_id", "query_id")

@@ -76,10 +76,9 @@ def test_kl_is_zero_for_equal_and_matches_the_formula(data):
     assert kl["shifted"] == pytest.approx(float((p * np.log(p / q)).sum()))
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_baseline_stats(data, small):
+def test_baseline_stats(data):
     base, _, frame, _ = data
-    rows = {r["feature"]: r for r in drift.baseline_stats(frame, small).collect()}
+    rows = {r["feature"]: r for r in drift.baseline_stats(frame).collect()}
     for feature, values in base.items():
         row = rows[feature]
         assert row["mean"] == pytest.approx(values.mean())
@@ -117,12 +116,11 @@ def test_label_drift(spark):
     assert row["is_drifted"] and row["labels"] == 3
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_outliers(spark, small):
+def test_outliers(spark):
     df = spark.range(101).select(
         F.lit("f").alias("feature"),
         F.when(F.col("id") == 100, 1e6).otherwise(F.col("id").cast("double")).alias("value"),
     )
-    row = drift.outliers_iqr(df, small=small).first()
+    row = drift.outliers_iqr(df).first()
     assert (row["rows"], row["outliers"]) == (101, 1)
     assert (row["lower_fence"], row["upper_fence"]) == (-50.0, 150.0)

@@ -27,10 +27,9 @@ def skewed(spark):
     return df.persist(), {"hot": hot, "wide": wide, "tiny": tiny}
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_order_statistics_match_numpy(skewed, small):
+def test_order_statistics_match_numpy(skewed):
     df, values = skewed
-    got = selection.order_statistics(df, ["g"], "v", PROBS, accuracy=1_000, small=small)
+    got = selection.order_statistics(df, ["g"], "v", PROBS, accuracy=1_000)
     for row in got.collect():
         expected = np.quantile(values[row["g"]], PROBS[row["target"]])
         assert row["statistic"] == pytest.approx(expected, rel=1e-12)
@@ -38,10 +37,9 @@ def test_order_statistics_match_numpy(skewed, small):
     assert got.count() == 3 * len(PROBS)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_ungrouped_quantiles(skewed, small):
+def test_ungrouped_quantiles(skewed):
     df, values = skewed
-    row = selection.exact_quantiles(df, [], "v", [0.1, 0.5], ["a", "b"], small=small).first()
+    row = selection.exact_quantiles(df, [], "v", [0.1, 0.5], ["a", "b"]).first()
     every = np.concatenate(list(values.values()))
     assert row["a"] == pytest.approx(np.quantile(every, 0.1))
     assert row["b"] == pytest.approx(np.quantile(every, 0.5))
@@ -50,26 +48,49 @@ def test_ungrouped_quantiles(skewed, small):
 def test_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([], "g string, v double")
     assert selection.order_statistics(empty, ["g"], "v", [0.5]).count() == 0
-    assert selection.order_statistics(empty, [], "v", [0.5], small=False).count() == 0
+    rows = selection.order_statistics(empty, [], "v", [0.5]).collect()
+    assert [(r["n"], r["statistic"]) for r in rows] == [(0, None)]
+
+
+def test_null_groups_and_groups_without_values_are_kept(spark):
+    rows = [(None, 1.0), (None, 3.0), ("a", None), ("a", None), ("b", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["m"]) for r in selection.exact_quantiles(df, ["g"], "v", [0.5], ["m"]).collect()}
+    assert got == {None: 2.0, "a": None, "b": 5.0}
+
+
+def test_wide_brackets_are_narrowed(skewed, monkeypatch):
+    df, values = skewed
+    monkeypatch.setattr(selection, "BRACKET_ROWS", 1)
+    got = selection.order_statistics(df, ["g"], "v", PROBS, accuracy=1_000)
+    for row in got.collect():
+        expected = np.quantile(values[row["g"]], PROBS[row["target"]])
+        assert row["statistic"] == pytest.approx(expected, rel=1e-12)
+
+
+def test_running_total_in_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(selection, "BOUND_ROWS", 50)
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("k"), F.lit(2).alias("w"))
+    rows = selection.running_total(df, ["k"], "w", "t").collect()
+    assert all(r["t"] == 2 * r["k"] for r in rows) and len(rows) == 500
 
 
 def test_global_rank_is_a_total_order(skewed):
     df, _ = skewed
     keyed = df.filter("v IS NOT NULL").withColumn("k", F.monotonically_increasing_id())
-    ranked = selection.global_rank(keyed, [F.col("v").asc(), F.col("k").asc()])
+    ranked = selection.global_rank(keyed, ["v", "k"])
     rows = ranked.select("v", "k", "rank").collect()
     ordered = sorted(rows, key=lambda r: (r["v"], r["k"]))
     assert [r["rank"] for r in ordered] == list(range(1, len(rows) + 1))
 
 
-def test_medians_of_both_ways_agree(skewed):
+def test_medians(skewed):
     df, values = skewed
     wide = df.withColumn("w", F.col("v") * 2)
     every = np.concatenate(list(values.values()))
-    for small in (True, False):
-        medians = features.column_medians(wide, ["v", "w", "absent"], small)
-        assert medians["v"] == pytest.approx(np.median(every))
-        assert medians["w"] == pytest.approx(np.median(every) * 2)
+    medians = features.column_medians(wide, ["v", "w", "absent"])
+    assert medians["v"] == pytest.approx(np.median(every))
+    assert medians["w"] == pytest.approx(np.median(every) * 2)
 
 
 @pytest.mark.parametrize(("n", "sizes"), [(4, (2, 1, 1)), (7, (3, 2, 2)), (10, (4, 3, 3)),
@@ -122,15 +143,13 @@ def test_split_is_exact_per_stratum_and_repeatable(strata):
     assert chosen != {r["id"] for r in other.filter("is_train").collect()}
 
 
-def test_split_way_for_large_inputs_agrees(strata, monkeypatch):
-    small = {r["id"] for r in bucketing.stratified_split(strata, "s", "id")
-             .filter("is_train").collect()}
-    monkeypatch.setattr(selection, "is_small", lambda df: False)
-    monkeypatch.setattr(selection.order_statistics, "__defaults__",
-                        (selection._linear_position, 500, None))
-    large = {r["id"] for r in bucketing.stratified_split(strata, "s", "id")
-             .filter("is_train").collect()}
-    assert small == large
+def test_rows_without_a_stratum_are_a_stratum(spark):
+    df = spark.range(20).select("id", F.when(F.col("id") < 10, "a").alias("s"))
+    split = bucketing.stratified_split(df, "s", "id", 0.8)
+    assert {r["s"]: r["n"] for r in split.filter("is_train").groupBy("s").agg(
+        F.count("*").alias("n")).collect()} == {"a": 8, None: 8}
+    folds = bucketing.stratified_folds(df, "s", "id", 5).groupBy("s", "fold").count().collect()
+    assert len(folds) == 10 and all(r["count"] == 2 for r in folds)
 
 
 def test_folds_share_every_stratum_evenly(strata):

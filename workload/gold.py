@@ -347,8 +347,9 @@ def _snapshot(spark, sf_dir):
 
 
 def _entity_rank(spark, sf_dir):
-    report = gold(spark, sf_dir).run(
-        "largest_increase", limit=100, **_periods()
+    # Ranked over all entities; a limit for display would come after.
+    report = trends.largest_increase(
+        mart(spark, sf_dir), entity(spark, sf_dir), EARLY, LATE, limit=None
     ).withColumn("absolute_increase", F.floor(F.col("absolute_increase")))
     return ranking.entity_rank(report, "absolute_increase").select(
         "entity_id", "absolute_increase", "rank"
@@ -552,7 +553,7 @@ SELECT entity_id, year, event_count, declaration_count,
 FROM g_mart WHERE loss_score IS NOT NULL AND year = (SELECT MAX(year) FROM g_mart)""",
     "entity_rank": f"""SELECT entity_id, {big("floor(absolute_increase)", "absolute_increase")},
   RANK() OVER (ORDER BY floor(absolute_increase) DESC) AS rank
-FROM ({_INCREASE_SQL} LIMIT 100) t""",
+FROM ({_INCREASE_SQL}) t""",
     "entity_labels": f"""WITH {ENTITY}
 SELECT entity_id, entity_name || ', ' || group_name AS label FROM g_entity""",
     "semi_events": f"""WITH {ENTITY}, {EVENT}
@@ -597,5 +598,5 @@ WHERE n = 1""",
 ranked AS (SELECT name, p_brand, row_number() OVER (PARTITION BY name ORDER BY p_brand) AS n,
   COUNT(*) OVER (PARTITION BY name) AS group_count FROM pairs)
 SELECT name, group_count, string_agg(p_brand, ',' ORDER BY p_brand) AS groups
-FROM ranked WHERE n <= 20 AND group_count > 1 GROUP BY name, group_count""",
+FROM ranked WHERE group_count > 1 GROUP BY name, group_count""",
 }

@@ -193,10 +193,13 @@ def drop_incomplete(df: DataFrame, target: str | None = None) -> DataFrame:
     return df.na.drop(subset=[target]) if target else df.na.drop("any")
 
 
-def align_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Exactly the model's columns in order; missing ones and NULLs become 0."""
+def align_features(
+    df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()
+) -> DataFrame:
+    """Exactly the model's columns in order, after ``keep``; missing ones and NULLs become 0."""
     return df.select(
-        [
+        *keep,
+        *[
             (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0))
             .alias(c)
             for c in features
@@ -221,10 +224,13 @@ class FittedFeatures:
     medians: dict[str, float | None]
     levels: dict[str, list[str]]
 
-    def transform(self, df: DataFrame, keep_incomplete: bool = False) -> DataFrame:
+    def transform(
+        self, df: DataFrame, keep_incomplete: bool = False, carry: Sequence[str] = ()
+    ) -> DataFrame:
         """Impute, log, lag, one-hot, drop incomplete rows, keep whitelisted columns.
 
-        Imputation comes first so that logs see filled values.
+        Imputation comes first so that logs see filled values.  ``carry`` names columns that
+        are no features but stay beside them.
         """
         spec = self.spec
         out = median_impute(df, spec.numeric, self.medians)
@@ -234,7 +240,7 @@ class FittedFeatures:
         if not keep_incomplete:
             out = drop_incomplete(out)
         out = out.drop(*spec.drop)
-        made = set(self.made_columns())
+        made = {*self.made_columns(), *carry}
         return out.select([c for c in out.columns if c in made])
 
     def made_columns(self) -> list[str]:

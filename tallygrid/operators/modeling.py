@@ -37,7 +37,7 @@ def train_classifier(
         )
     elif kind == "boosted":
         estimator = OneVsRest(
-            labelCol=label,
+            labelCol=label, parallelism=len(LABELS),
             classifier=GBTClassifier(
                 maxDepth=int(p["depth"]), maxIter=int(p["rounds"]), stepSize=p["rate"],
                 subsamplingRate=p["rows"], featureSubsetStrategy=str(p["columns"]),
@@ -59,7 +59,12 @@ def batch_score(
         probabilities = vector_to_array("probability")
         predicted = first_argmax(probabilities)
     else:
-        probabilities = vector_to_array("rawPrediction")
+        # A boosted margin m stands for the odds exp(2m) of its class against the rest.
+        odds = F.transform(
+            vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m))
+        )
+        total = F.aggregate(odds, F.lit(0.0), lambda a, p: a + p)
+        probabilities = F.transform(odds, lambda p: p / total)
         predicted = F.col("prediction").cast("int")
     names = F.array(*[F.lit(n) for n in labels])
     return scored.select(

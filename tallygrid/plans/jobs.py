@@ -129,14 +129,21 @@ def train(
 def score(
     table: DataFrame, model: PipelineModel, fitted: features.FittedFeatures,
     feature_names: Sequence[str], path: str, run_date: Column | str, model_name: str,
+    describe: Sequence[str] = ("entity_name", "group_name", "county_name", "state"),
 ) -> DataFrame:
-    """Tiers of all rows of a feature table, written under their run date."""
+    """Tiers of all rows of a feature table, written under their run date.
+
+    Columns that the table lacks count as 0.  The ``describe`` columns that it has, such as
+    name and state, are written beside the key and the tier.
+    """
     key = fitted.spec.key
-    matrix = fitted.transform(table, keep_incomplete=True)
-    rows = matrix.select(
-        key, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in feature_names]
-    )
-    scored = modeling.batch_score(model, rows, [key])
+    # Under other names, as a categorical column is replaced by its levels.
+    shown = {f"_shown_{c}": c for c in describe if c in table.columns and c != key}
+    beside = table.withColumns({own: F.col(c) for own, c in shown.items()}) if shown else table
+    kept = [key, *shown]
+    matrix = fitted.transform(beside, keep_incomplete=True, carry=kept)
+    rows = features.align_features(matrix, feature_names, kept)
+    scored = modeling.batch_score(model, rows, kept).withColumnsRenamed(shown)
     sinks.write_predictions(scored, path, run_date, model_name)
     return scored
 

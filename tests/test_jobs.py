@@ -176,8 +176,12 @@ def test_scoring_job(spark, trained, table, tmp_path):
     rows = spark.read.parquet(path)
     assert rows.count() == 360
     assert set(rows.columns) == {
-        "k", "predicted_class", "risk_bucket", "probabilities", "model", "run_date"
+        "k", "state", "predicted_class", "risk_bucket", "probabilities", "model", "run_date"
     }
+    assert {r["state"] for r in rows.collect()} == {"Utah"}
+    lacking = jobs.score(table.drop("state"), result.model, result.fitted, result.feature_names,
+                         str(tmp_path / "lacking"), "2024-01-01", "m")
+    assert lacking.count() == 360 and "state" not in lacking.columns
 
 
 def test_drift_job(spark, tmp_path):

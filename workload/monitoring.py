@@ -35,8 +35,7 @@ def _shifted(spark, sf_dir):
 
 
 def _baseline(spark, sf_dir):
-    base, _ = halves(spark, sf_dir)
-    stats = drift.baseline_stats(base)
+    stats = drift.baseline_stats(long_events(spark, sf_dir))
     return stats.select(
         "feature", "rows",
         *[rounded(F.col(c), 6).alias(c) for c in ("mean", "std", "min", "max", "p25", "p50", "p75")],
@@ -56,7 +55,7 @@ def _hist_columns(df):
 
 
 def _histogram(spark, sf_dir):
-    return _hist_columns(drift.histogram(halves(spark, sf_dir)[0]))
+    return _hist_columns(drift.histogram(long_events(spark, sf_dir)))
 
 
 def _recent(spark, sf_dir):
@@ -149,6 +148,7 @@ QUERIES = {
 }
 
 _BASE = f"SELECT event_type AS feature, value FROM events WHERE ts < TIMESTAMP '{CUT}'"
+_ALL = "SELECT event_type AS feature, value FROM events"
 _RECENT = f"""SELECT event_type AS feature,
   CASE WHEN event_type = 'error' THEN value * 3.0 ELSE value END AS value
   FROM events WHERE ts >= TIMESTAMP '{CUT}'"""
@@ -196,8 +196,8 @@ ORACLES = {
   ROUND(stddev_samp(value), 6) AS std, ROUND(MIN(value), 6) AS min, ROUND(MAX(value), 6) AS max,
   ROUND(quantile_cont(value, 0.25), 6) AS p25, ROUND(quantile_cont(value, 0.5), 6) AS p50,
   ROUND(quantile_cont(value, 0.75), 6) AS p75
-FROM ({_BASE}) t GROUP BY feature""",
-    "histogram": f"WITH {_HISTOGRAMS} {_HIST} FROM base_share",
+FROM ({_ALL}) t GROUP BY feature""",
+    "histogram": f"WITH {_HISTOGRAMS.replace(_BASE, _ALL)} {_HIST} FROM base_share",
     "recent_histogram": f"WITH {_HISTOGRAMS} {_HIST} FROM recent_share",
     "kl_drift": f"WITH {_HISTOGRAMS}, {_KL} "
     "SELECT feature, ROUND(kl, 6) AS kl_divergence FROM kl",

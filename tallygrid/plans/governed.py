@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import vocabulary as words
 from ..operators import questions, ranking, resolve, trends
@@ -156,6 +157,20 @@ def validate(
     return report, clean
 
 
+def mentions(question: str) -> list[tuple[str, str | None]]:
+    """County names of a question in order, each with the state that follows it, if any."""
+    by_code = {code: state for state, code in words.STATES.items()}
+    states = "|".join(sorted(words.STATES, key=len, reverse=True))
+    after = re.compile(rf"\s*(?:,|in\b)?\s*(?:([A-Z]{{2}})\b|((?i:{states}))\b)")
+    found = []
+    for name in re.finditer(words.COUNTY_NAME, question):
+        state = after.match(question, name.end())
+        code, full = state.groups() if state else (None, None)
+        hint = by_code.get(code) if code else full.lower() if full else None
+        found.append((name[1].strip(), hint))
+    return list(dict.fromkeys(found))
+
+
 @dataclass(frozen=True)
 class Gold:
     """The three tables reports may read, and their column names."""
@@ -183,20 +198,36 @@ class Gold:
         tags = tagged.first().asDict()
         params = {k: tags[k] for k in (*YEARS, "row_limit", "category", "order_col", "group_name")}
         if tags["template"] == "entity_comparison":
-            params["ids"] = self._ids(tags["entities"])
+            params["ids"] = self._ids(question, tags["entities"])
         return self.run(tags["template"], **params)
 
-    def _ids(self, mentioned: Sequence[str]) -> list[str]:
-        """Ids among the mentioned entities, and those that the mentioned names resolve to."""
+    def _ids(self, question: str, mentioned: Sequence[str]) -> list[str]:
+        """Ids among the mentioned entities, and those that the mentioned names resolve to.
+
+        A name is looked up in the state that follows it.  Without one, a name that exists in
+        several states is refused with the states to choose from.
+        """
         ids = [m for m in mentioned if self.id_pattern.fullmatch(m)]
-        others = [(i, m) for i, m in enumerate(mentioned) if m not in ids]
-        if others:
+        # A word before the name may have been taken for its first part.
+        named = [
+            (2 * i + k, name, hint) for i, (n, hint) in enumerate(mentions(question))
+            for k, name in enumerate(dict.fromkeys((n, n.split()[-1])))
+        ]
+        if named:
             lookups = self.mart.sparkSession.createDataFrame(
-                others, "lookup_id int, name string"
+                named, "lookup_id int, name string, hint string"
             )
-            found = resolve.resolve_entity(lookups, self.entity, names=self.names)
-            ids += [r[self.names.entity] for r in found.orderBy("lookup_id").collect()]
-        return ids
+            unclear = lookups.filter("hint IS NULL").select(
+                resolve.clean_name(F.col("name")).alias("name"))
+            doubtful = resolve.ambiguous_names(self.entity, names=self.names).withColumn(
+                "name", resolve.clean_name(F.col("name"))).join(unclear, "name", "left_semi")
+            for row in doubtful.limit(1).collect():
+                raise ValueError(f"{row['name']!r} may be in {', '.join(row['groups'])}")
+            found = resolve.resolve_entity(lookups, self.entity, hint="hint", names=self.names)
+            by_lookup = {r["lookup_id"]: r[self.names.entity] for r in found.collect()}
+            whole = {i for i in by_lookup if i % 2 == 0}
+            ids += [by_lookup[i] for i in sorted(by_lookup) if i % 2 == 0 or i - 1 not in whole]
+        return list(dict.fromkeys(ids))
 
     def ranked_by(self, name: str, **params: Any) -> str:
         """The column a report's order comes from, or "" for time series."""

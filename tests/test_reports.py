@@ -225,6 +225,15 @@ def test_questions_run_their_report(gold):
     assert growth.first()["county_fips"] == "48201"
 
 
+def test_comparison_reads_the_state_after_a_name(gold):
+    both = gold.answer("Compare Harrison County, TX versus Harrison County, KY from 2019 to 2022")
+    assert {r["county_fips"] for r in both.collect()} == {"21097", "48203"}
+    full = gold.answer("Compare Harrison County in Texas versus Harris County from 2019 to 2022")
+    assert {r["county_fips"] for r in full.collect()} == {"48201", "48203"}
+    with pytest.raises(ValueError, match="Kentucky, Texas"):
+        gold.answer("Compare Harrison County versus Harris County from 2019 to 2022")
+
+
 def test_resolution_prefers_exact_then_hyphen_then_prefix(spark, county_dim):
     lookups = spark.createDataFrame(
         [(1, "Harris", None), (2, "miami-dade", None), (3, "Harri", "texas"),

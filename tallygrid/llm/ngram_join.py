@@ -34,13 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, sequence_hashes, word_hashes
+from .common import sequence_hashes, stored, word_hashes
 from .components import components
 
 BLOCK = 4_000_000  # n-grams counted together
 OFTEN = 6  # occurrences within a block that are reported
 FREQUENT = 1 << 18  # n-grams ordered by their number, a broadcast of 4 MB
 RANGES = 64  # ranges of the suffix filter
+ASKED_BITS = 1 << 26  # bits of the map of documents to compare, 8 MB
 SHORT_LIST = 8  # members of a posting list that is paired in full at once
 
 
@@ -163,12 +164,26 @@ def _suffix_filter(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> Dat
 
 def _verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs that are similar enough, by comparing their whole sets."""
-    pairs = checkpointed(pairs)
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    pairs = stored(pairs)
+    # A bit map of fixed size tells the documents whose sets are asked for, so that texts
+    # are never shuffled; a set that is sent without need meets no pair.
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(ASKED_BITS))
+    words = (
+        pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+        .groupBy(F.shiftright(bit, 6).alias("word"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {ASKED_BITS}) & 63 AS int))"))
+             .alias("bits"))
+    ).toArrow()
+    bits = np.zeros(ASKED_BITS // 64, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
     ids = docs.schema["doc_id"]
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.column(2).to_numpy().astype(np.uint64)
+            asked = (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+            batch = batch.filter(pa.array(asked.astype(bool)))
             sets = [shingles(t.as_py(), n).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "items"])
@@ -184,7 +199,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> Da
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    sets = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").mapInArrow(
+    sets = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", bit.alias("bit")).mapInArrow(
         to_sets, T.StructType([ids, T.StructField("items", T.BinaryType())]))
     wide = (
         pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")), "b")
@@ -201,16 +216,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     """
     docs = docs.select("doc_id", "text")
     frequent, number = frequent_shingles(docs, n)
-    signed = checkpointed(signatures(docs, n, num, den, frequent, number))
+    signed = stored(signatures(docs, n, num, den, frequent, number))
     reps = (
         signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
              F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges"))
     )
-    reps = checkpointed(reps)
+    reps = stored(reps)
     listed = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = listed.groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1")
-    lists = checkpointed(listed.join(shared, "gram"))
+    lists = stored(listed.join(shared, "gram"))
 
     def paired(x: DataFrame, y: DataFrame, *more: Column) -> DataFrame:
         found = x.alias("x").join(y.alias("y"), "gram").filter(
@@ -225,8 +240,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
         "gram", "h.*")
     first = paired(short, short).unionByName(paired(heads, long_)).distinct()
     slim = reps.select("rep", "n", "ranges")
-    first = checkpointed(_suffix_filter(first, slim, num, den))
-    links = checkpointed(_verify(docs, first, n, num, den))
+    first = stored(_suffix_filter(first, slim, num, den))
+    links = stored(_verify(docs, first, n, num, den))
     found = components(links)
 
     # Long lists again: only what the first round left unconnected is paired.
@@ -234,7 +249,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
         "component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("gram").agg(
         F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    placed = checkpointed(placed.join(mixed.select("gram"), "gram", "left_semi"))
+    placed = stored(placed.join(mixed.select("gram"), "gram", "left_semi"))
     second = paired(placed, placed, F.col("x.component") != F.col("y.component")).join(
         first, ["a", "b"], "left_anti")
     second = _verify(docs, _suffix_filter(second, slim, num, den), n, num, den)

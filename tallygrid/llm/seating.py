@@ -4,17 +4,22 @@ What predictions need of a seating is, for each dish of a restaurant, its custom
 tables.  Given everything else, the number of tables ``t`` of a dish with ``c`` customers has
 the weight ``S(c, t) * prod_{i<t} (strength + discount * (T + i)) * base^t``: ``S`` counts the
 ways to seat ``c`` customers at ``t`` tables (generalised Stirling numbers), ``T`` are the
-tables of the other dishes.  Up to ``EXACT`` customers the draw is from these weights.  Of
-more, the first are drawn so and the rest are seated one after the other, jumping from one
-new table to the next; that proposal is accepted or rejected against the seating before it.
-All dishes of a sweep are drawn at once, each against the totals before the sweep.
+tables of the other dishes.  Up to ``EXACT`` customers the draw is from all these weights.
+Beyond, a few random-walk steps are accepted or rejected by them, with ``S`` from its
+generating function, so that a dish costs the same however many customers it has.  All dishes of a
+sweep are drawn at once, each against the totals before the sweep.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 EXACT = 64
+STEPS = 6  # of a random walk in a sweep
+FIRST_STEPS = 40  # in the first sweep
+SERIES, TERMS = 1.5, 40
 
 
 def stirling(discount: float, size: int = EXACT) -> np.ndarray:
@@ -40,6 +45,52 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - shift
 
 
+def log_stirling(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """log S(c, t) for many customers: a coefficient of the generating function.
+
+    S is ``c! / (t! d^t)`` times the coefficient of x^c in (1 - (1-x)^d)^t.  For few tables,
+    up to SERIES * c^d, the binomial series of the power is added up; for more, the
+    coefficient is taken at its saddle point, which is off by a few hundredths at most.
+    """
+    found = np.zeros(len(c))
+    few = t <= SERIES * c**discount
+    for part, way in ((few, _by_series), (~few & (t < c), _by_saddle_point)):
+        if part.any():
+            found[part] = way(c[part], t[part], discount)
+    return found
+
+
+def _by_series(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    first, ways = log_gamma(c - d), log_gamma(t + 1)
+    total = np.zeros(len(c))
+    for j in range(1, TERMS):
+        x = -d * j
+        there = (t >= j) & (c > d * j)
+        if abs(x - round(x)) < 1e-12 or not there.any():
+            continue  # a pole of Gamma: the term is nothing
+        sign = (-1) ** (j + math.floor(x))
+        n, m = c[there], t[there]
+        size = (ways[there] - math.lgamma(j + 1) - log_gamma(m - j + 1) + log_gamma(n - d * j)
+                - first[there] - math.lgamma(x))
+        total[there] += sign * np.exp(size)
+    return np.log(np.maximum(total, 1e-300)) + first - ways - t * math.log(d)
+
+
+def _by_saddle_point(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    low, high = np.full(len(c), -60.0 / d), np.full(len(c), -1e-12)  # of log(1-x)
+    for _ in range(50):
+        z = (low + high) / 2
+        over = t * d * -np.expm1(z) * np.exp((d - 1) * z) / -np.expm1(d * z) > c
+        low, high = np.where(over, z, low), np.where(over, high, z)
+    z = (low + high) / 2
+    x, u = -np.expm1(z), np.exp(d * z)
+    spread = c * (1 + x * ((1 - d) * np.exp(-z) - d * np.exp((d - 1) * z) / (1 - u)))
+    return (
+        log_gamma(c + 1.0) - log_gamma(t + 1.0) + t * np.log((1 - u) / d) - c * np.log(x)
+        - 0.5 * np.log(2 * np.pi * np.maximum(spread, 1e-12))
+    )
+
+
 class Seating:
     """Tables of every dish, and how they are drawn anew."""
 
@@ -53,7 +104,7 @@ class Seating:
         self.discount, self.strength, self.random = discount, strength, random
         self.other, self.size = other_tables, int(restaurant.max()) + 1 if len(restaurant) else 0
         self.tables = np.minimum(customers, 1)
-        self.log_weight = np.full(len(customers), -np.inf)
+        self._fresh = True
         self._stirling = stirling(discount)
         # Dishes of one customer have one table; the others are drawn by number of customers.
         several = np.flatnonzero(customers > 1)
@@ -73,11 +124,11 @@ class Seating:
             count = min(int(self.customers[group[0]]), EXACT)
             for part in np.array_split(group, 1 + len(group) * count // 2_000_000):
                 others = totals[self.restaurant[part]] - self.tables[part]
-                t = self._exact(count, others, base[part])
                 if count < EXACT:
-                    self.tables[part] = t
+                    self.tables[part] = self._exact(count, others, base[part])
                 else:
-                    self._rest(part, t, others, base[part])
+                    self.tables[part] = self._walk(part, others, base[part])
+        self._fresh = False
 
     def _exact(self, count: int, others: np.ndarray, base: np.ndarray) -> np.ndarray:
         step = np.arange(count)
@@ -87,33 +138,30 @@ class Seating:
         u = self.random.random(len(base)) * chosen[:, -1]
         return np.minimum((chosen < u[:, None]).sum(axis=1) + 1, count)
 
-    def _rest(self, part: np.ndarray, t: np.ndarray, others: np.ndarray, base: np.ndarray) -> None:
-        """Seat the customers after the first EXACT; accept by the weights of the two ways."""
-        t, at = t.astype(float), np.full(len(part), float(EXACT))
-        end, log_weight = self.customers[part].astype(float), np.zeros(len(part))
-        open_ = np.flatnonzero(at < end)
-        while len(open_):
-            i = open_
-            a = (self.strength + self.discount * (others[i] + t[i])) * base[i]
-            n = at[i] - self.discount * t[i]
-            start = log_gamma(n) - log_gamma(n + a)
-            wish = np.log(self.random.random(len(i)))
-            # The last number of customers up to which no new table has opened.
-            low, high = at[i].copy(), end[i].copy()
-            while (low < high).any():
-                middle = np.ceil((low + high) / 2)
-                m = middle - self.discount * t[i]
-                stays = log_gamma(m) - log_gamma(m + a) - start >= wish
-                low, high = np.where(stays, middle, low), np.where(stays, high, middle - 1)
-            stop = np.minimum(low + 1, end[i])
-            m = stop - self.discount * t[i]
-            log_weight[i] += log_gamma(m + a) - log_gamma(n + a)
-            t[i] += low < end[i]
-            at[i] = stop
-            open_ = i[stop < end[i]]
-        take = np.log(self.random.random(len(part))) < log_weight - self.log_weight[part]
-        self.tables[part[take]] = t[take].astype(self.tables.dtype)
-        self.log_weight[part[take]] = log_weight[take]
+    def _walk(self, part: np.ndarray, others: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Tables of dishes of many customers, by steps that their weights accept."""
+        c, t = self.customers[part].astype(float), self.tables[part].astype(float)
+        d, prior = self.discount, self.strength / self.discount + others
+        opening = (self.strength + d * others) * base
+        guess = np.clip(np.round(np.minimum(opening / d, c**d)), 1, c)
+        if self._fresh:
+            t = guess
+        # Steps depend on nothing that they change, so they are as likely back as forth.
+        width = 1 + np.sqrt(np.minimum(guess, c - guess + 1))
+
+        def weight(t: np.ndarray) -> np.ndarray:
+            return (log_stirling(c, t, d) + t * np.log(base * d)
+                    + log_gamma(prior + t) - log_gamma(prior))
+
+        now = weight(t)
+        for _ in range(FIRST_STEPS if self._fresh else STEPS):
+            to = t + np.round(self.random.normal(0, width))
+            inside = (to >= 1) & (to <= c)
+            to = np.where(inside, to, t)
+            then = weight(to)
+            take = inside & (np.log(self.random.random(len(t))) < then - now)
+            t, now = np.where(take, to, t), np.where(take, then, now)
+        return t.astype(self.tables.dtype)
 
     def predictive(self, base: np.ndarray, restaurant_customers: np.ndarray) -> np.ndarray:
         """Probability of each dish in its restaurant."""

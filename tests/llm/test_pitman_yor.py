@@ -31,7 +31,7 @@ def exact(c, base, discount, strength, others):
 
 @pytest.mark.parametrize("direct", [64, 3])
 def test_seatings_follow_their_conditional(monkeypatch, direct):
-    """Drawn from the weights, or seated one by one and accepted: the same distribution."""
+    """Drawn from all weights, or by a walk that they accept: the same distribution."""
     monkeypatch.setattr(seating, "EXACT", direct)
     monkeypatch.setattr(seating.stirling, "__defaults__", (direct,))
     n, c = 4_000, 12
@@ -60,6 +60,14 @@ def test_predictions_add_up_to_one():
     assert np.allclose(p + rest, 1.0)
 
 
+def test_stirling_numbers_of_many_customers():
+    for d in (0.5, 0.8):
+        table = seating.stirling(d, 64)
+        t = np.arange(1, 65.0)
+        found = seating.log_stirling(np.full(64, 64.0), t, d)
+        assert np.abs(found - table[64, 1:]).max() < 0.09
+
+
 def test_log_gamma():
     x = np.array([0.1, 0.5, 1.0, 3.7, 8.0, 55.5, 1e7])
     assert np.allclose(seating.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)

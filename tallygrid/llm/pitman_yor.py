@@ -44,7 +44,7 @@ SAMPLES = 2
 SWEEPS = 2  # before each sample
 DISCOUNTS = (0.6, 0.8)  # of the parent, of the contexts
 STRENGTHS = (5.0, 1.0)
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 BLOCK_DOCS = 60_000
 SHARD_BYTES = 24_000_000  # of text for each shard
 FOLDS, HELD = 7, 2
@@ -65,6 +65,18 @@ def _unpack(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8")
 
 
+def _pack_runs(h: np.ndarray) -> bytes:
+    """Sorted hashes, each once with how often it comes."""
+    start = _runs(h) if len(h) else np.zeros(0, np.int64)
+    times = np.diff(np.append(start, len(h))).astype(np.int32)
+    return np.int32(len(start)).tobytes() + times.tobytes() + _pack(h[start])
+
+
+def _unpack_runs(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.int32, 1)[0])
+    return np.repeat(_unpack(data[4 + 4 * n:]), np.frombuffer(data, np.int32, n, 4))
+
+
 def _chain(text: str | None) -> np.ndarray:
     """End, words, end as 56-bit hashes: neighbours are the pairs."""
     return np.concatenate([[END], word_hashes(text), [END]]).astype(np.uint64) >> np.uint64(8)
@@ -178,7 +190,7 @@ def _send_pairs(docs: DataFrame, plan: Plan) -> DataFrame:
             rows = []
             for s in np.unique(shard):
                 a, b = np.searchsorted(shard, [s, s + 1])
-                rows.append({"shard": int(s), "v": _pack(v[a:b]), "w": _pack(w[a:b]),
+                rows.append({"shard": int(s), "v": _pack_runs(v[a:b]), "w": _pack(w[a:b]),
                              "c": c[a:b].astype(np.int32).tobytes()})
             yield _rows(rows, schema)
 
@@ -190,7 +202,7 @@ def _seat(plan: Plan, seed: int):
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         shard = int(part["shard"].iloc[0])
-        v = np.concatenate([_unpack(x) for x in part["v"]])
+        v = np.concatenate([_unpack_runs(x) for x in part["v"]])
         w = np.concatenate([_unpack(x) for x in part["w"]])
         c = np.concatenate([np.frombuffer(x, np.int32) for x in part["c"]]).astype(np.int64)
         order = np.lexsort((w, v))
@@ -328,7 +340,7 @@ def _send_documents(docs: DataFrame, plan: Plan) -> DataFrame:
                 if a == b and not own:
                     continue
                 rows.append({
-                    "shard": s, "block": number, "v": _pack(v[pair[p:q]]), "w": _pack(w[pair[p:q]]),
+                    "shard": s, "block": number, "v": _pack_runs(v[pair[p:q]]), "w": _pack(w[pair[p:q]]),
                     "places": place[a:b].astype(np.uint16).tobytes(),
                     "times": np.concatenate([documents[p:q], times[a:b]]).astype(np.int32).tobytes(),
                     "learned": learned,
@@ -351,11 +363,11 @@ def _score(plan: Plan, parent: Parent, seed: int):
         if not len(sent):
             return pd.DataFrame(columns=[c.split()[0] for c in _SUMS.split(", ")])
         shard = int(sent["shard"].iloc[0])
-        v = np.concatenate([_unpack(x) for x in sent["v"]])
+        v = np.concatenate([_unpack_runs(x) for x in sent["v"]])
         w = np.concatenate([_unpack(x) for x in sent["w"]])
         blocks = []
         for places, times, pairs, learned in zip(
-            sent["places"], sent["times"], (len(x) // 7 for x in sent["v"]), sent["learned"],
+            sent["places"], sent["times"], (len(x) // 7 for x in sent["w"]), sent["learned"],
             strict=True,
         ):
             numbers = np.frombuffer(times, np.int32)

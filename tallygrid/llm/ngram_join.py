@@ -232,13 +232,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
             F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep")).filter(_possible(num, den))
         for condition in more:
             found = found.filter(condition)
-        return found.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+        return found.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(
+            F.min("x.pos").alias("px"), F.min("y.pos").alias("py"),
+            F.first("x.n").alias("nx"), F.first("y.n").alias("ny"))
+
+    def placed_well(pairs: DataFrame) -> DataFrame:
+        # Nothing is shared before the first shared n-gram.  It is a short list's, then the
+        # first round sees it, or a long list's, then the second round does; a pair that the
+        # first round drops for want of it is judged again by the second.
+        after = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+        return pairs.filter(after * (num + den) >= num * (F.col("nx") + F.col("ny"))).select("a", "b")
 
     short, long_ = lists.filter(F.col("members") <= SHORT_LIST), lists.filter(
         F.col("members") > SHORT_LIST)
     heads = long_.groupBy("gram").agg(F.min(F.struct("n", "rep", "pos")).alias("h")).select(
         "gram", "h.*")
-    first = paired(short, short).unionByName(paired(heads, long_)).distinct()
+    first = placed_well(
+        paired(short, short).unionByName(paired(heads, long_)).groupBy("a", "b").agg(
+            F.min("px").alias("px"), F.min("py").alias("py"),
+            F.first("nx").alias("nx"), F.first("ny").alias("ny")))
     slim = reps.select("rep", "n", "ranges")
     first = stored(_suffix_filter(first, slim, num, den))
     links = stored(_verify(docs, first, n, num, den))
@@ -250,8 +262,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     mixed = placed.groupBy("gram").agg(
         F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     placed = stored(placed.join(mixed.select("gram"), "gram", "left_semi"))
-    second = paired(placed, placed, F.col("x.component") != F.col("y.component")).join(
-        first, ["a", "b"], "left_anti")
+    second = placed_well(
+        paired(placed, placed, F.col("x.component") != F.col("y.component"))
+    ).join(first, ["a", "b"], "left_anti")
     second = _verify(docs, _suffix_filter(second, slim, num, den), n, num, den)
     found = components(links.unionByName(second))
 

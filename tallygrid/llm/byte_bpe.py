@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Encoded pieces remembered per Python worker; older ones are dropped beyond that.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 
 
 class Vocabulary:
@@ -58,7 +58,7 @@ class Vocabulary:
         return [self.ranks[p] for p in parts]
 
     def follows(self, left: int, right: int) -> bool:
-        if len(self._follows) > REMEMBERED:
+        if len(self._follows) > REMEMBERED // 2:
             self._follows.clear()
         pair = self.tokens[left] + self.tokens[right]
         known = self._follows[left, right] = self.merged(pair) == [left, right]

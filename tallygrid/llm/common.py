@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 END = np.uint64(0xD6E8FEB86659FD93)  # stands for the end of a text
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one that ``spark.checkpoint.dir`` names.
 
-    A session that names none has to set its own checkpoint folder first.
+    Only a session that names none, as in tests on one machine, gets a temporary one.
     """
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not folder:
+        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
+    if not current.isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -55,14 +64,7 @@ def sequence_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared checkpoint folder and read again."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = context._jsc.sc().getCheckpointDir()
-        if not current.isDefined():
-            raise ValueError("name a shared folder in spark.checkpoint.dir")
-        folder = current.get()
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    """``df`` written as a table in the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

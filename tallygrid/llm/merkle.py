@@ -21,20 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 LEAF_BITS = 16  # lowest ranges are 64 KiB of offsets
 FAN_BITS = 4  # each range above is 16 times as wide
 LEVELS = 4  # the widest ranges below the root are 256 MiB
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder; a session without one sets its own first."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def content_digest(payload: Column) -> Column:
     """SHA-256 of a record's bytes; NULL apart from empty."""
     return F.when(payload.isNull(), F.sha2(F.lit(b"\x00null"), 256)).otherwise(
@@ -121,18 +114,18 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     ``(archive, offset, length, other_length, digest, other_digest, fault)``, where ``fault``
     is ``changed``, ``missing`` (in the second copy) or ``extra``.
     """
-    leaves = [_checkpointed(x) for x in (first, second)]
-    trees = [_checkpointed(tree(x)) for x in leaves]
+    leaves = [checkpointed(x) for x in (first, second)]
+    trees = [checkpointed(tree(x)) for x in leaves]
     def nodes(level: int) -> list[DataFrame]:
         return [t.filter(F.col("level") == level).drop("level") for t in trees]
 
     # Every list of suspects is small and read twice, so it is cut off from its making.
-    suspect = _checkpointed(_differing(*nodes(LEVELS), ["archive", "span"]))
+    suspect = checkpointed(_differing(*nodes(LEVELS), ["archive", "span"]))
     for k in range(LEVELS - 1, -1, -1):
         # The topmost ranges, also that of NULL offsets, hang on the root.
         parent = F.lit(0).cast("bigint") if k == LEVELS - 1 else F.shiftright("span", FAN_BITS)
         level = [_under(t, suspect, parent) for t in nodes(k)]
-        suspect = _checkpointed(_differing(*level, ["archive", "span"]))
+        suspect = checkpointed(_differing(*level, ["archive", "span"]))
     at = F.shiftright("offset", LEAF_BITS)
     found = _differing(*[_under(x, suspect, at) for x in leaves], ["archive", "offset"])
     return found.select(

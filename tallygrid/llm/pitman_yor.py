@@ -15,9 +15,9 @@ The corpus is cut into blocks of documents and shards of contexts:
    against the parent, and return sums for each document of a block.
 
 Nothing is sampled or cut off: a word or pair seen once has its table.  Pairs of a context
-that holds more than its share of the corpus are split by classes of the second word: the
-class is predicted first (from the context's counts of classes and the parent), the word then
-within its class, so no shard holds a hot context whole.
+that holds more than its share of the corpus are dealt to shards by classes of the second
+word, for work only: it stays one restaurant.  Its shards meet before each sweep and after the
+last, and add up its tables, so every draw and prediction is made with those of all shards.
 
 Defined cases: a NULL or empty text is its end alone; NULL ids count as training documents,
 repeated ids are scored row by row; without training documents every word is unknown; an
@@ -98,13 +98,6 @@ class Plan:
         spread = np.where(self.is_hot(v), v + self.word_class(w), v)
         return (mixed(spread) % np.uint64(self.shards)).astype(np.int64)
 
-    def restaurants(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Number of the restaurant of each pair: its context, in a hot one also the class."""
-        kind = np.where(self.is_hot(v), self.word_class(w) + np.uint64(1), 0)
-        # Contexts use 56 bits and classes few, so the two are mixed into one key.
-        with np.errstate(over="ignore"):
-            return np.unique(mixed(v) + kind * END, return_inverse=True)[1]
-
 
 class _Block:
     """Documents that are sent together."""
@@ -211,42 +204,122 @@ def _seat(plan: Plan, seed: int):
         v, w, c = v[start], w[start], np.add.reduceat(c, start)
         words, of = np.unique(w, return_inverse=True)
         learned = np.bincount(of, c, len(words)).astype(np.int64)
-        base = (learned + 0.5) / (learned.sum() + 0.5 * len(words))
-        known = np.flatnonzero(c)
+        hot = plan.is_hot(v)
+        # Hot contexts bring only some classes of words here, so they say nothing of frequencies.
+        told = np.bincount(of, c * ~hot, len(words))
+        base = (told + 0.5) / (told.sum() + 0.5 * len(words))
+        known, shared = np.flatnonzero((c > 0) & ~hot), np.flatnonzero((c > 0) & hot)
         served = np.zeros((SAMPLES, len(words)), np.int32)
         if len(known):
-            seating = Seating(c[known], np.unique(plan.restaurants(v, w)[known],
-                              return_inverse=True)[1], DISCOUNTS[1], STRENGTHS[1],
-                              np.random.default_rng([seed, shard]))
+            seating = Seating(c[known], np.unique(v[known], return_inverse=True)[1],
+                              DISCOUNTS[1], STRENGTHS[1], np.random.default_rng([seed, shard]))
             for k in range(SAMPLES):
                 for _ in range(SWEEPS):
                     seating.sweep(base[of[known]])
                 served[k] = np.bincount(of[known], seating.tables, len(words))
         rows, classes = [], plan.word_class(words)
-        hot = plan.is_hot(v)
-        counts = pd.DataFrame({"v": v[hot], "class": plan.word_class(w[hot]), "c": c[hot]})
         for r in np.unique(classes):
             mine = classes == r
             rows.append({"root": int(r), "shard": shard, "w": _pack(words[mine]),
                          "c": learned[mine].tobytes(), "tables": served[:, mine].tobytes()})
-        if len(counts):
-            sums = counts.groupby(["v", "class"])["c"].sum()
-            rows.append({"root": -1, "shard": shard, "c": sums.to_numpy(np.int64).tobytes(),
-                         "w": np.array([x[0] for x in sums.index], np.uint64).tobytes(),
-                         "tables": np.array([x[1] for x in sums.index], np.int64).tobytes()})
+        if len(shared):
+            # The parent answers word by word, class after class.
+            place = np.argsort(np.argsort(classes, kind="stable"))[of[shared]]
+            rows.append({"root": -1, "shard": shard, "w": _pack(w[shared]), "c": np.stack(
+                [c[shared], np.searchsorted(plan.hot, v[shared]), place]).astype(np.int64).tobytes(),
+                "tables": base[of[shared]].tobytes()})
         return pd.DataFrame(rows, columns=["root", "shard", "w", "c", "tables"])
 
     return work
 
 
+def _sweeps(c: np.ndarray, row: np.ndarray, base: np.ndarray, whole, seed: list[int]):
+    """Tables of a shard's dishes of hot contexts: at first, and after each sweep.
+
+    ``whole`` holds, for each sweep, the tables of every hot context in all shards before it.
+    """
+    seating = Seating(c, row, DISCOUNTS[1], STRENGTHS[1], np.random.default_rng([*seed, 1]))
+    yield seating.tables.copy()
+    for tables in whole:
+        seating.other = np.asarray(tables)[:seating.size] - seating.totals()
+        seating.sweep(base)
+        yield seating.tables.copy()
+
+
+def _whole(parts: DataFrame, contexts: int, chains: int, rounds: int, seed: int):
+    """Customers of the hot contexts, and their tables in all shards before and after sweeps.
+
+    One job for each round; ``parts`` has a row per shard with a base for each chain.  What a
+    shard drew in earlier rounds it draws again from the same seed.
+    """
+    guests, tables = np.zeros(contexts, np.int64), np.zeros((chains, 0, contexts), np.int64)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for shard, numbers, bases in zip(frame["shard"], frame["c"], frame["base"], strict=True):
+                c, row, _ = np.frombuffer(numbers, np.int64).reshape(3, -1)
+                rows = np.unique(row)
+                for k, base in enumerate(np.frombuffer(bases).reshape(chains, -1)):
+                    *_, last = _sweeps(c, row, base, tables[k], [seed, shard, k])
+                    yield pd.DataFrame({
+                        "k": k, "context": rows, "guests": np.bincount(row, c)[rows].astype(np.int64),
+                        "tables": np.bincount(row, last)[rows].astype(np.int64)})
+
+    for _ in range(rounds):
+        now = np.zeros((chains, 1, contexts), np.int64)
+        for r in parts.mapInPandas(
+            work, "k int, context int, guests bigint, tables bigint"
+        ).groupBy("k", "context").agg(F.sum("guests"), F.sum("tables")).collect():
+            guests[r[1]], now[r[0], 0, r[1]] = r[2], r[3]
+        tables = np.concatenate([tables, now], axis=1)
+    return guests, tables
+
+
+def _report_hot(plan: Plan, whole: np.ndarray, seed: int):
+    """The end of step 1 for hot contexts: how many of their tables serve each word."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for shard, w, numbers, base in frame[["shard", "w", "c", "base"]].itertuples(index=False):
+                c, row, _ = np.frombuffer(numbers, np.int64).reshape(3, -1)
+                words, of = np.unique(_unpack(w), return_inverse=True)
+                drawn = list(_sweeps(c, row, np.frombuffer(base), whole[0], [seed, shard, 0]))
+                served = np.stack([np.bincount(of, t, len(words))
+                                   for t in drawn[SWEEPS::SWEEPS]]).astype(np.int32)
+                classes = plan.word_class(words)
+                for r in np.unique(classes):
+                    mine = classes == r
+                    # The shard itself has reported these words and their customers.
+                    yield pd.DataFrame([{
+                        "root": int(r), "shard": -1, "w": _pack(words[mine]),
+                        "c": np.zeros(mine.sum(), np.int64).tobytes(),
+                        "tables": served[:, mine].tobytes()}])
+
+    return work
+
+
+def _rebase(parent: Parent):
+    """A shard's dishes of hot contexts with the parent's probabilities of each sample."""
+
+    def work(part: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame(columns=["shard", "c", "base"])
+        reply = reply.sort_values("root")
+        of = np.frombuffer(part["c"].iloc[0], np.int64).reshape(3, -1)[2]
+        served, tables = (
+            np.concatenate([np.frombuffer(x, np.int32).reshape(SAMPLES, -1) for x in reply[c]],
+                           axis=1)[:, of].astype(np.int64) for c in ("served", "roots"))
+        base = np.stack([parent.base(served[k], tables[k], k) for k in range(SAMPLES)])
+        return part.assign(base=[base.tobytes()])[["shard", "c", "base"]]
+
+    return work
+
+
 def _root(shards: int, seed: int):
     """Step 2 for a class of words: the parent's customers and tables, back to every shard."""
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         root = int(part["root"].iloc[0])
-        if root < 0:
-            return part.assign(tables=part["tables"], roots=None, served=None)[
-                ["root", "shard", "w", "c", "tables", "roots", "served"]]
         lists = [_unpack(x) for x in part["w"]]
         words, of = np.unique(np.concatenate(lists), return_inverse=True)
         count = lambda x: np.bincount(of, x, len(words)).astype(np.int64)
@@ -267,19 +340,21 @@ def _root(shards: int, seed: int):
         ends = np.cumsum([len(x) for x in lists])
         rows = []
         for shard, a, b in zip(part["shard"], ends - [len(x) for x in lists], ends, strict=True):
+            if shard < 0:
+                continue
             at = of[a:b]
-            rows.append({"root": root, "shard": shard, "w": None, "c": c[at].tobytes(),
-                         "tables": None, "served": customers[:, at].astype(np.int32).tobytes(),
+            rows.append({"root": root, "shard": shard, "c": c[at].tobytes(),
+                         "served": customers[:, at].astype(np.int32).tobytes(),
                          "roots": tables[:, at].astype(np.int32).tobytes()})
         sums = [c.sum(), len(known), *customers.sum(axis=1), *tables.sum(axis=1)]
         rows.append({"root": root, "shard": -1, "c": np.array(sums, np.int64).tobytes()})
-        return pd.DataFrame(rows, columns=["root", "shard", "w", "c", "tables", "roots", "served"])
+        return pd.DataFrame(rows, columns=["root", "shard", "c", "roots", "served"])
 
     return work
 
 
 class Parent:
-    """What all shards know of the parent: totals, class masses, classes of hot contexts."""
+    """What all shards know: the parent's totals and class masses, the hot contexts' totals."""
 
     def __init__(self, reply: DataFrame, plan: Plan):
         sums = {r["root"]: np.frombuffer(r["c"], np.int64)
@@ -295,12 +370,10 @@ class Parent:
             mass[:, r] = ((s[2:2 + SAMPLES] - DISCOUNTS[0] * s[2 + SAMPLES:])
                           / (STRENGTHS[0] + self.customers) + s[1] * self.unknown)
         self.mass = mass
-        # Hot contexts are at most twice as many as shards, with one count per class.
-        self.classes = np.zeros((len(plan.hot), plan.shards), np.int64)
-        for r in reply.filter("root = -1").select("w", "c", "tables").collect():
-            v, k, c = (np.frombuffer(r[x], t) for x, t in
-                       (("w", np.uint64), ("tables", np.int64), ("c", np.int64)))
-            np.add.at(self.classes, (np.searchsorted(plan.hot, v), k), c)
+        # Hot contexts are at most twice as many as shards: customers, and in each sample the
+        # tables before each sweep and after the last.
+        self.guests = np.zeros(len(plan.hot), np.int64)
+        self.opened = np.zeros((SAMPLES, SWEEPS + 1, len(plan.hot)), np.int64)
 
     def base(self, served: np.ndarray, tables: np.ndarray, sample: int) -> np.ndarray:
         own = served - DISCOUNTS[0] * tables
@@ -394,40 +467,37 @@ def _score(plan: Plan, parent: Parent, seed: int):
             served[:, mine] = np.frombuffer(s_, np.int32).reshape(SAMPLES, -1)
             tables[:, mine] = np.frombuffer(r_, np.int32).reshape(SAMPLES, -1)
 
-        room = plan.restaurants(v, w)
-        guests = np.bincount(room, c)
-        seen = np.flatnonzero(c)
-        hot = np.flatnonzero(plan.is_hot(v))
+        room = np.unique(v, return_inverse=True)[1] if len(v) else np.zeros(0, np.int64)
+        is_hot = plan.is_hot(v)
+        guests = np.bincount(room, c).astype(np.int64)[room]
+        seen, shared = np.flatnonzero((c > 0) & ~is_hot), np.flatnonzero((c > 0) & is_hot)
+        hot = np.flatnonzero(is_hot)
+        row = np.searchsorted(plan.hot, v[hot])
+        guests[hot] = parent.guests[row]
         probability = np.zeros(len(v))
         for k in range(SAMPLES):
             base = parent.base(served[k], tables[k], k)[of]
             base = np.where(total[of] > 0, base, parent.unknown[k])
-            within = base.copy()
-            if len(hot):
-                group, row = plan.word_class(w[hot]).astype(np.int64), np.searchsorted(plan.hot, v[hot])
-                strange = total[of][hot] == 0
-                counts = parent.classes[row, group]
-                share = (counts + STRENGTHS[1] * parent.mass[k, group]) / (
-                    parent.classes.sum(axis=1)[row] + STRENGTHS[1])
-                # The unknown word is a class of its own.
-                lone = STRENGTHS[1] * parent.unknown[k] / (
-                    parent.classes.sum(axis=1)[row] + STRENGTHS[1])
-                within[hot] = np.where(strange, 1.0, base[hot] / parent.mass[k, group])
             # Pairs that are not in the training texts have no tables, only the parent's part.
-            opened = np.zeros(len(guests))
+            opened = np.zeros(len(v))
             eaten = np.zeros(len(v))
             if len(seen):
                 rooms, room_of = np.unique(room[seen], return_inverse=True)
                 seating = Seating(c[seen], room_of, DISCOUNTS[1], STRENGTHS[1],
                                   np.random.default_rng([seed, shard, k]))
                 for _ in range(SWEEPS):
-                    seating.sweep(within[seen])
-                opened[rooms] = seating.totals()
+                    seating.sweep(base[seen])
+                by_room = np.zeros(room.max() + 1)
+                by_room[rooms] = seating.totals()
+                opened = by_room[room]
                 eaten[seen] = seating.tables
-            p = (c - DISCOUNTS[1] * eaten + (STRENGTHS[1] + DISCOUNTS[1] * opened[room]) * within) / (
-                STRENGTHS[1] + guests[room])
-            if len(hot):
-                p[hot] = np.where(strange, lone, share * p[hot])
+            if len(shared):
+                *_, eaten[shared] = _sweeps(
+                    c[shared], np.searchsorted(plan.hot, v[shared]), base[shared],
+                    parent.opened[k, :SWEEPS], [seed, shard, k])
+            opened[hot] = parent.opened[k, SWEEPS, row]
+            p = (c - DISCOUNTS[1] * eaten + (STRENGTHS[1] + DISCOUNTS[1] * opened) * base) / (
+                STRENGTHS[1] + guests)
             probability += p / SAMPLES
         score = np.log10(probability)[kind]
         base10 = np.log10((total + 1) / (parent.tokens + parent.words + 1))[of][kind]
@@ -472,14 +542,26 @@ def score(docs: DataFrame, seed: int = 0) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    plan = Plan(shards, hot_contexts(docs, shards))
-    reports = _send_pairs(docs, plan).groupBy("shard").applyInPandas(
-        _seat(plan, seed), "root int, shard int, w binary, c binary, tables binary")
+    plan = Plan(shards, hot_contexts(docs, shards) if shards > 1 else np.zeros(0, np.uint64))
+    schema = "root int, shard int, w binary, c binary, tables binary"
+    reports = _send_pairs(docs, plan).groupBy("shard").applyInPandas(_seat(plan, seed), schema)
+    if len(plan.hot):
+        reports = stored(reports)
+        parts = stored(reports.filter("root < 0").select(
+            "shard", "w", "c", F.col("tables").alias("base")))
+        _, whole = _whole(parts, len(plan.hot), 1, SAMPLES * SWEEPS, seed)
+        reports = reports.filter("root >= 0").unionByName(
+            parts.mapInPandas(_report_hot(plan, whole, seed), schema))
     reply = stored(reports.groupBy("root").applyInPandas(
-        _root(shards, seed), "root int, shard int, w binary, c binary, tables binary, "
-        "roots binary, served binary"))
+        _root(shards, seed), "root int, shard int, c binary, roots binary, served binary"))
     parent = Parent(reply, plan)
-    answers = reply.filter("root >= 0 AND shard >= 0").select("shard", "root", "c", "served", "roots")
+    answers = reply.filter("shard >= 0")
+    if len(plan.hot):
+        based = stored(parts.select("shard", "c").groupBy("shard").cogroup(
+            answers.groupBy("shard")).applyInPandas(
+            _rebase(parent), "shard int, c binary, base binary"))
+        parent.guests, parent.opened = _whole(
+            based, len(plan.hot), SAMPLES, SWEEPS + 1, seed + 1)
     sums = _send_documents(docs, plan).groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(
         _score(plan, parent, seed + 1), _SUMS)
     rows = sums.groupBy("block").applyInPandas(

@@ -138,6 +138,29 @@ def test_scores(spark, monkeypatch, shard_bytes):
     assert sums[True][0] > 0.7 * sums[True][1] and sums[False][0] > 0.7 * sums[False][1]
 
 
+def test_hot_contexts_stay_one_restaurant(spark, monkeypatch):
+    """Split over shards, a hot context predicts known and unknown words as in one shard."""
+    monkeypatch.setattr(py, "BLOCK_TOKENS", 3_000)
+    rng = random.Random(5)
+    rare = [f"r{i}" for i in range(3_000)]
+    text = lambda: " ".join(
+        f"{rng.choice(['the', 'the', 'a'])} {rng.choice(rare[:rng.choice([30, 3_000])])}"
+        for _ in range(40))
+    held = [i for i in range(4_000) if py.held_out(i)][300:302]
+    texts = [text() for _ in range(400)]
+    asked = documents(spark, ["the unheard " * 20], held[0]).unionAll(
+        documents(spark, ["the r3 " * 20], held[1]))
+    docs = documents(spark, texts).unionAll(asked).repartition(3)
+    found = {}
+    for size in (10_000_000, 12_000):
+        monkeypatch.setattr(py, "SHARD_BYTES", size)
+        found[size] = {r["doc_id"]: r["score"] / r["n_tokens"] for r in py.score(docs).collect()}
+    whole, split = found.values()
+    for i in held:
+        assert split[i] == pytest.approx(whole[i], abs=0.05)
+    assert sum(split.values()) == pytest.approx(sum(whole.values()), rel=0.01)
+
+
 def test_nothing_to_learn_from(spark):
     assert py.score(documents(spark, [])).count() == 0
     held = [i for i in range(60) if py.held_out(i)][:2]

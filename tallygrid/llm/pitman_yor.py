@@ -12,7 +12,8 @@ The corpus is cut into blocks of documents and shards of contexts:
 2. The reports meet by word.  There the parent's seating is drawn, and every shard gets back,
    in the order of its own words, the parent's customers and tables of each sample.
 3. Blocks send their pairs again, now with the documents they stand in.  Shards draw seatings
-   against the parent, and return sums for each document of a block.
+   against the parent, and return sums for each document that has pairs there; these are added
+   up by document.
 
 Nothing is sampled or cut off: a word or pair seen once has its table.  Pairs of a context
 that holds more than its share of the corpus are dealt to shards by classes of the second
@@ -381,15 +382,18 @@ class Parent:
 
 
 _SENT = ("shard int, block bigint, v binary, w binary, places binary, times binary, "
-         "learned binary, ids array<bigint>, n_tokens array<bigint>")
+         "ids array<bigint>, n_tokens array<bigint>, held array<boolean>")
 
 
 def _send_documents(docs: DataFrame, plan: Plan) -> DataFrame:
-    """Step 3: a block's distinct (pair, document) with their numbers, and its documents."""
+    """Step 3: a block's distinct (pair, document) with their numbers, and its documents.
+
+    Numbers of held-out documents are sent as negative ones.
+    """
     schema = pa.schema([
         ("shard", pa.int32()), ("block", pa.int64()), ("v", pa.binary()), ("w", pa.binary()),
-        ("places", pa.binary()), ("times", pa.binary()), ("learned", pa.binary()),
-        ("ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64()))])
+        ("places", pa.binary()), ("times", pa.binary()), ("ids", pa.list_(pa.int64())),
+        ("n_tokens", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -401,11 +405,12 @@ def _send_documents(docs: DataFrame, plan: Plan) -> DataFrame:
             start = _runs(v, w, place)
             times = np.diff(np.append(start, len(v)))
             v, w, place, shard = v[start], w[start], place[start], shard[start]
+            learned = block.training()
+            times = np.where(learned[place], times, -times)
             pair = _runs(v, w)
             documents = np.diff(np.append(pair, len(v)))  # of each pair
             of_pair = shard[pair]
             rows = []
-            learned = np.packbits(block.training()).tobytes()
             for s in range(plan.shards):
                 a, b = np.searchsorted(shard, [s, s + 1])
                 p, q = np.searchsorted(of_pair, [s, s + 1])
@@ -416,39 +421,38 @@ def _send_documents(docs: DataFrame, plan: Plan) -> DataFrame:
                     "shard": s, "block": number, "v": _pack_runs(v[pair[p:q]]), "w": _pack(w[pair[p:q]]),
                     "places": place[a:b].astype(np.uint16).tobytes(),
                     "times": np.concatenate([documents[p:q], times[a:b]]).astype(np.int32).tobytes(),
-                    "learned": learned,
                     "ids": block.ids if own else None,
-                    "n_tokens": [len(c) - 1 for c in block.chains] if own else None})
+                    "n_tokens": [len(c) - 1 for c in block.chains] if own else None,
+                    "held": (~learned).tolist() if own else None})
             yield _rows(rows, schema)
             number += 1
 
     return docs.mapInArrow(work, _SENT)
 
 
-_SUMS = ("block bigint, ids array<bigint>, learned binary, n_tokens array<bigint>, "
-         "known binary, base binary, score binary")
+_SUMS = ("block bigint, place int, doc_id bigint, held_out boolean, n_tokens bigint, "
+         "n_known bigint, base_score double, score double")
 
 
 def _score(plan: Plan, parent: Parent, seed: int):
-    """Step 3 in a shard: seat against the parent, and sum over each document of each block."""
+    """Step 3 in a shard: seat against the parent, and sum over each document that has pairs."""
+    names = [c.split()[0] for c in _SUMS.split(", ")]
 
     def work(sent: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         if not len(sent):
-            return pd.DataFrame(columns=[c.split()[0] for c in _SUMS.split(", ")])
+            return pd.DataFrame(columns=names)
         shard = int(sent["shard"].iloc[0])
         v = np.concatenate([_unpack_runs(x) for x in sent["v"]])
         w = np.concatenate([_unpack(x) for x in sent["w"]])
         blocks = []
-        for places, times, pairs, learned in zip(
-            sent["places"], sent["times"], (len(x) // 7 for x in sent["w"]), sent["learned"],
-            strict=True,
+        for places, times, pairs in zip(
+            sent["places"], sent["times"], (len(x) // 7 for x in sent["w"]), strict=True,
         ):
             numbers = np.frombuffer(times, np.int32)
-            blocks.append((np.frombuffer(places, np.uint16), numbers[pairs:], numbers[:pairs],
-                           np.unpackbits(np.frombuffer(learned, np.uint8)).astype(bool)))
+            blocks.append((np.frombuffer(places, np.uint16), numbers[pairs:], numbers[:pairs]))
         own = np.concatenate([
-            np.bincount(np.repeat(np.arange(len(d)), d), t * flag[p], len(d))
-            for p, t, d, flag in blocks]).astype(np.int64) if len(v) else np.zeros(0, np.int64)
+            np.bincount(np.repeat(np.arange(len(d)), d), np.maximum(t, 0), len(d))
+            for _, t, d in blocks]).astype(np.int64) if len(v) else np.zeros(0, np.int64)
         order = np.lexsort((w, v))
         start = _runs(v[order], w[order])
         kind = np.empty(len(v), np.int64)
@@ -503,34 +507,36 @@ def _score(plan: Plan, parent: Parent, seed: int):
         base10 = np.log10((total + 1) / (parent.tokens + parent.words + 1))[of][kind]
         known = (total > 0)[of][kind]
 
-        rows, at = [], 0
-        for (place, times, documents, _), ids, learned, n_tokens, block in zip(
-            blocks, sent["ids"], sent["learned"], sent["n_tokens"], sent["block"], strict=True
+        out, at = [], 0
+        for (place, times, documents), ids, n_tokens, held, block in zip(
+            blocks, sent["ids"], sent["n_tokens"], sent["held"], sent["block"], strict=True
         ):
             pair = at + np.repeat(np.arange(len(documents)), documents)
             at += len(documents)
-            docs = 8 * len(learned)
-            add = lambda x: np.bincount(place, x[pair] * times, docs).tobytes()  # noqa: E731, B023
-            rows.append({"block": block, "ids": ids, "learned": learned, "n_tokens": n_tokens,
-                         "known": np.bincount(place, known[pair] * times, docs).astype(np.int32).tobytes(),
-                         "base": add(base10), "score": add(score)})
-        return pd.DataFrame(rows)
+            there, of_place = np.unique(place, return_inverse=True)
+            add = lambda x: np.bincount(of_place, x[pair] * np.abs(times), len(there))  # noqa: E731, B023
+            out.append(pd.DataFrame({
+                "block": block, "place": there.astype(np.int32), "n_known": add(known).astype(np.int64),
+                "base_score": add(base10), "score": add(score)}))
+            if ids is not None:
+                n = len(ids)
+                out.append(pd.DataFrame({
+                    "block": block, "place": np.arange(n, dtype=np.int32),
+                    "doc_id": pd.array(list(ids), "Float64").astype("Int64")
+                    if any(x is None or x != x for x in ids) else pd.array(ids, "Int64"),
+                    "held_out": pd.array(held, "boolean"), "n_tokens": pd.array(n_tokens, "Int64"),
+                    "n_known": 0, "base_score": 0.0, "score": 0.0}))
+        return pd.concat(out).reindex(columns=names).astype(
+            {"doc_id": "Int64", "held_out": "boolean", "n_tokens": "Int64"})
 
     return work
 
 
-def _documents(part: pd.DataFrame) -> pd.DataFrame:
-    """The documents of a block, their shards' sums added up."""
-    own = part[part["ids"].notna()].iloc[0]
-    n = len(own["ids"])
-    add = lambda c, t: sum(np.frombuffer(x, t) for x in part[c])[:n]
-    learned = np.unpackbits(np.frombuffer(own["learned"], np.uint8))[:n].astype(bool)
-    return pd.DataFrame({
-        "doc_id": pd.array(list(own["ids"]), "Float64").astype("Int64")
-        if any(x is None or x != x for x in own["ids"]) else np.array(own["ids"], np.int64),
-        "held_out": ~learned, "n_tokens": np.array(own["n_tokens"], np.int64),
-        "n_known": add("known", np.int32).astype(np.int64),
-        "base_score": add("base", np.float64), "score": add("score", np.float64)})
+def documents(sums: DataFrame) -> DataFrame:
+    """The documents with their shards' sums added up, before the shuffle where they can be."""
+    return sums.groupBy("block", "place").agg(
+        *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")],
+        *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
 
 
 def score(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -564,9 +570,7 @@ def score(docs: DataFrame, seed: int = 0) -> DataFrame:
             based, len(plan.hot), SAMPLES, SWEEPS + 1, seed + 1)
     sums = _send_documents(docs, plan).groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(
         _score(plan, parent, seed + 1), _SUMS)
-    rows = sums.groupBy("block").applyInPandas(
-        _documents, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
-        "base_score double, score double")
+    rows = documents(sums)
     return rows.select("doc_id", "held_out", "n_tokens", "n_known",
                        F.lit(parent.tokens).cast("bigint").alias("train_tokens"),
                        "base_score", "score")

@@ -161,6 +161,19 @@ def test_hot_contexts_stay_one_restaurant(spark, monkeypatch):
     assert sum(split.values()) == pytest.approx(sum(whole.values()), rel=0.01)
 
 
+def test_shards_answer_only_for_documents_with_pairs(spark, monkeypatch):
+    """Sums are rows of documents, no more than pairs, not arrays over a block in every shard."""
+    sent = []
+    add_up = py.documents
+    monkeypatch.setattr(py, "documents", lambda sums: sent.append(sums) or add_up(sums))
+    monkeypatch.setattr(py, "SHARD_BYTES", 100)
+    texts = [f"x{i} y{i}" for i in range(300)]
+    found = py.score(documents(spark, texts).coalesce(1))
+    assert {r["n_tokens"] for r in found.collect()} == {3} and found.count() == 300
+    assert not any(t == "binary" or t.startswith("array") for _, t in sent[0].dtypes)
+    assert sent[0].count() <= 300 * 4  # three pairs and the document itself
+
+
 def test_nothing_to_learn_from(spark):
     assert py.score(documents(spark, [])).count() == 0
     held = [i for i in range(60) if py.held_out(i)][:2]

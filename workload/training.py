@@ -22,8 +22,6 @@ SPEC = FeatureSpec(
     categorical=("group_name",),
     passthrough=("entity_id", "risk_bucket", "total_damage", "is_train", "fold"),
 )
-# Far fewer trees than a real model: these queries show the job, not its best score.
-QUICK = {"rounds": 10, "depth": 4}
 
 
 def examples(spark, sf_dir):
@@ -53,9 +51,7 @@ def prepared(spark, sf_dir):
 
 def _model(spark, sf_dir, kind="forest"):
     coded, numeric = prepared(spark, sf_dir)
-    model = modeling.train_classifier(
-        coded.filter("is_train"), numeric, params=QUICK, kind=kind
-    )
+    model = modeling.train_classifier(coded.filter("is_train"), numeric, kind=kind)
     return model, coded, numeric
 
 
@@ -72,7 +68,7 @@ def _boosted(spark, sf_dir):
 
 def _cv(spark, sf_dir):
     coded, numeric = prepared(spark, sf_dir)
-    return modeling.cv_scores(coded.filter("is_train"), numeric, params=QUICK)
+    return modeling.cv_scores(coded.filter("is_train"), numeric)
 
 
 def _score(spark, sf_dir):

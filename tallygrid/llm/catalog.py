@@ -6,7 +6,7 @@ from importlib import import_module
 
 import corpus_pipeline
 
-SUBJECTS = ("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10",
+SUBJECTS = ("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11",
             "op12", "op13")
 
 

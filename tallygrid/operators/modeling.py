@@ -1,71 +1,96 @@
-"""Tier classifier with MLlib: training, cross-validation, scoring, evaluation."""
+"""Tier classifier: training, cross-validation, scoring, evaluation."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import first_argmax, rounded
+from .boosting import PARAMS, BoostedModel, fit_boosted
 from .features import LABELS
 
-# Depth, learning rate, sampling and seed of the published model.
-PARAMS = {"depth": 4, "rounds": 800, "rate": 0.05, "rows": 0.8, "columns": 0.6, "seed": 42}
+# Models of one cross-validation that train at the same time.
+SIDE_BY_SIDE = 4
 GATE = 0.60
 
+Model = PipelineModel | BoostedModel
+
 
 def train_classifier(
     df: DataFrame, features: Sequence[str], label: str = "label",
     params: Mapping[str, float] | None = None, kind: str = "forest",
-) -> PipelineModel:
-    """Three-class tree ensemble: a random forest, or boosted trees one class against the rest."""
+    judged: DataFrame | None = None, key: str | None = None,
+) -> Model:
+    """Three-class tree ensemble: a random forest, or boosted trees with one softmax.
+
+    Boosting stops early by its loss on ``judged`` rows, if there are any.
+    """
     p = {**PARAMS, **(params or {})}
-    assembler = VectorAssembler(
-        inputCols=list(features), outputCol="features", handleInvalid="error"
+    if kind == "boosted":
+        kept = [*dict.fromkeys([*features, label, *([key] if key else [])])]
+        rows, fold = df.select(*kept), None
+        if judged is not None:
+            fold = "_judged"
+            rows = rows.withColumn(fold, F.lit(-1)).unionByName(
+                judged.select(*kept).withColumn(fold, F.lit(0)))
+        return fit_boosted(rows, features, label, fold, 1, len(LABELS), key, p)[0]
+    if kind != "forest":
+        raise ValueError(f"kind must be 'forest' or 'boosted', not {kind!r}")
+    data = _assembled(df, features, label).select("features", label)
+    return _forest(data, features, label, p)
+
+
+def _assembler(features: Sequence[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
+
+
+def _assembled(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    return _assembler(features).transform(df.withColumn(label, F.col(label).cast("double")))
+
+
+def _forest(
+    data: DataFrame, features: Sequence[str], label: str, p: Mapping[str, float]
+) -> PipelineModel:
+    estimator = RandomForestClassifier(
+        labelCol=label, maxDepth=int(p["depth"]), numTrees=int(p["rounds"]),
+        subsamplingRate=p["rows"], featureSubsetStrategy=str(p["columns"]), seed=int(p["seed"]),
     )
-    if kind == "forest":
-        estimator = RandomForestClassifier(
-            labelCol=label, maxDepth=int(p["depth"]), numTrees=int(p["rounds"]),
-            subsamplingRate=p["rows"], featureSubsetStrategy=str(p["columns"]),
-            seed=int(p["seed"]),
-        )
-    elif kind == "boosted":
-        estimator = OneVsRest(
-            labelCol=label, parallelism=len(LABELS),
-            classifier=GBTClassifier(
-                maxDepth=int(p["depth"]), maxIter=int(p["rounds"]), stepSize=p["rate"],
-                subsamplingRate=p["rows"], featureSubsetStrategy=str(p["columns"]),
-                seed=int(p["seed"]),
-            ),
-        )
+    return PipelineModel([_assembler(features), estimator.fit(data)])
+
+
+def save_model(model: Model, spark: SparkSession, path: str) -> None:
+    """The model under ``path``, in place of an earlier one."""
+    if isinstance(model, BoostedModel):
+        model.save(spark, path)
     else:
-        raise ValueError(f"kind must be 'forest' or 'boosted', not {kind!r}")
-    data = assembler.transform(df.withColumn(label, F.col(label).cast("double")))
-    return PipelineModel([assembler, estimator.fit(data.select("features", label))])
+        model.write().overwrite().save(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    """A model of either kind; a forest's folder has a ``metadata`` folder of its own."""
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(path, "metadata")
+    forest = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+    return PipelineModel.load(path) if forest else BoostedModel.load(spark, path)
 
 
 def batch_score(
-    model: PipelineModel, df: DataFrame, keep: Sequence[str], labels: Sequence[str] = LABELS
+    model: Model, df: DataFrame, keep: Sequence[str], labels: Sequence[str] = LABELS
 ) -> DataFrame:
     """Class, tier and rounded probabilities per row, in the executors."""
     scored = model.transform(df)
-    if "probability" in scored.columns:
+    probabilities = F.col("probability")
+    if not isinstance(model, BoostedModel):
         probabilities = vector_to_array("probability")
-        predicted = first_argmax(probabilities)
-    else:
-        # A boosted margin m stands for the odds exp(2m) of its class against the rest.
-        odds = F.transform(
-            vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m))
-        )
-        total = F.aggregate(odds, F.lit(0.0), lambda a, p: a + p)
-        probabilities = F.transform(odds, lambda p: p / total)
-        predicted = F.col("prediction").cast("int")
+    predicted = first_argmax(probabilities)
     names = F.array(*[F.lit(n) for n in labels])
     return scored.select(
         *keep,
@@ -168,14 +193,14 @@ def bucket_distribution(pred: DataFrame, bucket: str = "risk_bucket") -> DataFra
 
 
 def feature_importance(
-    model: PipelineModel, features: Sequence[str], limit: int = 20
+    model: Model, features: Sequence[str], limit: int = 20
 ) -> DataFrame:
     """Importance per feature, largest first; the model's own list, so driver-sized."""
-    stage = model.stages[-1]
-    trees = stage.models if hasattr(stage, "models") else [stage]
-    vectors = [m.featureImportances.toArray() for m in trees]
-    mean = reduce(lambda a, b: a + b, vectors) / len(vectors)
-    rows = [(name, float(value)) for name, value in zip(features, mean, strict=True)]
+    if isinstance(model, BoostedModel):
+        shares = model.importances
+    else:
+        shares = model.stages[-1].featureImportances.toArray()
+    rows = [(name, float(value)) for name, value in zip(features, shares, strict=True)]
     return (
         SparkSession.active()
         .createDataFrame(rows, "feature string, importance double")
@@ -186,23 +211,43 @@ def feature_importance(
 
 def cv_scores(
     df: DataFrame, features: Sequence[str], fold: str = "fold", label: str = "label",
-    params: Mapping[str, float] | None = None, kind: str = "forest",
+    params: Mapping[str, float] | None = None, kind: str = "forest", key: str | None = None,
 ) -> DataFrame:
-    """Balanced accuracy per held-out fold, with mean and population std over the folds."""
-    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).limit(101).collect()]
-    if len(folds) > 100:
-        raise ValueError("more than 100 folds")
-    data = df.select(*features, label, fold).persist()
-    per_fold = []
-    for f in folds:
-        model = train_classifier(data.filter(F.col(fold) != f), features, label, params, kind)
-        held = model.transform(data.filter(F.col(fold) == f))
-        score = classification_metrics(held, label).first()
-        per_fold.append((int(f), float(score["balanced_accuracy"])))
+    """Balanced accuracy and rows per held-out fold, with mean and population std over the folds.
+
+    Folds train side by side over one cached matrix: boosted models share every pass over it,
+    forests share the session.  Rows without a fold are always learnt from.
+    """
+    p = {**PARAMS, **(params or {})}
+    spark = df.sparkSession
+    numbers = df.select(fold).filter(F.col(fold).isNotNull()).distinct().orderBy(fold)
+    folds = [r[0] for r in numbers.collect()]
+    kept = [*dict.fromkeys([*features, label, fold, *([key] if key else [])])]
+    data = _assembled(df.select(*kept), features, label).persist()
+    if kind == "boosted":
+        place = F.element_at(
+            F.create_map(*[F.lit(v) for i, f in enumerate(folds) for v in (f, i)]), F.col(fold))
+        # a fold must not decide when the model that it judges stops
+        models = fit_boosted(data.withColumn("_place", place), features, label, "_place",
+                             len(folds), len(LABELS), key, {**p, "patience": float("inf")})
+        models = dict(zip(folds, models, strict=True))
+    elif kind != "forest":
+        raise ValueError(f"kind must be 'forest' or 'boosted', not {kind!r}")
+
+    def judged(f) -> tuple[int, float, int]:
+        out = F.col(fold).eqNullSafe(F.lit(f))
+        model = (models[f] if kind == "boosted"
+                 else _forest(data.filter(~out).select("features", label), features, label, p))
+        held = model.transform(data.filter(out).drop("features"))
+        score = classification_report(held.select(label, "prediction"), label).agg(
+            F.avg(F.when(F.col("support") > 0, F.col("recall"))), F.sum("support")).first()
+        return int(f), float(score[0]), int(score[1])
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        per_fold = list(pool.map(inheritable_thread_target(spark)(judged), folds))
     data.unpersist()
-    scores = df.sparkSession.createDataFrame(per_fold, "fold int, balanced_accuracy double")
-    summary = scores.agg(
-        F.avg("balanced_accuracy").alias("mean"), F.stddev_pop("balanced_accuracy").alias("std")
-    )
-    mean, std = summary.first()
-    return scores.withColumn("mean", F.lit(mean)).withColumn("std", F.lit(std))
+    scores = spark.createDataFrame(per_fold, "fold int, balanced_accuracy double, rows bigint")
+    mean, std = scores.agg(
+        F.avg("balanced_accuracy"), F.stddev_pop("balanced_accuracy")).first()
+    return scores.withColumns(
+        {"mean": F.lit(mean).cast("double"), "std": F.lit(std).cast("double")})

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,7 +76,7 @@ def write_training_data(
 
 @dataclass(frozen=True)
 class Trained:
-    model: PipelineModel
+    model: modeling.Model
     fitted: features.FittedFeatures
     feature_names: list[str]
     metrics: dict[str, float]
@@ -105,9 +104,10 @@ def train(
     coded = coded.persist()
     if folds > 1:
         folded = bucketing.stratified_folds(coded, "label", spec.key, folds)
-        scores = modeling.cv_scores(folded, numeric, params=params, kind=kind)
+        scores = modeling.cv_scores(folded, numeric, params=params, kind=kind, key=spec.key)
         sinks.write_json(scores, f"{folder}/cv")
-    model = modeling.train_classifier(coded, numeric, params=params, kind=kind)
+    model = modeling.train_classifier(
+        coded, numeric, params=params, kind=kind, judged=held, key=spec.key)
     coded.unpersist()
     predicted = model.transform(held).select("label", "prediction").persist()
     metrics = modeling.classification_metrics(predicted)
@@ -122,12 +122,12 @@ def train(
     predicted.unpersist()
     fitted.save(spark, f"{folder}/features")
     if published:
-        model.write().overwrite().save(f"{folder}/model")
+        modeling.save_model(model, spark, f"{folder}/model")
     return Trained(model, fitted, numeric, values, published)
 
 
 def score(
-    table: DataFrame, model: PipelineModel, fitted: features.FittedFeatures,
+    table: DataFrame, model: modeling.Model, fitted: features.FittedFeatures,
     feature_names: Sequence[str], path: str, run_date: Column | str, model_name: str,
     describe: Sequence[str] = ("entity_name", "group_name", "county_name", "state"),
 ) -> DataFrame:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import drift
-from ..operators.modeling import batch_score
+from ..operators.modeling import Model, batch_score
 from ..sources.sinks import write_predictions
 
 
@@ -98,7 +97,7 @@ def stream_drift(
 
 
 def stream_scores(
-    stream: DataFrame, model: PipelineModel, keep: Sequence[str], path: str, model_name: str,
+    stream: DataFrame, model: Model, keep: Sequence[str], path: str, model_name: str,
     checkpoint: str, run_date: str | None = None,
 ) -> StreamingQuery:
     """Scores of every micro-batch as a partition of its own."""

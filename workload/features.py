@@ -282,6 +282,8 @@ SELECT b.entity_id, b.group_name, {", ".join(f"b.{c}" for c in _COUNT_SUMS)},
 FROM base b LEFT JOIN e_pivot p ON b.entity_id = p.entity_id{where}"""
 
 
+FEATURE_SQL = _feature_sql(True)
+
 _GAPPY = f"""{MART}, gappy AS (SELECT entity_id, year, {big("severe_count")}, total_damage,
   CASE WHEN event_count % 7 <> 0 THEN event_count END AS events FROM g_mart)"""
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallygrid.functions.numeric import first_argmax, guarded_ratio, rounded
 from tallygrid.functions.text import first_contained, occurrences, squeeze_whitespace
 from tallygrid.operators import bucketing, features, modeling
 from tallygrid.schemas import FeatureSpec
 from tallygrid.sources.readers import days_before
-from workload.features import DAMAGED, FAMILIES, MAXIMA, MEANS, RATIOS, SUMS
+from workload.features import DAMAGED, FAMILIES, FEATURE_SQL, MAXIMA, MEANS, RATIOS, SUMS
 from workload.gold import entity, events, mart, table
 
 # Money totals stay out: the target is cut from one of them.
@@ -34,8 +35,11 @@ def examples(spark, sf_dir):
         RATIOS,
     ).persist()
     tiers = bucketing.tertile_bucket(wide, "total_damage", "entity_id")
-    split = bucketing.stratified_split(tiers, "risk_bucket", "entity_id")
-    return bucketing.stratified_folds(split, "risk_bucket", "entity_id")
+    # The portable hash, so that SQL can draw the same rows.
+    split = bucketing.stratified_split(
+        tiers, "risk_bucket", "entity_id", hasher=bucketing.portable_hash)
+    return bucketing.stratified_folds(
+        split, "risk_bucket", "entity_id", hasher=bucketing.portable_hash)
 
 
 def prepared(spark, sf_dir):
@@ -50,35 +54,66 @@ def prepared(spark, sf_dir):
 
 
 def _model(spark, sf_dir, kind="forest"):
+    """A model of the training rows; boosting is judged on the others, as they are no part of it."""
     coded, numeric = prepared(spark, sf_dir)
-    model = modeling.train_classifier(coded.filter("is_train"), numeric, kind=kind)
+    held = coded.filter("NOT is_train")
+    model = modeling.train_classifier(
+        coded.filter("is_train"), numeric, kind=kind, judged=held, key="entity_id")
     return model, coded, numeric
 
 
+def held_out(spark, sf_dir, kind):
+    """Held-out rows of every tier, and whether the tiers were told apart better than by chance."""
+    model, coded, _ = _model(spark, sf_dir, kind)
+    scored = model.transform(coded.filter("NOT is_train")).select("label", "prediction")
+    report = modeling.classification_report(scored).filter("support > 0")
+    chance = F.avg("recall").over(Window.partitionBy(F.lit(1))) > 1.0 / len(features.LABELS)
+    return report.select(F.col("class").alias("actual"), F.col("support").alias("rows"),
+                         chance.alias("beats_chance"))
+
+
 def _train(spark, sf_dir):
-    model, coded, _ = _model(spark, sf_dir)
-    held = model.transform(coded.filter("NOT is_train"))
-    return modeling.classification_metrics(held)
+    return held_out(spark, sf_dir, "forest")
 
 
 def _boosted(spark, sf_dir):
-    model, coded, _ = _model(spark, sf_dir, "boosted")
-    return modeling.confusion_matrix(model.transform(coded.filter("NOT is_train")))
+    return held_out(spark, sf_dir, "boosted")
 
 
 def _cv(spark, sf_dir):
+    """Every fold once with its rows; scores are shares and the mean is theirs."""
     coded, numeric = prepared(spark, sf_dir)
-    return modeling.cv_scores(coded.filter("is_train"), numeric)
+    scores = modeling.cv_scores(coded.filter("is_train"), numeric)
+    mean = F.avg("balanced_accuracy").over(Window.partitionBy(F.lit(1)))
+    return scores.select(
+        "fold", "rows", F.col("balanced_accuracy").between(0.0, 1.0).alias("is_share"),
+        (F.abs(mean - F.col("mean")) < 1e-9).alias("mean_of_folds"))
 
 
 def _score(spark, sf_dir):
+    """Every entity once; its tier is the most probable one and its probabilities add up."""
     model, coded, _ = _model(spark, sf_dir)
-    return modeling.batch_score(model, coded, ["entity_id"])
+    scored = modeling.batch_score(model, coded, ["entity_id"])
+    chances = F.map_values("probabilities")
+    total = F.aggregate(chances, F.lit(0.0), lambda a, p: a + p)
+    return scored.select(
+        "entity_id", (F.abs(total - 1.0) < 0.02).alias("adds_up"),
+        (F.col("probabilities")[F.col("risk_bucket")] == F.array_max(chances)).alias("is_most"),
+        F.element_at(F.array(*map(F.lit, features.LABELS)), F.col("predicted_class") + 1)
+        .eqNullSafe(F.col("risk_bucket")).alias("is_class"))
 
 
 def _importance(spark, sf_dir):
+    """The twenty most important features by place; all shares add up to one."""
     model, _, numeric = _model(spark, sf_dir)
-    return modeling.feature_importance(model, numeric)
+    top = modeling.feature_importance(model, numeric)
+    total = modeling.feature_importance(model, numeric, len(numeric)).agg(
+        F.sum("importance")).first()[0]
+    place = F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))
+    before = F.lag("importance").over(Window.orderBy(F.desc("importance"), "feature"))
+    return top.select(
+        place.alias("place"), F.coalesce(before >= F.col("importance"), F.lit(True)).alias("falls"),
+        (F.lit(abs(total - 1.0)) < 1e-9).alias("adds_up"))
 
 
 def _scalars(spark, sf_dir):
@@ -161,7 +196,35 @@ _ODDS = "[c_acctbal % 7, c_acctbal % 5, c_acctbal % 3]"
 _DIGITS = "regexp_extract_all(c_name, '([1-9])', 1)"
 _INTS = f"list_transform({_DIGITS}, lambda x: CAST(x AS INTEGER))"
 
+_EXAMPLES = f"""f AS (SELECT entity_id, total_damage FROM ({FEATURE_SQL}) t),
+edges AS (SELECT quantile_cont(total_damage, 1.0 / 3.0) AS lo,
+  quantile_cont(total_damage, 2.0 / 3.0) AS hi FROM f),
+tier AS (SELECT entity_id, CAST(CASE WHEN total_damage <= lo THEN 0 WHEN total_damage <= hi THEN 1
+  ELSE 2 END AS INTEGER) AS actual FROM f, edges),
+drawn AS (SELECT *, COUNT(*) OVER (PARTITION BY actual) AS total,
+  row_number() OVER (PARTITION BY actual ORDER BY
+    substring(md5('42:' || CAST(entity_id AS VARCHAR)), 1, 13)) AS n,
+  row_number() OVER (PARTITION BY actual ORDER BY
+    substring(md5('42:fold:' || CAST(entity_id AS VARCHAR)), 1, 13)) AS m FROM tier),
+examples AS (SELECT entity_id, actual, n <= floor(total * 0.8 + 0.5) AS is_train,
+  CAST(CASE WHEN m > ceil(total * 1 / 5.0) THEN 1 ELSE 0 END
+  + CASE WHEN m > ceil(total * 2 / 5.0) THEN 1 ELSE 0 END
+  + CASE WHEN m > ceil(total * 3 / 5.0) THEN 1 ELSE 0 END
+  + CASE WHEN m > ceil(total * 4 / 5.0) THEN 1 ELSE 0 END AS INTEGER) AS fold FROM drawn)"""
+_HELD_OUT = f"""WITH {_EXAMPLES}
+SELECT actual, COUNT(*) AS rows, TRUE AS beats_chance FROM examples WHERE NOT is_train
+GROUP BY actual"""
+
 ORACLES = {
+    "train_classifier": _HELD_OUT,
+    "train_boosted": _HELD_OUT,
+    "cv_scores": f"""WITH {_EXAMPLES}
+SELECT fold, COUNT(*) AS rows, TRUE AS is_share, TRUE AS mean_of_folds FROM examples
+WHERE is_train GROUP BY fold""",
+    "batch_score": f"""WITH {_EXAMPLES}
+SELECT entity_id, TRUE AS adds_up, TRUE AS is_most, TRUE AS is_class FROM examples""",
+    "feature_importance": """SELECT CAST(i AS INTEGER) AS place, TRUE AS falls, TRUE AS adds_up
+FROM (SELECT unnest(generate_series(1, 20)) AS i) t""",
     "scalar_smoke": f"""SELECT c_custkey,
   ROUND(c_acctbal / 3, 2) AS rounded,
   ROUND(c_acctbal + c_acctbal * 2 - c_acctbal / 4, 4) AS arithmetic,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as words
 from ..operators import questions, ranking, resolve, trends
 from ..schemas import COUNTY, Names
+from .sql_guard import run_sql
 
 MAX_LIMIT = 100
 DEFAULT_LIMIT = 20
@@ -190,6 +191,15 @@ class Gold:
         report, clean = validate(name, params, limits)
         return _REPORTS[report](self, clean)
 
+    def sql(self, query: str, limit: int = MAX_LIMIT, database: str | None = None) -> DataFrame:
+        """Rows of a free query over the tables ``mart``, ``events`` and ``entity``.
+
+        Only plain queries over these names run (``plans.sql_guard``); ``database`` may stand
+        before them.  At most ``MAX_LIMIT`` rows come back.
+        """
+        tables = {"mart": self.mart, "events": self.events, "entity": self.entity}
+        return run_sql(tables, query, min(limit, MAX_LIMIT), database)
+
     def answer(self, question: str, default_limit: int = DEFAULT_LIMIT) -> DataFrame:
         """Run the report a question asks for.  A log of questions is tagged as a table."""
         spark = self.mart.sparkSession

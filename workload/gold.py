@@ -468,7 +468,29 @@ FROM period_a a JOIN period_b b ON a.entity_id = b.entity_id
 JOIN g_entity e ON a.entity_id = e.entity_id
 ORDER BY absolute_increase DESC, a.entity_id"""
 
+# One text for both engines: table expressions, a window, a join and a subquery.
+FREE_SQL = """WITH yearly AS (
+  SELECT entity_id, year, SUM(event_count) AS n, SUM(severe_count) AS severe
+  FROM gold.events WHERE category <> 'ECONOMY' GROUP BY entity_id, year),
+placed AS (
+  SELECT *, RANK() OVER (PARTITION BY year ORDER BY n DESC, entity_id) AS place FROM yearly)
+SELECT p.year, CAST(p.place AS INT) AS place, e.entity_name, e.group_name,
+  CAST(p.n AS BIGINT) AS total_events, CAST(m.severe_count AS BIGINT) AS severe_of_year
+FROM placed p JOIN entity e ON p.entity_id = e.entity_id
+JOIN gold.mart m ON m.entity_id = p.entity_id AND m.year = p.year
+WHERE p.place <= 9 AND e.region_name IN (
+  SELECT region_name FROM entity GROUP BY region_name HAVING COUNT(*) > 1)
+ORDER BY p.year, p.place"""
+
+
+def _gold_sql(spark, sf_dir):
+    """A free query over the gold tables, through the guard."""
+    gold = Gold(mart(spark, sf_dir), events(spark, sf_dir), entity(spark, sf_dir), NAMES)
+    return gold.sql(FREE_SQL, database="gold")
+
+
 QUERIES = {
+    "gold_sql": _gold_sql,
     "top_entities_by_score": _top_by_score,
     "top_entities_in_group": _top_in_group,
     "entity_comparison": _comparison,
@@ -492,6 +514,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "gold_sql": f"""WITH {ENTITY}, {MART}, {EVENT},
+mart AS (SELECT * FROM g_mart), events AS (SELECT * FROM g_event),
+entity AS (SELECT * FROM g_entity)
+SELECT * FROM ({FREE_SQL.replace("gold.", "")}) t LIMIT 100""",
     "top_entities_by_score": _score_sql(2, f"year BETWEEN {FIRST} AND {LAST}", 20),
     "top_entities_in_group": _score_sql(
         4, "year BETWEEN 1996 AND 2000 AND LOWER(group_name) = 'nation_7'", 20

@@ -22,14 +22,19 @@ KL_THRESHOLD = 0.1
 MIN_ROWS = 10
 
 
-def to_long(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, value) rows of a wide frame; absent columns and NULLs are skipped."""
+def to_long(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(feature, value) rows of a wide frame, after the columns ``keep``.
+
+    Absent columns and NULLs are skipped.
+    """
     pairs = [
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
         for c in features
         if c in df.columns
     ]
-    return df.select(F.inline(F.array(*pairs))).filter("value IS NOT NULL")
+    if not pairs:
+        return df.select(*keep, F.lit("").alias("feature"), F.lit(0.0).alias("value")).filter("false")
+    return df.select(*keep, F.inline(F.array(*pairs))).filter("value IS NOT NULL")
 
 
 def baseline_stats(long: DataFrame) -> DataFrame:
@@ -142,31 +147,69 @@ def kl_drift(recent: DataFrame, baseline: DataFrame, eps: float = EPSILON) -> Da
     return sums.select("feature", kl.alias("kl_divergence"))
 
 
-def drift_report(
-    recent: DataFrame, baseline_moments: DataFrame, baseline_histogram: DataFrame,
-    threshold: float = KL_THRESHOLD, min_rows: int = MIN_ROWS, bins: int = BINS,
+def binned_counts(
+    long: DataFrame, baseline_histogram: DataFrame, by: Sequence[Column] = (), bins: int = BINS
 ) -> DataFrame:
-    """Drift flag and mean shift per feature that has enough recent values."""
-    current = (
-        recent.filter("value IS NOT NULL")
-        .groupBy("feature")
-        .agg(F.count("*").alias("_rows"), F.avg("value").alias("recent_mean"))
-        .filter(F.col("_rows") >= min_rows)
+    """Per feature, and ``by``: rows, mean and the counts on the baseline's bins, in one pass.
+
+    Sums and counts only, so it serves a table and, kept as state, a stream alike.  Values
+    outside of the baseline's range count as rows but fall into no bin; features without a
+    baseline are left out.
+    """
+    side = bounded_side(histogram_ranges(baseline_histogram))
+    inside = F.col("value").between(F.col("lo"), F.col("hi"))
+    placed = (
+        long.filter("value IS NOT NULL").join(side, "feature")
+        .withColumn("_bin", F.when(inside, bin_index(F.col("value"), bins)))
     )
-    kl = kl_drift(recent_histogram(recent, baseline_histogram, bins), baseline_histogram)
-    return (
-        current.join(kl, "feature")
+    return placed.groupBy(*by, "feature").agg(
+        F.count("*").alias("rows"), F.avg("value").alias("recent_mean"),
+        F.array(*[F.count_if(F.col("_bin") == i) for i in range(bins)]).alias("counts"),
+    )
+
+
+def report_of(
+    counts: DataFrame, baseline_moments: DataFrame, baseline_histogram: DataFrame,
+    threshold: float = KL_THRESHOLD, min_rows: int = MIN_ROWS, by: Sequence[str] = (),
+) -> DataFrame:
+    """Drift flag and mean shift per feature with enough values, from ``binned_counts``."""
+    shares = F.sort_array(F.collect_list(F.struct("bin", "share")))
+    baseline = bounded_side(
+        baseline_histogram.groupBy("feature").agg(shares["share"].alias("_q"))
         .join(baseline_moments.select("feature", F.col("mean").alias("baseline_mean")), "feature")
-        .select(
-            "feature",
-            rounded(F.col("kl_divergence"), 6).alias("kl_divergence"),
-            (F.col("kl_divergence") > threshold).alias("is_drifted"),
-            "recent_mean",
-            "baseline_mean",
-            rounded(F.col("recent_mean") - F.col("baseline_mean"), 4).alias("mean_shift"),
-        )
     )
 
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+    known = F.greatest(total(F.col("counts")), F.lit(1.0))
+    with_shares = (
+        counts.filter(F.col("rows") >= min_rows).join(baseline, "feature")
+        .withColumn("_p", F.transform("counts", lambda c: c / known + EPSILON))
+        .withColumn("_q", F.transform("_q", lambda q: q + EPSILON))
+    )
+    # sum p' ln(p'/q') with p' = p/P, q' = q/Q  =  sum(p ln(p/q))/P + ln(Q/P)
+    apart = total(F.zip_with("_p", "_q", lambda p, q: p * F.ln(p / q)))
+    kl = apart / total(F.col("_p")) + F.ln(total(F.col("_q")) / total(F.col("_p")))
+    return with_shares.withColumn("_kl", kl).select(
+        *by,
+        "feature",
+        rounded(F.col("_kl"), 6).alias("kl_divergence"),
+        (F.col("_kl") > threshold).alias("is_drifted"),
+        "recent_mean",
+        "baseline_mean",
+        rounded(F.col("recent_mean") - F.col("baseline_mean"), 4).alias("mean_shift"),
+    )
+
+
+def drift_report(
+    recent: DataFrame, baseline_moments: DataFrame, baseline_histogram: DataFrame,
+    threshold: float = KL_THRESHOLD, min_rows: int = MIN_ROWS, bins: int = BINS,
+) -> DataFrame:
+    """Drift flag and mean shift per feature that has enough recent values; one scan of them."""
+    counts = binned_counts(recent, baseline_histogram, (), bins)
+    return report_of(counts, baseline_moments, baseline_histogram, threshold, min_rows)
+
 
 def drift_summary(report: DataFrame) -> DataFrame:
     """One row: features checked, sorted drifted features, any drift."""

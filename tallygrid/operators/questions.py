@@ -6,9 +6,9 @@ rules is part of their meaning.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import vocabulary as words
@@ -286,18 +286,41 @@ def quality_notes(
     return out.withColumn("note", note).drop("_outside", "_lower")
 
 
-def all_zero_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: is every listed column that exists zero (or no number) in every row?"""
-    present = [c for c in columns if c in df.columns]
+def _is_nonzero(df: DataFrame, columns: Sequence[str]) -> Column:
     nonzero = F.lit(False)
-    for c in present:
-        nonzero = nonzero | (F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) != 0)
-    return df.agg(
+    for c in columns:
+        if c in df.columns:
+            nonzero = nonzero | (F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) != 0)
+    return nonzero
+
+
+def all_zero_checks(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
+    """A row per named list of columns, all in one scan: is every one that exists zero, or no
+    number, in every row?"""
+    counts = df.agg(
         F.count("*").alias("rows"),
-        F.count_if(nonzero).alias("nonzero_rows"),
-    ).withColumn(
-        "all_zero", F.lit(bool(present)) & (F.col("rows") > 0) & (F.col("nonzero_rows") == 0)
-    )
+        *[F.count_if(_is_nonzero(df, c)).alias(f"n{i}") for i, c in enumerate(groups.values())])
+    checks = [
+        F.struct(
+            F.lit(name).alias("columns"), "rows", F.col(f"n{i}").alias("nonzero_rows"),
+            (F.lit(any(c in df.columns for c in columns)) & (F.col("rows") > 0)
+             & (F.col(f"n{i}") == 0)).alias("all_zero"))
+        for i, (name, columns) in enumerate(groups.items())
+    ]
+    return counts.select(F.inline(F.array(*checks)))
+
+
+def all_zero_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: is every listed column that exists zero (or no number) in every row?"""
+    return all_zero_checks(df, {"": columns}).drop("columns")
+
+
+def observed(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Observation]:
+    """``df`` with its rows, and those that are not zero in ``columns``, counted as it runs."""
+    seen = Observation()
+    return df.observe(
+        seen, F.count(F.lit(1)).alias("rows"),
+        F.count_if(_is_nonzero(df, columns)).alias("nonzero_rows")), seen
 
 
 def routing_distribution(routed: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .. import vocabulary as words
@@ -20,6 +22,8 @@ from .sql_guard import run_sql
 
 MAX_LIMIT = 100
 DEFAULT_LIMIT = 20
+# Reports of one log that run at the same time.
+REPORTS_AT_ONCE = 4
 
 YEARS = (
     "start_year", "end_year", "period_a_start", "period_a_end", "period_b_start", "period_b_end"
@@ -172,6 +176,16 @@ def mentions(question: str) -> list[tuple[str, str | None]]:
     return list(dict.fromkeys(found))
 
 
+@dataclass(frozen=True)
+class Answer:
+    """The rows of an executed report, and whether its event figures are all zero."""
+
+    report: str
+    rows: list[Row]
+    row_count: int
+    all_zero: bool
+
+
 @dataclass(frozen=True)
 class Gold:
     """The three tables reports may read, and their column names."""
@@ -200,8 +214,43 @@ class Gold:
         tables = {"mart": self.mart, "events": self.events, "entity": self.entity}
         return run_sql(tables, query, min(limit, MAX_LIMIT), database)
 
+    def executed(self, name: str, **params: Any) -> Answer:
+        """Run a report and keep its rows; they are counted in the pass that fetches them."""
+        report = REPORT_ALIASES.get(name, name)
+        metrics = words.METRIC_COLUMNS
+        counted, seen = questions.observed(self.run(name, **params), metrics)
+        rows = counted.collect()
+        has_metric = any(c in counted.columns for c in metrics)
+        return Answer(report, rows, len(rows),
+                      has_metric and bool(rows) and seen.get["nonzero_rows"] == 0)
+
+    def facts(self, requests: Mapping[str, Mapping[str, Any]]) -> DataFrame:
+        """``(template, row_count, all_zero)`` of executed reports, a few at a time."""
+        def one(item: tuple[str, Mapping[str, Any]]) -> tuple:
+            done = self.executed(item[0], **item[1])
+            return done.report, done.row_count, done.all_zero
+
+        spark = self.mart.sparkSession
+        with ThreadPoolExecutor(REPORTS_AT_ONCE) as pool:
+            rows = list(pool.map(inheritable_thread_target(spark)(one), requests.items()))
+        return spark.createDataFrame(rows, "template string, row_count int, all_zero boolean")
+
+    def noted(self, question: str, default_limit: int = DEFAULT_LIMIT) -> tuple[Answer, str]:
+        """The answer to a question, and the code of the note it needs, "" for none."""
+        template, params = self._request(question, default_limit)
+        done = self.executed(template, **params)
+        asked = self.mart.sparkSession.createDataFrame(
+            [(question, done.report, done.row_count, done.all_zero)],
+            "question string, template string, row_count int, all_zero boolean")
+        return done, questions.quality_notes(asked).first()["note"]
+
     def answer(self, question: str, default_limit: int = DEFAULT_LIMIT) -> DataFrame:
         """Run the report a question asks for.  A log of questions is tagged as a table."""
+        template, params = self._request(question, default_limit)
+        return self.run(template, **params)
+
+    def _request(self, question: str, default_limit: int) -> tuple[str, dict[str, Any]]:
+        """The report that a question asks for, and its parameters."""
         spark = self.mart.sparkSession
         asked = spark.createDataFrame([(0, question)], "lookup_id int, question string")
         tagged = questions.extract_entities(questions.tag_template(asked, default_limit))
@@ -209,7 +258,7 @@ class Gold:
         params = {k: tags[k] for k in (*YEARS, "row_limit", "category", "order_col", "group_name")}
         if tags["template"] == "entity_comparison":
             params["ids"] = self._ids(question, tags["entities"])
-        return self.run(tags["template"], **params)
+        return tags["template"], params
 
     def _ids(self, question: str, mentioned: Sequence[str]) -> list[str]:
         """Ids among the mentioned entities, and those that the mentioned names resolve to.

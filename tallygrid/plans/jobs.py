@@ -158,26 +158,38 @@ def write_baseline(table: DataFrame, names: Sequence[str], folder: str) -> None:
 def drift_check(
     spark: SparkSession, folder: str, capture_path: str, schema: T.StructType,
     names: Sequence[str], since: str | None = None, report_path: str | None = None,
+    bad_lines_path: str | None = None,
 ) -> DataFrame:
-    """One summary row; the report per feature is written if a path is given."""
-    recent = readers.capture_json(spark, capture_path, schema, since)
-    long = drift.to_long(recent, names)
-    if not long.head(1):
+    """One summary row; the report per feature and the bad lines are written if paths are given.
+
+    The window is read once for the report; its bad lines are counted in the same pass and read
+    again only to be written.
+    """
+    captured = readers.read_capture_window(spark, capture_path, schema, since)
+    histogram = spark.read.parquet(f"{folder}/histogram")
+    known = [n for n in names if n in captured.rows.columns]
+    counts = drift.binned_counts(drift.to_long(captured.rows, known), histogram)
+    checked = counts.collect() if known else []  # one row per feature
+    if not known:
+        captured.rows.agg(F.count("*")).collect()
+    bad_lines = captured.counts()["bad_lines"]
+    if bad_lines and bad_lines_path:
+        sinks.write_dataset(captured.bad, bad_lines_path)
+    if not checked:
         return spark.range(1).select(
             F.lit(0).cast("bigint").alias("total_features_checked"),
             F.array().cast("array<string>").alias("drifted_features"),
             F.lit(False).alias("drift_detected"),
             F.lit("no_capture_data").alias("reason"),
+            F.lit(bad_lines).cast("bigint").alias("bad_lines"),
         )
-    report = drift.drift_report(
-        long,
-        spark.read.parquet(f"{folder}/moments"),
-        spark.read.parquet(f"{folder}/histogram"),
-    )
+    counts = spark.createDataFrame(checked, counts.schema)
+    report = drift.report_of(counts, spark.read.parquet(f"{folder}/moments"), histogram)
     if report_path:
         sinks.write_json(report, report_path)
         report = spark.read.schema(report.schema).json(report_path)
-    return drift.drift_summary(report).withColumn("reason", F.lit(None).cast("string"))
+    return drift.drift_summary(report).withColumns({
+        "reason": F.lit(None).cast("string"), "bad_lines": F.lit(bad_lines).cast("bigint")})
 
 
 def index_corpus(

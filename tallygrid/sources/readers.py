@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,13 +37,81 @@ def union_parts(parts: Sequence[DataFrame]) -> DataFrame:
     return whole
 
 
+@dataclass(frozen=True)
+class Capture:
+    """Captured rows, the lines that are none, and how many there were of each.
+
+    The counts are taken in the pass that first reads ``rows``.
+    """
+
+    rows: DataFrame
+    bad: DataFrame
+    seen: Observation
+    lines: DataFrame
+
+    def counts(self) -> dict[str, int]:
+        """``lines`` in the window, ``bad_lines`` among them and ``good_lines``.
+
+        Call it after ``rows`` have been read.  A query that turned out to be empty on its way
+        may have dropped the counting step with the rest; then the lines are counted here.
+        """
+        try:
+            found = self.seen.get
+        except Py4JJavaError:
+            found = self.lines.agg(*_line_counts()).first().asDict()
+        return {k: int(v or 0) for k, v in found.items()}
+
+
+def _line_counts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("lines"), F.count_if("_is_bad").alias("bad_lines"),
+            F.count_if(~F.col("_is_bad")).alias("good_lines")]
+
+
+def read_capture_window(
+    spark: SparkSession, path: str, schema: T.StructType, since: str | None = None,
+    until: str | None = None, ts: str = "ts", day: str = "date",
+) -> Capture:
+    """Captured JSON lines with ``since <= ts < until``; lines that do not parse are kept aside.
+
+    Folders named ``date=2024-01-31`` below ``path`` are discovered, and those outside of the
+    window are neither listed further nor read; a row lies in the folder of its day.  Without
+    such folders all files are read.  A line that is no JSON object of ``schema`` is bad; it
+    keeps its file and, where there are day folders, its day.  Blank lines are no lines.
+    """
+    lines = spark.read.text(path)
+    dated = day in lines.columns
+    ends = [(F.lit(v).cast("timestamp"), sign) for v, sign in ((since, 1), (until, -1)) if v]
+    if dated:
+        for moment, sign in ends:
+            edge = F.to_date(moment if sign > 0 else moment - F.expr("INTERVAL 1 MICROSECOND"))
+            lines = lines.filter(F.col(day) >= edge if sign > 0 else F.col(day) <= edge)
+    marked = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    place = F.col(day).cast("date") if dated else F.lit(None).cast("date")
+    parsed = lines.filter(F.trim("value") != "").select(
+        F.from_json("value", marked, options).alias("_row"), F.col("value").alias("line"),
+        place.alias("_day"), F.col("_metadata.file_path").alias("file"),
+    )
+    bad = F.col("_row").isNull() | F.col("_row._bad").isNotNull()
+    inside = F.lit(True)
+    for moment, sign in ends:
+        at = F.col(f"_row.`{ts}`").cast("timestamp")
+        inside = inside & (at >= moment if sign > 0 else at < moment)
+    judged = parsed.select("*", bad.alias("_is_bad")).filter(F.col("_is_bad") | inside)
+    seen = Observation()
+    counted = judged.observe(seen, *_line_counts())
+    rows = counted.filter(~F.col("_is_bad")).select(
+        *[F.col(f"_row.`{f.name}`").alias(f.name) for f in schema.fields])
+    bad_lines = judged.filter("_is_bad").select(F.col("_day").alias(day), "file", "line")
+    return Capture(rows, bad_lines, seen, judged)
+
+
 def capture_json(
     spark: SparkSession, path: str, schema: T.StructType, since: str | None = None,
     ts: str = "ts",
 ) -> DataFrame:
-    """Captured JSON lines with malformed lines dropped, from ``since`` on if given."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return rows if since is None else rows.filter(F.col(ts) >= F.lit(since).cast("timestamp"))
+    """The rows of ``read_capture_window``."""
+    return read_capture_window(spark, path, schema, since, ts=ts).rows
 
 
 def days_before(now: Column, days: int) -> Column:

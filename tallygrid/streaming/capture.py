@@ -58,10 +58,11 @@ def daily_feature_stats(
 
 
 def _each_batch(
-    stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str
+    stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str,
+    mode: str = "append",
 ) -> StreamingQuery:
     return (
-        stream.writeStream.foreachBatch(work)
+        stream.writeStream.outputMode(mode).foreachBatch(work)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -71,29 +72,39 @@ def _each_batch(
 def stream_drift(
     stream: DataFrame, features: Sequence[str], moments_path: str, histogram_path: str,
     report_path: str, checkpoint: str, threshold: float = drift.KL_THRESHOLD,
+    window: str | None = None, ts: str = "ts", delay: str = "1 day",
 ) -> StreamingQuery:
-    """A drift report per micro-batch against the stored baseline.
-
-    Reports are partitioned by batch, so a replayed batch replaces its own report.
+    """Drift of all that has arrived against the stored baseline, however it is cut into batches.
+
+    Counts per feature and baseline bin are the state of the query, so a feature is checked as
+    soon as all batches together have enough values.  Without ``window`` the report at
+    ``report_path`` is replaced after every batch.  With one, such as "1 day", every window of
+    ``ts`` gets one report, as soon as the watermark ``delay`` has passed its end; the state
+    holds open windows only, and later rows are dropped.  Reports of closed windows are
+    partitioned by batch, so a replayed batch replaces its own.
     """
-
-    def check(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        report = drift.drift_report(
-            drift.to_long(batch, features),
-            spark.read.parquet(moments_path),
-            spark.read.parquet(histogram_path),
-            threshold,
-        )
+    spark = stream.sparkSession
+    moments, histogram = (spark.read.parquet(p) for p in (moments_path, histogram_path))
+    if window is None:
+        state = drift.binned_counts(drift.to_long(stream, features), histogram)
+    else:
+        timed = drift.to_long(stream.withWatermark(ts, delay), features, [ts])
+        state = drift.binned_counts(timed, histogram, [F.window(ts, window).alias("window")])
+
+    def report(counts: DataFrame, batch_id: int) -> None:
+        by = [] if window is None else ["window"]
+        found = drift.report_of(counts, moments, histogram, threshold, by=by)
+        if window is None:
+            found.write.mode("overwrite").parquet(report_path)
+            return
         (
-            report.withColumn("batch", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(report_path)
+            found.withColumn("window_start", F.col("window.start")).drop("window")
+            .withColumn("batch", F.lit(batch_id))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch").parquet(report_path)
         )
 
-    return _each_batch(stream, check, checkpoint)
+    return _each_batch(state, report, checkpoint, "complete" if window is None else "append")
 
 
 def stream_scores(

@@ -271,28 +271,79 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert [r["rows"] for r in rows] == [24, 1]
 
 
-def test_stream_drift_reports_per_batch(spark, inbox, tmp_path):
+@pytest.mark.parametrize("files", [1, 12])
+def test_stream_drift_does_not_depend_on_batches(spark, inbox, tmp_path, files):
+    """Twelve files of six rows: alone none has the ten rows that a check needs."""
     store = str(tmp_path / "store")
     jobs.write_baseline(readers.capture_json(spark, str(inbox), CAPTURE), ["a", "b"], store)
     shifted = tmp_path / "new"
     shifted.mkdir()
-    write_lines(shifted / "1.json", capture_rows(5, 80, seed=5))
-    write_lines(shifted / "2.json", capture_rows(6, 80, shift=4.0, seed=6))
-    stream = capture.read_capture(spark, str(shifted), CAPTURE, 1)
-    out = str(tmp_path / "reports")
+    for i in range(12):
+        write_lines(shifted / f"{i}.json", capture_rows(5, 6, shift=i / 4, seed=i))
+    stream = capture.read_capture(spark, str(shifted), CAPTURE, 12 // files)
+    out = str(tmp_path / "report")
     capture.stream_drift(
-        stream, ["a", "b"], f"{store}/moments", f"{store}/histogram", out, str(tmp_path / "c")
+        stream, ["a", "b", "absent"], f"{store}/moments", f"{store}/histogram", out,
+        str(tmp_path / "c"),
     ).awaitTermination()
-    reports = spark.read.parquet(out)
-    assert reports.select("batch").distinct().count() == 2
-    one = drift.to_long(
-        readers.capture_json(spark, str(shifted / "2.json"), CAPTURE), ["a", "b"]
-    )
+    rows = drift.to_long(readers.capture_json(spark, str(shifted), CAPTURE), ["a", "b"])
     twin = drift.drift_report(
-        one, spark.read.parquet(f"{store}/moments"), spark.read.parquet(f"{store}/histogram")
-    )
-    expected = {(r["feature"], r["kl_divergence"]) for r in twin.collect()}
-    assert expected <= {(r["feature"], r["kl_divergence"]) for r in reports.collect()}
+        rows, spark.read.parquet(f"{store}/moments"), spark.read.parquet(f"{store}/histogram"))
+
+    def shown(report):
+        return sorted((r["feature"], r["kl_divergence"], r["is_drifted"], r["mean_shift"],
+                       round(r["recent_mean"], 9)) for r in report.collect())
+
+    assert shown(spark.read.parquet(out)) == shown(twin) and len(shown(twin)) == 2
+
+
+def test_stream_drift_by_window(spark, inbox, tmp_path):
+    """A report per closed day; the day that may still grow has none yet."""
+    store = str(tmp_path / "store")
+    jobs.write_baseline(readers.capture_json(spark, str(inbox), CAPTURE), ["a", "b"], store)
+    new = tmp_path / "new"
+    new.mkdir()
+    for i, day in enumerate((3, 4, 3, 9)):
+        write_lines(new / f"{i}.json", capture_rows(day, 8, seed=i))
+    out = str(tmp_path / "report")
+    capture.stream_drift(
+        capture.read_capture(spark, str(new), CAPTURE, 1), ["a"], f"{store}/moments",
+        f"{store}/histogram", out, str(tmp_path / "c"), window="1 day", delay="2 days",
+    ).awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    # eight rows of the fourth are too few, the third has sixteen
+    assert [r["window_start"].day for r in rows] == [3]
+    day = readers.capture_json(spark, str(new), CAPTURE).filter(F.dayofmonth("ts") == 3)
+    twin = drift.drift_report(
+        drift.to_long(day, ["a"]), spark.read.parquet(f"{store}/moments"),
+        spark.read.parquet(f"{store}/histogram")).first()
+    assert rows[0]["kl_divergence"] == twin["kl_divergence"]
+
+
+def test_capture_window_prunes_days_and_keeps_bad_lines(spark, tmp_path):
+    folder = tmp_path / "capture"
+    for day in (1, 2, 3):
+        part = folder / f"date=2024-01-0{day}"
+        part.mkdir(parents=True)
+        write_lines(part / "x.json", capture_rows(day, 5, seed=day))
+    with open(folder / "date=2024-01-02" / "y.json", "w") as f:
+        f.write('{"ts": "2024-01-02T0\n\n   \n[1]\nnull\n{"a": "x"}\n')
+    with open(folder / "date=2024-01-01" / "z.json", "w") as f:
+        f.write("not asked for\n")
+    window = readers.read_capture_window(
+        spark, str(folder), CAPTURE, "2024-01-02T00:00:00", "2024-01-03T00:00:00")
+    plan = window.rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
+    assert window.rows.columns == CAPTURE.names
+    assert {r["ts"].day for r in window.rows.collect()} == {2}
+    counts = window.counts()
+    assert counts["good_lines"] == 5 and counts["lines"] == 5 + counts["bad_lines"]
+    bad = window.bad.collect()
+    assert len(bad) == counts["bad_lines"] and {str(r["date"]) for r in bad} == {"2024-01-02"}
+    assert '{"a": "x"}' in {r["line"] for r in bad if r["file"].endswith("y.json")}
+    flat = readers.read_capture_window(spark, str(folder / "date=2024-01-03"), CAPTURE)
+    assert flat.rows.count() == 5 and flat.counts()["bad_lines"] == 0
+    assert flat.bad.count() == 0
 
 
 def test_stream_scores(spark, trained, table, tmp_path):

@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallygrid import vocabulary as words
 from tallygrid.operators import questions
-from tallygrid.plans.governed import REPORT_ALIASES
+from tallygrid.plans.governed import REPORT_ALIASES, Gold
 
 from .conftest import dicts
 
@@ -184,3 +185,31 @@ def test_tagging_is_map_only(spark):
     plan = tagged._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert dicts(tagged)
+
+
+def test_all_zero_of_several_lists_in_one_scan(spark):
+    df = spark.createDataFrame([("0", 0.0, 1), ("", 0.0, 0)], "a string, b double, c int")
+    checks = questions.all_zero_checks(df, {"ab": ["a", "b"], "c": ["c"], "none": ["d"]})
+    assert [(r["columns"], r["nonzero_rows"], r["all_zero"]) for r in checks.collect()] == [
+        ("ab", 0, True), ("c", 1, False), ("none", 0, False)]
+
+
+def test_notes_from_executed_reports(spark, county_mart, county_events, county_dim):
+    gold = Gold(county_mart, county_events, county_dim)
+    done, note = gold.noted("Top 3 counties with the most floods 2019-2022")
+    assert done.report == "top_entities_by_category" and done.row_count == len(done.rows) == 3
+    assert not done.all_zero and note == ""
+    assert gold.noted("Which counties are most at risk of wildfire?")[1] in (
+        "not_filtered", "fire_record", "")
+    calm = Gold(
+        county_mart, county_events.withColumns({
+            c: F.lit(0) for c in ("event_count", "fatalities", "injuries")}), county_dim)
+    facts = {r["template"]: r for r in calm.facts({
+        "category_trend": {"category": "Flood", "start_year": 2019, "end_year": 2022},
+        "group_totals": {"start_year": 2019, "end_year": 2022},
+        "top_entities_in_group": {"start_year": 2019, "end_year": 2022, "group": "nowhere"},
+    }).collect()}
+    assert facts["group_totals"]["row_count"] > 0 and not facts["group_totals"]["all_zero"]
+    assert facts["top_entities_in_group"]["row_count"] == 0
+    assert not facts["top_entities_in_group"]["all_zero"]
+    assert facts["category_trend"]["row_count"] == 4

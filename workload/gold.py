@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions.numeric import cents, rounded
 from tallygrid.operators import ranking, resolve, trends
-from tallygrid.operators.questions import all_zero_check
+from tallygrid.operators.questions import all_zero_checks
 from tallygrid.plans.governed import Gold
 from tallygrid.schemas import Names
 from tallygrid.sources.readers import union_parts
@@ -372,13 +372,10 @@ def _semi(spark, sf_dir):
 
 def _all_zero(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("zero_count", F.lit("0"))
-    per_category = all_zero_check(rows, ["zero_count", "absent"]).withColumn(
-        "columns", F.lit("zero_count")
-    )
-    mixed = all_zero_check(rows, ["zero_count", "severe_count"]).withColumn(
-        "columns", F.lit("zero_count,severe_count")
-    )
-    return per_category.unionByName(mixed)
+    return all_zero_checks(rows, {
+        "zero_count": ["zero_count", "absent"],
+        "zero_count,severe_count": ["zero_count", "severe_count"],
+    })
 
 
 def _union_parts(spark, sf_dir):

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrid.functions.numeric import rounded
+from tallygrid.functions.numeric import cents, rounded
 from tallygrid.functions.sizing import bounded_side
 from tallygrid.operators import drift
-from tallygrid.sources.readers import coerce_numeric, parse_capture
+from tallygrid.sources.readers import coerce_numeric, parse_capture, read_capture_window
+from tallygrid.sources.shared import shared_path
 from tallygrid.streaming.capture import daily_feature_stats
 from workload.gold import table
 
@@ -121,6 +122,41 @@ def _capture(spark, sf_dir):
     return rows.select("event_id", F.col("payload.k").alias("k"))
 
 
+_LINE = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
+    T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()),
+])
+
+
+def captured(spark, sf_dir):
+    """Events as a capture job leaves them: JSON files by day, every 97th line broken off."""
+    path = shared_path(spark, "capture")
+    rows = table(spark, sf_dir, "events")
+    line = F.to_json(F.struct(
+        "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "event_type", "value"))
+    broken = F.substring(line, F.lit(1), F.length(line) - 5)
+    (
+        rows.select(
+            F.when(F.col("event_id") % 97 == 0, broken).otherwise(line).alias("line"),
+            F.to_date("ts").alias("date"))
+        .write.partitionBy("date").text(path)
+    )
+    return read_capture_window(spark, path, _LINE, CUT)
+
+
+def _window(spark, sf_dir):
+    """Lines of the second half of the month by day: rows, their sum, and bad lines."""
+    window = captured(spark, sf_dir)
+    good = window.rows.select(
+        F.to_date("ts").alias("date"), F.lit(1).alias("good"),
+        cents(F.col("value")).alias("cents"), F.lit(0).alias("bad"))
+    bad = window.bad.select(
+        "date", F.lit(0).alias("good"), F.lit(0).cast("bigint").alias("cents"),
+        F.lit(1).alias("bad"))
+    return good.unionByName(bad).groupBy(F.date_format("date", "yyyy-MM-dd").alias("day")).agg(
+        F.sum("good").alias("rows"), F.sum("cents").alias("cents"), F.sum("bad").alias("bad_lines"))
+
+
 def _coerce(spark, sf_dir):
     """Two string columns: one holds numbers and blanks, the other holds words."""
     events = table(spark, sf_dir, "events")
@@ -144,6 +180,7 @@ QUERIES = {
     "outliers_iqr": _outliers,
     "daily_feature_stats": _daily,
     "capture_json": _capture,
+    "capture_window": _window,
     "coerce_numeric": _coerce,
 }
 
@@ -228,6 +265,12 @@ FROM events JOIN f ON event_type = feature GROUP BY feature, lo, hi""",
 FROM events GROUP BY strftime(ts, '%Y-%m-%d'), event_type""",
     "capture_json": """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k
 FROM events WHERE json_valid(props)""",
+    "capture_window": f"""SELECT strftime(ts, '%Y-%m-%d') AS day,
+  CAST(SUM(CASE WHEN event_id % 97 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS rows,
+  CAST(SUM(CASE WHEN event_id % 97 <> 0 THEN CAST(floor(value * 100.0 + 0.5) AS BIGINT)
+    ELSE 0 END) AS BIGINT) AS cents,
+  CAST(SUM(CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS bad_lines
+FROM events WHERE ts >= TIMESTAMP '{CUT}' GROUP BY 1""",
     "coerce_numeric": """SELECT event_id, event_type,
   CASE WHEN event_id % 9 = 0 THEN NULL
     ELSE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k FROM events""",

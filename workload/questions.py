@@ -13,6 +13,7 @@ from tallygrid import vocabulary as words
 from tallygrid.functions.sizing import spread
 from tallygrid.functions.text import longest_first
 from tallygrid.operators import questions
+from workload import gold
 from workload.gold import table
 
 WORDINGS = (
@@ -149,7 +150,26 @@ def _notes(spark, sf_dir):
     return questions.quality_notes(tagged).select("question_id", "template", "note")
 
 
+# What a report is asked with where the log names no more than the report.
+REQUESTS = {
+    "top_entities_by_score": {"start_year": gold.FIRST, "end_year": gold.LAST},
+    "top_entities_in_group": {"start_year": 1996, "end_year": 2000, "group": "nowhere"},
+    "group_totals": {"start_year": gold.FIRST, "end_year": gold.LAST, "limit": 25},
+    "yearly_trend": {"start_year": gold.FIRST, "end_year": gold.LAST},
+    "category_trend": {"start_year": gold.FIRST, "end_year": gold.LAST, "category": "STANDARD"},
+}
+
+
+def _report_notes(spark, sf_dir):
+    """Notes of the log from reports that were run: their sizes and zero flags are observed."""
+    facts = gold.gold(spark, sf_dir).facts(REQUESTS)
+    tagged = questions.tag_template(question_log(spark, sf_dir)).join(
+        F.broadcast(facts), "template", "left")
+    return questions.quality_notes(tagged).select("question_id", "template", "row_count", "note")
+
+
 QUERIES = {
+    "report_notes": _report_notes,
     "extract_years": _years,
     "extract_limit": _limit,
     "extract_category": _category,
@@ -307,7 +327,30 @@ def _in(names) -> str:
 
 _INCREASE = "template IN ('largest_increase', 'category_increase')"
 
+_REPORTED = {
+    "top_entities_by_score": (gold.ORACLES["top_entities_by_score"], "0"),
+    "group_totals": (gold.ORACLES["group_totals"], "0"),
+    "yearly_trend": (gold.ORACLES["yearly_trend"], "total_events"),
+    "category_trend": (gold.ORACLES["category_trend"], "total_events"),
+}
+_FACTS = " UNION ALL ".join(
+    f"SELECT '{name}' AS template, CAST(COUNT(*) AS INTEGER) AS row_count, "
+    f"{'FALSE' if metric == '0' else f'BOOL_AND({metric} = 0)'} AS all_zero FROM ({sql}) t"
+    for name, (sql, metric) in _REPORTED.items()
+) + " UNION ALL SELECT 'top_entities_in_group', 0, FALSE"
+
 ORACLES = {
+    "report_notes": f"""WITH {_TAGGED}, facts AS ({_FACTS})
+SELECT question_id, q.template, row_count, CASE
+  WHEN len({_OUTSIDE}) > 0 THEN 'years'
+  WHEN row_count = 0 THEN ''
+  WHEN category <> 'all' AND NOT q.{_in(words.CATEGORY_REPORTS)} THEN 'not_filtered'
+  WHEN category = 'Tropical Storm' AND q.{_in(words.STORM_REPORTS)} THEN 'storm_record'
+  WHEN category = 'Wildfire' AND q.{_in(words.FIRE_REPORTS)} THEN 'fire_record'
+  WHEN category <> 'all' AND q.template = 'top_entities_by_category'
+    AND {_contains(words.RISK_WORDS)} THEN 'frequency'
+  WHEN all_zero THEN 'all_zero' ELSE '' END AS note
+FROM tagged q LEFT JOIN facts ON q.template = facts.template""",
     "extract_years": f"WITH {LOG}, {_YEARS_SQL} "
     "SELECT question_id, start_year, end_year FROM ranged",
     "extract_limit": f"WITH {LOG} SELECT question_id, {_LIMIT_SQL} AS row_limit FROM q",

@@ -14,7 +14,8 @@ from .sizing import bounded_side
 ACCURACY = 10_000
 # A bracket that may hold more rows than this is narrowed by a second sketch inside it.
 BRACKET_ROWS = 1_000_000
-# Rows that a global rank samples for its range bounds, about.
+# Rows that a global rank samples for its range bounds.
+PER_RANGE = 64
 BOUND_ROWS = 20_000
 
 Position = Callable[[Column, float], Column]
@@ -173,30 +174,57 @@ def exact_quantiles(
     return stats.groupBy(*groups).agg(*columns)
 
 
+def _literal(value, kind: str) -> str:
+    """A value as SQL text that no content can break out of."""
+    if value is None:
+        return f"CAST(NULL AS {kind})"
+    text = repr(value) if isinstance(value, float) else str(value)
+    raw = bytes(value) if isinstance(value, (bytes, bytearray)) else text.encode("utf-8")
+    return f"CAST(CAST(X'{raw.hex()}' AS STRING) AS {kind})"
+
+
 def _ranges(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """``df`` with ``_part``, the number of its range of the ascending order ``by``.
 
-    Bounds are literals from a sample of about ``BOUND_ROWS`` rows.  They are part of the
-    plan, so a lost executor cannot change them, and decide only where rows are worked on.
+    Bounds are literals from ``PER_RANGE`` rows a range, ``BOUND_ROWS`` at most, those with the
+    smallest hashes, found in one pass.  They are part of the plan, so a lost executor cannot change them, and decide only
+    where rows are worked on.  A row finds its range by halving: as many steps as the logarithm
+    of their number.
     """
     order = F.struct(*by)
-    every = max(1, df.count() // BOUND_ROWS)
-    rows = df.select(*by).filter(F.pmod(F.xxhash64(*by), F.lit(every)) == 0)
-    sample = rows.distinct().orderBy(*by).limit(4 * BOUND_ROWS).collect()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chosen = df.select(*by).orderBy(F.xxhash64(*by)).limit(min(BOUND_ROWS, PER_RANGE * parts))
+    sample = chosen.distinct().orderBy(*by).collect()
     step = max(1, len(sample) // parts)
-    types = {f.name: f.dataType for f in df.schema}
-    bounds = [
-        F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in by]) for r in sample[step::step]
-    ]
-    part = F.size(F.filter(F.array(*bounds), lambda b: b < order)) if bounds else F.lit(0)
-    return df.withColumn("_part", part)
-
-
-def running_total(df: DataFrame, by: Sequence[str], weight: str, name: str) -> DataFrame:
+    rows = sample[step::step]
+    if not rows:
+        return df.withColumn("_part", F.lit(0))
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    texts = ", ".join(
+        "struct(" + ", ".join(f"{_literal(r[c], types[c])} AS `{c}`" for c in by) + ")"
+        for r in rows)
+    bounds = F.expr(f"array({texts})")
+
+    def halve(state: Column, _: Column) -> Column:
+        low, high = state["low"], state["high"]
+        middle = F.floor((low + high) / 2).cast("int")
+        above = (low < high) & (F.get(bounds, middle) < order)
+        return F.struct(
+            F.when(above, middle + 1).otherwise(low).alias("low"),
+            F.when(above, high).otherwise(F.least(middle, high)).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(rows).bit_length()))
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(rows)).alias("high"))
+    return df.withColumn("_part", F.aggregate(steps, start, halve, lambda s: s["low"]))
+
+
+def running_total(
+    df: DataFrame, by: Sequence[str], weight: str, name: str, total: str | None = None
+) -> DataFrame:
     """``df`` with the sum of ``weight`` over all rows before each in the total order ``by``.
 
-    Rows are cut into ranges, summed per range, and added up inside their range.
+    ``total`` names a column for the sum over all rows.  Rows are cut into ranges, summed per
+    range, and added up inside their range.
     """
     placed = _ranges(df, by)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -204,16 +232,17 @@ def running_total(df: DataFrame, by: Sequence[str], weight: str, name: str) -> D
     offsets = (
         placed.groupBy("_part")
         .agg(F.sum(weight).alias("_sum"))
-        .select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+        .select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"),
+                F.sum("_sum").over(Window.partitionBy(F.lit(0))).alias("_total"))
     )
     before = (
         Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     )
-    return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.coalesce(F.sum(weight).over(before), F.lit(0)) + F.col("_offset"))
-        .drop("_part", "_offset")
-    )
+    added = placed.join(F.broadcast(offsets), "_part").withColumn(
+        name, F.coalesce(F.sum(weight).over(before), F.lit(0)) + F.col("_offset"))
+    if total:
+        added = added.withColumn(total, F.col("_total"))
+    return added.drop("_part", "_offset", "_total")
 
 
 def global_rank(df: DataFrame, by: Sequence[str], name: str = "rank") -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.selection import exact_quantiles, global_rank, null_safe, order_statistics
+from ..functions.selection import exact_quantiles, null_safe, order_statistics, running_total
 from ..functions.sizing import bounded_side
 from .features import LABELS
 
@@ -50,17 +50,18 @@ def tertile_by_rank(
     df: DataFrame, column: str, key: str, labels: Sequence[str] = LABELS,
     name: str = "risk_bucket",
 ) -> DataFrame:
-    """Label rows by equal-width bins of their rank; ties are ranked by ``key``."""
-    valued = df.filter(F.col(column).isNotNull())
-    ranked = global_rank(valued.select(key, column), [column, key])
-    n = ranked.count()
-    rank, width = F.col("rank"), len(labels)
-    chain = F.when(F.lit(False), F.lit(None).cast("string"))
+    """Label rows by equal-width bins of their rank; ties are ranked by ``key``.
+
+    Rows without a value come first in the order, weigh nothing and get no label.
+    """
+    weighed = df.withColumn("_valued", F.col(column).isNotNull().cast("bigint"))
+    ranked = running_total(weighed, [column, key], "_valued", "_before", "_n")
+    before, n, width = F.col("_before"), F.col("_n"), len(labels)
+    chain = F.when(F.col("_valued") == 0, F.lit(None).cast("string"))
     for i, label in enumerate(labels[:-1], start=1):
         # rank <= 1 + i * (n - 1) / width, in whole numbers
-        chain = chain.when((rank - 1) * width <= i * (n - 1), label)
-    tiers = ranked.select(key, chain.otherwise(labels[-1]).alias(name))
-    return df.join(tiers, key, "left")
+        chain = chain.when(before * width <= i * (n - 1), label)
+    return ranked.withColumn(name, chain.otherwise(labels[-1])).drop("_valued", "_before", "_n")
 
 
 Hasher = Callable[[Column, str], Column]

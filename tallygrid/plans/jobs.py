@@ -13,6 +13,7 @@ from .. import vocabulary as words
 from ..operators import bucketing, documents, drift, features, modeling
 from ..schemas import COUNTY, COUNTY_FEATURES, FeatureSpec, Names
 from ..sources import readers, sinks
+from ..sources.keyed import KeyedTable
 
 # Sums, means and maxima of the county mart, and the ratios of the feature table.
 COUNTY_SUMS = (
@@ -203,5 +204,6 @@ def index_corpus(
     docs = readers.read_corpus(spark, corpus)
     chunks = documents.tag_chunks(documents.chunk_documents(docs, "source", "text", size, overlap))
     new = enrich(chunks) if enrich else chunks
-    sinks.upsert_table(new, table, F.col("metadata.source"))
-    return spark.read.parquet(table).drop("bucket")
+    keyed = KeyedTable(spark, table, "id")
+    keyed.upsert(new)
+    return keyed.read()

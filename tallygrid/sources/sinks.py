@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.documents import upsert_chunks
-
 
 def write_dataset(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -41,34 +39,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def upsert_table(
-    new: DataFrame, path: str, by: Column, key: str = "id", buckets: int = 256
-) -> None:
-    """Write rows over a Parquet table by key, rewriting only the buckets they fall into.
-
-    The table is partitioned by a hash of ``by``, which must be the same for equal keys.
-    New rows are written aside first, so that they are computed once.  Rewritten buckets
-    replace the old ones when the job commits; a failed job leaves them as they were.
-    """
-    spark = new.sparkSession
-    bucket = F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int")
-    staged = f"{path}_incoming"
-    new.withColumn("bucket", bucket).write.mode("overwrite").parquet(staged)
-    merged = incoming = spark.read.parquet(staged)
-    if exists(spark, path):
-        touched = [r[0] for r in incoming.select("bucket").distinct().limit(buckets).collect()]
-        old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-        merged = upsert_chunks(old, incoming, key)
-    (
-        # Rebalancing gathers a bucket's rows into few files and splits a hot bucket.
-        merged.hint("rebalance", "bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Has a dataset been written to this path?"""
     jvm = spark.sparkContext._jvm

@@ -342,8 +342,8 @@ def test_capture_window_prunes_days_and_keeps_bad_lines(spark, tmp_path):
     assert len(bad) == counts["bad_lines"] and {str(r["date"]) for r in bad} == {"2024-01-02"}
     assert '{"a": "x"}' in {r["line"] for r in bad if r["file"].endswith("y.json")}
     flat = readers.read_capture_window(spark, str(folder / "date=2024-01-03"), CAPTURE)
-    assert flat.rows.count() == 5 and flat.counts()["bad_lines"] == 0
-    assert flat.bad.count() == 0
+    assert flat.rows.count() == 5 and flat.counts()["bad_lines"] == 1
+    assert [r["line"] for r in flat.bad.collect()] == ["{not json"]
 
 
 def test_stream_scores(spark, trained, table, tmp_path):

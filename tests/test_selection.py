@@ -174,3 +174,23 @@ def test_bounded_side_keeps_all_rows_beyond_its_bound(spark):
     assert sizing.bounded_side(df, 10).count() == 50
     assert sizing.bounded_side(df, 50).count() == 50
     assert sizing.plan_bytes(df) > 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 64])
+def test_ranges_of_any_number_and_type(spark, parts, monkeypatch):
+    monkeypatch.setattr(selection, "BOUND_ROWS", 200)
+    rows = [(None if i % 7 == 0 else f"w'{i % 13}\\", i * 0.1, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "s string, d double, k int").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r["k"]: (r["b"], r["t"]) for r in selection.running_total(
+            df, ["s", "d", "k"], "k", "b", "t").collect()}
+        placed = selection._ranges(df, ["s", "d", "k"])
+        assert placed.select("_part").distinct().count() in range(max(1, parts // 2), 2 * parts + 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    total, want = sum(r[2] for r in rows), 0
+    for s, d, k in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
+        assert got[k] == (want, total)
+        want += k

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tallygrid import vocabulary as words
 from tallygrid.functions.sizing import spread
 from tallygrid.operators import documents, retrieval
+from tallygrid.sources.keyed import KeyedTable
+from tallygrid.sources.shared import shared_path
 from workload.gold import ENTITY, MART, entity, mart, table
 
 WIDTH, STRIDE = 2048, 1792
@@ -60,7 +62,7 @@ def _counts(spark, sf_dir):
     return documents.chunk_counts(documents.chunk_documents(docs(spark, sf_dir)))
 
 
-def _upsert(spark, sf_dir):
+def _versions(spark, sf_dir):
     """Every third document gets a new text; new keys come from the benchmark items."""
     old = documents.chunk_documents(docs(spark, sf_dir)).select("id", "text")
     changed = docs(spark, sf_dir).filter(F.col("doc_id") % 3 == 0).withColumn(
@@ -69,11 +71,25 @@ def _upsert(spark, sf_dir):
     added = table(spark, sf_dir, "benchmark").select(
         (F.col("item_id") + 1_000_000_000).alias("doc_id"), "text"
     )
-    new = documents.chunk_documents(changed.unionByName(added)).select("id", "text")
-    merged = documents.upsert_chunks(old, new)
+    return old, documents.chunk_documents(changed.unionByName(added)).select("id", "text")
+
+
+def _upsert(spark, sf_dir):
+    merged = documents.upsert_chunks(*_versions(spark, sf_dir))
     return merged.select("id", F.md5("text").alias("digest"))
 
 
+def _keyed(spark, sf_dir):
+    """The same writes as two versions of a keyed table in the shared folder."""
+    path = shared_path(spark, "keyed")
+    old, new = _versions(spark, sf_dir)
+    KeyedTable(spark, path, "id").upsert(old)
+    # the stored number of buckets counts, not this one
+    table_ = KeyedTable(spark, path, "id", buckets=7)
+    table_.upsert(new)
+    return table_.read().select("id", F.md5("text").alias("digest"))
+
+
 def centroids(spark, sf_dir):
     """One query vector per label, the mean of its vectors, summed position by position."""
     cells = table(spark, sf_dir, "embeddings").select(
@@ -144,6 +160,7 @@ QUERIES = {
     "tag_chunks": _tag,
     "chunk_counts": _counts,
     "upsert_chunks": _upsert,
+    "keyed_upsert": _keyed,
     "cosine_topk": _topk,
     "retrieval_confidence": _confidence,
     "build_context": _context,
@@ -241,3 +258,4 @@ SELECT group_name, rows, 'entity_id | year | event_count' || chr(10) || repeat('
     ELSE '' END AS table_text
 FROM numbered WHERE n <= 25 GROUP BY group_name, rows""",
 }
+ORACLES["keyed_upsert"] = ORACLES["upsert_chunks"]

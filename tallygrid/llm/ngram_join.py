@@ -9,9 +9,9 @@ exactly, once.
 
 Equal sets form one class first; only one document of a class is joined.  The answer are the
 components of the links, so pairs that are connected already need no link of their own:
-short posting lists give all their pairs, long ones first only the pairs with their smallest
-member; what is not connected after that is paired in full in a second round.  No pair of
-different components is left out.
+short posting lists give all their pairs, long ones first only the pairs with their most
+central member, the one with the fewest n-grams of its own; members of different components
+are then paired in a second round, once per pair.  No pair of different components is left out.
 
 The frequencies behind "rare first" are counted over all documents: blocks of n-grams report
 those that occur often within the block, the reports are added up, and the most frequent are
@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import sequence_hashes, stored, word_hashes
 from .components import components
@@ -130,14 +131,22 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, frequent, number) ->
 
 
 def _possible(num: int, den: int) -> Column:
-    """Length and positional filter on two prefix rows ``x`` (the smaller set) and ``y``."""
+    """Length and positional filter on two list rows ``x`` (the smaller set) and ``y``.
+
+    What both share before this n-gram lies in both prefixes, so in lists: at most ``sh`` each.
+    """
     nx, ny = F.col("x.n"), F.col("y.n")
-    before = F.least(F.col("x.pos"), F.col("y.pos"))
+    before = F.least(F.col("x.sh"), F.col("y.sh"))
     after = F.least(nx - F.col("x.pos"), ny - F.col("y.pos"))
     # shared >= num/den * union  <=>  shared * (num + den) >= num * (nx + ny)
     return (den * nx >= num * ny) & ((before + after) * (num + den) >= num * (nx + ny))
 
 
+def _placed_well(num: int, den: int, px: Column, py: Column, nx: Column, ny: Column) -> Column:
+    """Is enough left after the first shared n-gram?  Nothing is shared before it."""
+    return F.least(nx - px, ny - py) * (num + den) >= num * (nx + ny)
+
+
 def _suffix_filter(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose counts per range leave room for enough shared n-grams."""
     side = lambda c: reps.select(
@@ -225,46 +234,56 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     reps = stored(reps)
     listed = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = listed.groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1")
-    lists = stored(listed.join(shared, "gram"))
-
-    def paired(x: DataFrame, y: DataFrame, *more: Column) -> DataFrame:
-        found = x.alias("x").join(y.alias("y"), "gram").filter(
+    # A prefix is as long as a set may differ, so this window sorts one short list a document.
+    earlier = Window.partitionBy("rep").orderBy("pos")
+    lists = stored(listed.join(shared, "gram").withColumn(
+        "sh", (F.row_number().over(earlier) - 1).cast("int")))
+
+    def joined(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Pairs of one list that pass the length and positional filter, smaller set first."""
+        return x.alias("x").join(y.alias("y"), "gram").filter(
             F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep")).filter(_possible(num, den))
-        for condition in more:
-            found = found.filter(condition)
-        return found.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(
+
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(
             F.min("x.pos").alias("px"), F.min("y.pos").alias("py"),
             F.first("x.n").alias("nx"), F.first("y.n").alias("ny"))
 
-    def placed_well(pairs: DataFrame) -> DataFrame:
-        # Nothing is shared before the first shared n-gram.  It is a short list's, then the
-        # first round sees it, or a long list's, then the second round does; a pair that the
-        # first round drops for want of it is judged again by the second.
-        after = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-        return pairs.filter(after * (num + den) >= num * (F.col("nx") + F.col("ny"))).select("a", "b")
-
+    # First round: short lists in full, long ones against their most central member, the one
+    # with the fewest n-grams of its own, and of those the largest.
     short, long_ = lists.filter(F.col("members") <= SHORT_LIST), lists.filter(
         F.col("members") > SHORT_LIST)
-    heads = long_.groupBy("gram").agg(F.min(F.struct("n", "rep", "pos")).alias("h")).select(
-        "gram", "h.*")
-    first = placed_well(
-        paired(short, short).unionByName(paired(heads, long_)).groupBy("a", "b").agg(
-            F.min("px").alias("px"), F.min("py").alias("py"),
-            F.first("nx").alias("nx"), F.first("ny").alias("ny")))
+    central = F.struct((F.col("pos") - F.col("sh")).alias("own"), (-F.col("n")).alias("size"),
+                       "rep", "n", "pos", "sh")
+    heads = long_.groupBy("gram").agg(F.min(central).alias("h")).select(
+        "gram", "h.rep", "h.n", "h.pos", "h.sh")
+    met = pairs_of(joined(short, short)).unionByName(pairs_of(joined(heads, long_))).unionByName(
+        pairs_of(joined(long_, heads)))
+    first = met.groupBy("a", "b").agg(
+        F.min("px").alias("px"), F.min("py").alias("py"),
+        F.first("nx").alias("nx"), F.first("ny").alias("ny"),
+    ).filter(_placed_well(num, den, *map(F.col, ("px", "py", "nx", "ny")))).select("a", "b")
     slim = reps.select("rep", "n", "ranges")
     first = stored(_suffix_filter(first, slim, num, den))
     links = stored(_verify(docs, first, n, num, den))
     found = components(links)
 
-    # Long lists again: only what the first round left unconnected is paired.
+    # Second round: long lists whose members are in several components still.  A pair is made
+    # in the first such list that both are in.  If they share an n-gram before it, that is of
+    # a short list, and the first round judged the pair, or of a list that lies in one component.
     placed = long_.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("gram").agg(
         F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    placed = stored(placed.join(mixed.select("gram"), "gram", "left_semi"))
-    second = placed_well(
-        paired(placed, placed, F.col("x.component") != F.col("y.component"))
-    ).join(first, ["a", "b"], "left_anti")
+    before = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    placed = stored(placed.join(mixed.select("gram"), "gram", "left_semi").withColumn(
+        "grams", F.collect_list("gram").over(before)))
+    second = joined(placed, placed).filter(
+        (F.col("x.component") != F.col("y.component"))
+        & _placed_well(num, den, *map(F.col, ("x.pos", "y.pos", "x.n", "y.n")))
+        & ~F.arrays_overlap("x.grams", "y.grams")
+    ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).join(
+        first, ["a", "b"], "left_anti")
     second = _verify(docs, _suffix_filter(second, slim, num, den), n, num, den)
     found = components(links.unionByName(second))
 

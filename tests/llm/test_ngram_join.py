@@ -91,3 +91,25 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     got = {r["node"]: r["component"] for r in rows}
     assert len(rows) == len(got) == 61 + 301
     assert all(c == (0 if n <= 60 else 1000) for n, c in got.items())
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies with few to many changes: some meet only the middle, some one another, some none."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for i in range(220):
+        copy = list(base)
+        for _ in range(rng.randint(0, 6)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 5000)}"
+        if i % 5 == 0:
+            copy = copy[: rng.randint(120, 150)]
+        texts.append(" ".join(copy))
+        if i % 7 == 0:  # a copy of a copy
+            copy[rng.randrange(len(copy))] = f"y{i}"
+            texts.append(" ".join(copy))
+    rows = ngram_join.jaccard_components(documents(spark, texts), 4, 85, 100).collect()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
+    want = brute(texts, 4, 85, 100)
+    assert [got[i] for i in range(len(texts))] == want
+    assert 3 < len({c for _, c in want}) < len(texts) - 50

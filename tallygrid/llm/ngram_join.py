@@ -5,7 +5,7 @@ share an n-gram within their prefixes, so only prefixes are joined.  A pair that
 still has to pass the length filter, the positional filter (what can still follow both
 positions) and the suffix filter (both sets are counted in fixed ranges of the n-gram space,
 and no more can be shared than the smaller count of each range).  What passes is compared
-exactly, once.
+by members cut to 16 bits, and what still passes exactly, once.
 
 Equal sets form one class first; only one document of a class is joined.  The answer are the
 components of the links, so pairs that are connected already need no link of their own:
@@ -171,8 +171,31 @@ def _suffix_filter(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> Dat
     return wide.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(work, schema)
 
 
+def _short(values: np.ndarray) -> np.ndarray:
+    """The last 16 bits of every member: a quarter of a set, equal for equal members."""
+    return np.sort((values & np.uint64(0xFFFF)).astype(np.uint16))
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many members two ascending lists share, repeated ones as often as in both."""
+    (ux, cx), (uy, cy) = (np.unique(v, return_counts=True) for v in (x, y))
+    _, ix, iy = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
+    return int(np.minimum(cx[ix], cy[iy]).sum())
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs that are similar enough, by comparing their whole sets."""
+    """The pairs that are similar enough, by comparing their whole sets.
+
+    Members cut to 16 bits are compared first.  They share no fewer than the members do, so what
+    falls short there is dropped, and whole sets travel for little more than the links.
+    """
+    return _compared(docs, _compared(docs, pairs, n, num, den, True), n, num, den, False)
+
+
+def _compared(
+    docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, short: bool
+) -> DataFrame:
+    """The pairs whose sets, whole or ``short``, share enough."""
     pairs = stored(pairs)
     # A bit map of fixed size tells the documents whose sets are asked for, so that texts
     # are never shuffled; a set that is sent without need meets no pair.
@@ -187,13 +210,15 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> Da
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
     ids = docs.schema["doc_id"]
+    kind = np.uint16 if short else np.uint64
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(2).to_numpy().astype(np.uint64)
             asked = (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
             batch = batch.filter(pa.array(asked.astype(bool)))
-            sets = [shingles(t.as_py(), n).tobytes() for t in batch.column(1)]
+            sets = (shingles(t.as_py(), n) for t in batch.column(1))
+            sets = [(_short(v) if short else v).tobytes() for v in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "items"])
 
@@ -201,8 +226,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> Da
         for batch in batches:
             keep = []
             for left, right in zip(batch.column("ia"), batch.column("ib"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = (np.frombuffer(v.as_buffer(), kind) for v in (left, right))
+                shared = _shared(x, y)
                 keep.append(den * shared >= num * (len(x) + len(y) - shared))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays(

@@ -38,8 +38,8 @@ from pyspark.sql.window import Window
 from .common import sequence_hashes, stored, word_hashes
 from .components import components
 
-BLOCK = 4_000_000  # n-grams counted together
-OFTEN = 6  # occurrences within a block that are reported
+BLOCK = 2_000_000  # n-grams counted together
+OFTEN = 3  # occurrences within a block that are reported
 FREQUENT = 1 << 18  # n-grams ordered by their number, a broadcast of 4 MB
 RANGES = 64  # ranges of the suffix filter
 ASKED_BITS = 1 << 26  # bits of the map of documents to compare, 8 MB

@@ -24,13 +24,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# Encoded pieces remembered per Python worker; older ones are dropped beyond that.
-REMEMBERED = 500_000
+# Encoded pieces remembered per Python worker; those not asked for lately are dropped beyond that.
+REMEMBERED = 700_000
 
 
 class Vocabulary:
@@ -43,25 +44,57 @@ class Vocabulary:
         for data, rank in ranks.items():
             self.tokens[rank] = data
         self._follows: dict[tuple[int, int], bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """Plain BPE: the adjacent pair of lowest rank is merged first, leftmost on ties."""
+    def merged(self, data: bytes, below: int | None = None) -> list[int]:
+        """Plain BPE: the adjacent pair of lowest rank is merged first, leftmost on ties.
+
+        Merges end at rank ``below``, if one is given.
+        """
+        below = len(self.tokens) if below is None else below
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
             rank, at = min(
-                (self.ranks.get(parts[i] + parts[i + 1], len(self.tokens)), i)
-                for i in range(len(parts) - 1)
+                (self.ranks.get(parts[i] + parts[i + 1], below), i) for i in range(len(parts) - 1)
             )
-            if rank == len(self.tokens):
+            if rank >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, ...] | None:
+        """The two tokens that a token is merged from; () for a byte, None if merging never gives it."""
+        if token not in self._halves:
+            data = self.tokens[token]
+            parts = tuple(self.merged(data, token)) if len(data) > 1 else ()
+            self._halves[token] = parts if len(parts) in (0, 2) else None
+        return self._halves[token]
+
     def follows(self, left: int, right: int) -> bool:
+        """Whether the bytes of two tokens are encoded as these two.
+
+        Both tokens' merges are undone from the last to the first.  At each step the parts at the
+        seam must not have merged with each other before the merge that was just undone; at equal
+        rank the left one comes first.
+        """
         if len(self._follows) > REMEMBERED // 2:
             self._follows.clear()
-        pair = self.tokens[left] + self.tokens[right]
-        known = self._follows[left, right] = self.merged(pair) == [left, right]
+        a, b, limit, known = left, right, len(self.tokens), None
+        while known is None:
+            of_a, of_b = self.halves(a), self.halves(b)
+            if (
+                of_a is None
+                or of_b is None
+                or self.ranks.get(self.tokens[a] + self.tokens[b], limit) < limit
+            ):
+                known = False
+            elif of_a and (a > b or not of_b):
+                limit, a = a, of_a[1]
+            elif of_b:
+                limit, b = b + 1, of_b[0]
+            else:
+                known = True
+        self._follows[left, right] = known
         return known
 
     def fill(self, data: bytes, last: list[int], stop: int) -> None:
@@ -73,6 +106,8 @@ class Vocabulary:
                 if token is None:
                     continue
                 if not start:
+                    if self.halves(token) is None:
+                        continue
                     break
                 pair = known((last[start - 1], token))
                 if pair or (pair is None and self.follows(last[start - 1], token)):
@@ -124,23 +159,33 @@ class PrefixTable:
 
 
 class Pieces(dict):
-    """Ids of pieces as 32-bit integers, found on first use; bounded in number and in size."""
+    """Ids of pieces as 32-bit integers, found on first use; bounded in number and in size.
+
+    When half of the bound is reached, what is held becomes the older half, from which pieces
+    come back when they are asked for again; the half before it is dropped.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        whole = self.vocabulary.ranks.get(data)
-        found = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
-        ids = np.array(found, np.int32).tobytes()
-        if len(data) <= 256:
-            if len(self) >= REMEMBERED:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self._encoded(piece.encode())
+        if len(piece) <= 256:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
+    def _encoded(self, data: bytes) -> bytes:
+        whole = self.vocabulary.ranks.get(data)
+        found = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
+        return np.array(found, np.int32).tobytes()
+
 
 class Encoder:
     """Texts to ids and back."""
@@ -149,6 +194,7 @@ class Encoder:
         self.vocabulary = Vocabulary(ranks)
         self.pieces = regex.compile(pattern).findall
         self.known = Pieces(self.vocabulary)
+        self.bytes = pa.array(self.vocabulary.tokens, pa.binary())
 
     def packed(self, text: str | None) -> bytes:
         return b"".join(map(self.known.__getitem__, self.pieces(text or "")))
@@ -166,6 +212,22 @@ class Encoder:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
 
+    def decoded(self, lists: pa.ListArray) -> pa.BinaryArray:
+        """The bytes of every list of ids: one gather of token bytes, cut at the lists' ends."""
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        taken = self.bytes.take(lists.flatten())
+        _, ends, data = taken.buffers()
+        ends = np.frombuffer(ends, np.int32, len(taken) + 1) if len(taken) else np.zeros(1, np.int32)
+        ends = ends[np.cumsum([0, *sizes])].astype(np.int32)
+        valid = None
+        if lists.null_count:
+            bits = np.packbits(lists.is_valid().to_numpy(zero_copy_only=False), bitorder="little")
+            valid = pa.py_buffer(bits.tobytes())
+        return pa.BinaryArray.from_buffers(
+            pa.binary(), len(lists), [valid, pa.py_buffer(ends.tobytes()), data or pa.py_buffer(b"")],
+            lists.null_count,
+        )
+
 
 @lru_cache(maxsize=4)
 def _encoder(path: str, pattern: str) -> Encoder:
@@ -214,11 +276,8 @@ def decode(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(_local(ranks_path), pattern)
         for batch in batches:
-            lists = batch.column(ids)
-            column = [encoder.decode(v.values.to_numpy().tolist()) if v.is_valid else None
-                      for v in lists]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(column, pa.binary())],
+                [*batch.columns, encoder.decoded(batch.column(ids))],
                 names=[*batch.schema.names, data],
             )
 

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from tallygrid.llm import byte_bpe
 from tallygrid.llm.byte_bpe import PrefixTable, _encoder, decode, encode
 from tests.llm.conftest import documents
 
@@ -54,6 +56,31 @@ def test_edits_refill_only_what_changes(own):
         assert table.last == whole.last and filled < 400
 
 
+def test_two_tokens_follow_each_other_if_their_bytes_are_encoded_so(own):
+    rng, size = random.Random(3), len(own.vocabulary.tokens)
+    common = [own.vocabulary.ranks[x] for x in (b"a", b"aa", b"aaaa", b" the", b"th", b"e", b"in")]
+    pairs = [(rng.randrange(size), rng.randrange(size)) for _ in range(4_000)]
+    pairs += [(a, b) for a in common for b in common]
+    for _ in range(2_000):  # a token cut in two, so that a merge across the seam is likely
+        data = own.vocabulary.tokens[rng.randrange(256, size)]
+        at = rng.randint(0, len(data))
+        if data[:at] in own.vocabulary.ranks and data[at:] in own.vocabulary.ranks:
+            pairs.append((own.vocabulary.ranks[data[:at]], own.vocabulary.ranks[data[at:]]))
+    for left, right in pairs:
+        whole = own.vocabulary.tokens[left] + own.vocabulary.tokens[right]
+        assert own.vocabulary.follows(left, right) == (own.vocabulary.merged(whole) == [left, right])
+
+
+def test_pieces_asked_for_again_stay_and_the_bound_holds(own, peer, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 20)
+    known = byte_bpe.Pieces(own.vocabulary)
+    for n in range(100):
+        for piece in ("often", f"once{n}"):
+            assert np.frombuffer(known[piece], np.int32).tolist() == peer.encode_ordinary(piece)
+        assert len(known) <= 10 and len(known.older) <= 10
+        assert "often" in known or "often" in known.older
+
+
 def test_whole_tables(spark, peer):
     texts = [None, "", "  ", "Hello world", "na" * 40_000, "<|endoftext|> x", "Hello world"]
     docs = documents(spark, texts).withColumn("ids", F.lit("clash")).withColumn("decoded", F.lit(1))
@@ -65,3 +92,7 @@ def test_whole_tables(spark, peer):
     assert encode(documents(spark, []), RANKS, PATTERN).count() == 0
     nothing = spark.createDataFrame([(None,)], "ids array<int>")
     assert decode(nothing, RANKS, PATTERN).first()["decoded"] is None
+    some = [(0, [15496]), (1, None), (2, []), (3, [995, 0])]
+    lists = spark.createDataFrame(some, "k int, ids array<int>").coalesce(1)
+    found = {r["k"]: r["decoded"] for r in decode(lists, RANKS, PATTERN).collect()}
+    assert found == {k: None if v is None else peer.decode_bytes(v) for k, v in some}

@@ -9,8 +9,10 @@ The corpus is cut into blocks of documents and shards of contexts:
 
 1. Blocks send their distinct pairs with their training counts to the pairs' shards.  Shards
    draw seatings and report, for each word, how many tables serve it.
-2. The reports meet by word.  There the parent's seating is drawn, and every shard gets back,
-   in the order of its own words, the parent's customers and tables of each sample.
+2. The reports meet by word, in classes of words.  There the parent's seating is drawn; the
+   parent is one restaurant, so before each sweep the tables of all classes are added up.  Every
+   shard gets back, in the order of its own words, the parent's customers and tables of each
+   sample.
 3. Blocks send their pairs again, now with the documents they stand in.  Shards draw seatings
    against the parent, and return sums for each document that has pairs there; these are added
    up by document.
@@ -45,9 +47,10 @@ SAMPLES = 2
 SWEEPS = 2  # before each sample
 DISCOUNTS = (0.6, 0.8)  # of the parent, of the contexts
 STRENGTHS = (5.0, 1.0)
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_500_000
 BLOCK_DOCS = 60_000
-SHARD_BYTES = 24_000_000  # of text for each shard
+KEY_BITS = 64  # of the number of a pair and its document within a block
+SHARD_BYTES = 16_000_000  # of text for each shard
 FOLDS, HELD = 7, 2
 
 
@@ -114,11 +117,51 @@ class _Block:
         self.size += len(self.chains[-1])
         return self.size >= BLOCK_TOKENS or len(self.ids) >= BLOCK_DOCS
 
-    def pairs(self):
-        """Contexts, words and places (the document's number in the block)."""
-        v = np.concatenate([c[:-1] for c in self.chains])
-        w = np.concatenate([c[1:] for c in self.chains])
-        return v, w, np.repeat(np.arange(len(self.ids)), [len(c) - 1 for c in self.chains])
+    def counted(self):
+        """``(v, w, documents, place, times)``: the distinct pairs by context and word, in how many
+        documents each stands, and these documents' numbers in the block with how often.
+
+        Words are numbered within the block, so that a pair and its document are one number to sort.
+        """
+        sizes = [len(c) for c in self.chains]
+        words, code = np.unique(np.concatenate(self.chains), return_inverse=True)
+        code = code.astype(np.uint64)
+        word_bits, doc_bits = (np.uint64(max(1, int(n - 1).bit_length()))
+                               for n in (len(words), len(self.ids)))
+        inside = np.ones(len(code) - 1, bool)  # not from one document's end to the next one's
+        inside[np.cumsum(sizes)[:-1] - 1] = False
+        place = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)[:-1][inside]
+        if 2 * word_bits + doc_bits <= KEY_BITS:
+            key = code[:-1][inside] << word_bits
+            key |= code[1:][inside]
+            key <<= doc_bits
+            key |= place
+            del code, place, inside
+            key.sort()
+            start = _runs(key)
+            times = np.diff(np.append(start, len(key))).astype(np.int32)
+            key = key[start]
+            place = (key & ((np.uint64(1) << doc_bits) - np.uint64(1))).astype(np.uint16)
+            key >>= doc_bits
+            pair = _runs(key)
+            documents = np.diff(np.append(pair, len(key))).astype(np.int32)
+            key = key[pair]
+            v = words[key >> word_bits]
+            w = words[key & ((np.uint64(1) << word_bits) - np.uint64(1))]
+            return v, w, documents, place, times
+        # A very long text has so many words that their numbers do not fit beside each other.
+        v, w = code[:-1][inside], code[1:][inside]
+        order = np.lexsort((place, w, v))
+        v, w, place = v[order], w[order], place[order].astype(np.uint16)
+        start = _runs(v, w, place)
+        times = np.diff(np.append(start, len(v))).astype(np.int32)
+        v, w, place = v[start], w[start], place[start]
+        pair = _runs(v, w)
+        documents = np.diff(np.append(pair, len(v))).astype(np.int32)
+        return words[v[pair]], words[w[pair]], documents, place, times
+
+    def contexts(self) -> np.ndarray:
+        return np.concatenate([c[:-1] for c in self.chains])
 
     def training(self) -> np.ndarray:
         return np.array([not held_out(i) for i in self.ids], bool)
@@ -152,7 +195,7 @@ def hot_contexts(docs: DataFrame, shards: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            word, c = np.unique(block.pairs()[0], return_counts=True)
+            word, c = np.unique(block.contexts(), return_counts=True)
             often = c * 4 * shards >= block.size
             word, c = np.append(word[often].view(np.int64), -1), np.append(c[often], c.sum())
             yield pa.RecordBatch.from_arrays(
@@ -173,14 +216,12 @@ def _send_pairs(docs: DataFrame, plan: Plan) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            v, w, place = block.pairs()
-            learned = block.training()[place]
+            v, w, documents, place, times = block.counted()
+            first = np.cumsum(documents) - documents
+            c = np.add.reduceat(np.where(block.training()[place], times, 0), first)
             shard = plan.shard(v, w)
-            order = np.lexsort((w, v, shard))
-            v, w, shard, learned = v[order], w[order], shard[order], learned[order]
-            start = _runs(v, w)
-            c = np.add.reduceat(learned.astype(np.int64), start)
-            v, w, shard = v[start], w[start], shard[start]
+            order = np.argsort(shard, kind="stable")
+            v, w, c, shard = v[order], w[order], c[order], shard[order]
             rows = []
             for s in np.unique(shard):
                 a, b = np.searchsorted(shard, [s, s + 1])
@@ -316,28 +357,80 @@ def _rebase(parent: Parent):
     return work
 
 
-def _root(shards: int, seed: int):
+def _parent_class(part: pd.DataFrame):
+    """A class of words: the lists of its reports, its words, where the lists' words are in them,
+    their customers in the training texts, and those in the parent in each sample."""
+    lists = [_unpack(x) for x in part["w"]]
+    words, of = np.unique(np.concatenate(lists), return_inverse=True)
+    count = lambda x: np.bincount(of, x, len(words)).astype(np.int64)
+    c = count(np.concatenate([np.frombuffer(x, np.int64) for x in part["c"]]))
+    parts = [np.frombuffer(x, np.int32).reshape(SAMPLES, -1) for x in part["tables"]]
+    customers = np.stack([count(np.concatenate([p[k] for p in parts])) for k in range(SAMPLES)])
+    return lists, words, of, c, customers
+
+
+def _parent_customers(part: pd.DataFrame) -> pd.DataFrame:
+    """The known words' customers of a class, for the parent's sweeps."""
+    *_, c, customers = _parent_class(part)
+    known = c > 0
+    return pd.DataFrame([{"root": int(part["root"].iloc[0]), "known": int(known.sum()),
+                          "customers": customers[:, known].tobytes()}])
+
+
+def _parent_sweeps(customers: np.ndarray, known: int, whole, seed: list[int]) -> np.ndarray:
+    """The parent's tables of a class of words, after a sweep for each of ``whole``.
+
+    ``known`` counts the words of all classes; ``whole`` holds all their tables before each sweep.
+    """
+    if not len(customers):
+        return np.zeros(0, np.int64)
+    seating = Seating(customers, np.zeros(len(customers), np.int64), DISCOUNTS[0], STRENGTHS[0],
+                      np.random.default_rng(seed))
+    base = np.full(len(customers), 1 / (known + 1))
+    for tables in whole:
+        seating.other = tables - seating.totals()
+        seating.sweep(base)
+    return seating.tables
+
+
+def _parent_tables(classes: DataFrame, seed: int) -> tuple[int, np.ndarray]:
+    """The known words of all classes, and the parent's tables before each sweep of each sample.
+
+    One job for each sweep but the last, over the classes' customers alone.
+    """
+    known = int(classes.agg(F.sum("known")).first()[0] or 0)
+    whole = np.full((SAMPLES, 1), known, np.int64)  # at first each word has one table
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for root, packed in zip(frame["root"], frame["customers"], strict=True):
+                customers = np.frombuffer(packed, np.int64).reshape(SAMPLES, -1)
+                yield pd.DataFrame([
+                    {"k": k, "tables": int(
+                        _parent_sweeps(customers[k], known, whole[k], [seed, root, k]).sum())}
+                    for k in range(SAMPLES)])
+
+    for _ in range(SWEEPS - 1):
+        now = np.zeros((SAMPLES, 1), np.int64)
+        for k, tables in classes.mapInPandas(work, "k int, tables bigint").groupBy("k").agg(
+            F.sum("tables")
+        ).collect():
+            now[k] = tables
+        whole = np.concatenate([whole, now], axis=1)
+    return known, whole
+
+
+def _root(known_words: int, whole: np.ndarray, seed: int):
     """Step 2 for a class of words: the parent's customers and tables, back to every shard."""
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         root = int(part["root"].iloc[0])
-        lists = [_unpack(x) for x in part["w"]]
-        words, of = np.unique(np.concatenate(lists), return_inverse=True)
-        count = lambda x: np.bincount(of, x, len(words)).astype(np.int64)
-        c = count(np.concatenate([np.frombuffer(x, np.int64) for x in part["c"]]))
-        parts = [np.frombuffer(x, np.int32).reshape(SAMPLES, -1) for x in part["tables"]]
-        customers = np.stack([count(np.concatenate([p[k] for p in parts])) for k in range(SAMPLES)])
+        lists, _, of, c, customers = _parent_class(part)
         tables = np.zeros_like(customers)
         known = np.flatnonzero(c)
-        for k in range(SAMPLES if len(known) else 0):
-            # The other classes' tables are taken to be as many in each as in this one.
-            seating = Seating(customers[k][known], np.zeros(len(known), np.int64), DISCOUNTS[0],
-                              STRENGTHS[0], np.random.default_rng([seed, root, k]),
-                              other_tables=(shards - 1) * len(known))
-            base = np.full(len(known), 1 / (shards * len(known) + 1))
-            for _ in range(SWEEPS):
-                seating.sweep(base)
-            tables[k, known] = seating.tables
+        for k in range(SAMPLES):
+            tables[k, known] = _parent_sweeps(
+                customers[k][known], known_words, whole[k], [seed, root, k])
         ends = np.cumsum([len(x) for x in lists])
         rows = []
         for shard, a, b in zip(part["shard"], ends - [len(x) for x in lists], ends, strict=True):
@@ -398,18 +491,15 @@ def _send_documents(docs: DataFrame, plan: Plan) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for block in _blocks(batches):
-            v, w, place = block.pairs()
-            shard = plan.shard(v, w)
-            order = np.lexsort((place, w, v, shard))
-            v, w, place, shard = v[order], w[order], place[order], shard[order]
-            start = _runs(v, w, place)
-            times = np.diff(np.append(start, len(v)))
-            v, w, place, shard = v[start], w[start], place[start], shard[start]
+            v, w, documents, place, times = block.counted()
             learned = block.training()
             times = np.where(learned[place], times, -times)
-            pair = _runs(v, w)
-            documents = np.diff(np.append(pair, len(v)))  # of each pair
-            of_pair = shard[pair]
+            of_pair = plan.shard(v, w)
+            shard = np.repeat(of_pair.astype(np.int32), documents)
+            order = np.argsort(shard, kind="stable")
+            place, times, shard = place[order], times[order], shard[order]
+            order = np.argsort(of_pair, kind="stable")
+            v, w, documents, of_pair = v[order], w[order], documents[order], of_pair[order]
             rows = []
             for s in range(plan.shards):
                 a, b = np.searchsorted(shard, [s, s + 1])
@@ -418,9 +508,9 @@ def _send_documents(docs: DataFrame, plan: Plan) -> DataFrame:
                 if a == b and not own:
                     continue
                 rows.append({
-                    "shard": s, "block": number, "v": _pack_runs(v[pair[p:q]]), "w": _pack(w[pair[p:q]]),
-                    "places": place[a:b].astype(np.uint16).tobytes(),
-                    "times": np.concatenate([documents[p:q], times[a:b]]).astype(np.int32).tobytes(),
+                    "shard": s, "block": number, "v": _pack_runs(v[p:q]), "w": _pack(w[p:q]),
+                    "places": place[a:b].tobytes(),
+                    "times": np.concatenate([documents[p:q], times[a:b]]).tobytes(),
                     "ids": block.ids if own else None,
                     "n_tokens": [len(c) - 1 for c in block.chains] if own else None,
                     "held": (~learned).tolist() if own else None})
@@ -557,9 +647,13 @@ def score(docs: DataFrame, seed: int = 0) -> DataFrame:
             "shard", "w", "c", F.col("tables").alias("base")))
         _, whole = _whole(parts, len(plan.hot), 1, SAMPLES * SWEEPS, seed)
         reports = reports.filter("root >= 0").unionByName(
-            parts.mapInPandas(_report_hot(plan, whole, seed), schema))
+            stored(parts.mapInPandas(_report_hot(plan, whole, seed), schema)))
+    else:
+        reports = stored(reports)
+    known, tables = _parent_tables(stored(reports.groupBy("root").applyInPandas(
+        _parent_customers, "root int, known bigint, customers binary")), seed)
     reply = stored(reports.groupBy("root").applyInPandas(
-        _root(shards, seed), "root int, shard int, c binary, roots binary, served binary"))
+        _root(known, tables, seed), "root int, shard int, c binary, roots binary, served binary"))
     parent = Parent(reply, plan)
     answers = reply.filter("shard >= 0")
     if len(plan.hot):

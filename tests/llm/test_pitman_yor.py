@@ -184,3 +184,35 @@ def test_nothing_to_learn_from(spark):
     assert py.score(twice).count() == 3
     nameless = twice.withColumn("doc_id", F.lit(None).cast("bigint"))
     assert not any(r["held_out"] or r["doc_id"] for r in py.score(nameless).collect())
+
+
+@pytest.mark.parametrize("bits", [64, 0])
+def test_a_block_counts_its_pairs_and_their_documents(monkeypatch, bits):
+    monkeypatch.setattr(py, "KEY_BITS", bits)
+    texts = ["a b a b a", None, "", "b a", "a " * 300, "c", "a b a b a"]
+    block, wanted = py._Block(), Counter()
+    for i, text in enumerate(texts):
+        block.add(i, text)
+        chain = py._chain(text).tolist()
+        wanted.update((v, w, i) for v, w in zip(chain, chain[1:], strict=False))
+    v, w, documents, place, times = block.counted()
+    pairs = list(zip(v.tolist(), w.tolist(), strict=True))
+    assert pairs == sorted(set(pairs)) and len(place) == documents.sum()
+    found = {(*pairs[i], p): n for i, p, n in zip(
+        np.repeat(np.arange(len(pairs)), documents), place.tolist(), times.tolist(), strict=True)}
+    assert found == wanted
+
+
+def test_the_parent_does_not_depend_on_the_number_of_classes(spark):
+    """Its tables stay within sampling noise, however its words are dealt."""
+    customers = 1 + np.random.default_rng(4).zipf(1.5, 3_000).clip(max=2_000)
+    found = []
+    for number in (1, 40):
+        rows = [(r, len(customers[r::number]),
+                 bytearray(np.stack([customers[r::number]] * py.SAMPLES).astype(np.int64).tobytes()))
+                for r in range(number)]
+        classes = spark.createDataFrame(rows, "root int, known bigint, customers binary")
+        known, whole = py._parent_tables(classes, 7)
+        assert known == len(customers) and (whole[:, 0] == known).all()
+        found.append(whole[:, -1].mean())
+    assert abs(found[0] / found[1] - 1) < 0.03

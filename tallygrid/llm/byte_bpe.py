@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Encoded pieces remembered per Python worker; those not asked for lately are dropped beyond that.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
+# Lists of ids that are decoded by one gather.
+DECODED = 500
 
 
 class Vocabulary:
@@ -77,7 +79,7 @@ class Vocabulary:
         seam must not have merged with each other before the merge that was just undone; at equal
         rank the left one comes first.
         """
-        if len(self._follows) > REMEMBERED // 2:
+        if len(self._follows) > REMEMBERED // 4:
             self._follows.clear()
         a, b, limit, known = left, right, len(self.tokens), None
         while known is None:
@@ -176,7 +178,8 @@ class Pieces(dict):
             ids = self._encoded(piece.encode())
         if len(piece) <= 256:
             if len(self) >= REMEMBERED // 2:
-                self.older = dict(self)
+                self.older.clear()
+                self.older.update(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -276,8 +279,11 @@ def decode(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(_local(ranks_path), pattern)
         for batch in batches:
+            lists = batch.column(ids)
+            parts = [encoder.decoded(lists.slice(at, DECODED))
+                     for at in range(0, max(len(lists), 1), DECODED)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, encoder.decoded(batch.column(ids))],
+                [*batch.columns, pa.concat_arrays(parts)],
                 names=[*batch.schema.names, data],
             )
 

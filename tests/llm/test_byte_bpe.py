@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -81,6 +82,15 @@ def test_pieces_asked_for_again_stay_and_the_bound_holds(own, peer, monkeypatch)
         assert "often" in known or "often" in known.older
 
 
+def test_lists_are_decoded_alike_in_any_parts(own, peer):
+    lists = [[15496], None, [], [995, 0], None, [11, 11, 13]]
+    wanted = [None if x is None else peer.decode_bytes(x) for x in lists]
+    column = pa.array(lists, pa.list_(pa.int32()))
+    for size in (1, 2, 4, 6):
+        parts = [own.decoded(column.slice(at, size)) for at in range(0, len(lists), size)]
+        assert pa.concat_arrays(parts).to_pylist() == wanted
+
+
 def test_whole_tables(spark, peer):
     texts = [None, "", "  ", "Hello world", "na" * 40_000, "<|endoftext|> x", "Hello world"]
     docs = documents(spark, texts).withColumn("ids", F.lit("clash")).withColumn("decoded", F.lit(1))

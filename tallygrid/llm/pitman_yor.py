@@ -50,7 +50,7 @@ STRENGTHS = (5.0, 1.0)
 BLOCK_TOKENS = 1_500_000
 BLOCK_DOCS = 60_000
 KEY_BITS = 64  # of the number of a pair and its document within a block
-SHARD_BYTES = 16_000_000  # of text for each shard
+SHARD_BYTES = 12_000_000  # of text for each shard
 FOLDS, HELD = 7, 2
 
 
@@ -544,13 +544,18 @@ def _score(plan: Plan, parent: Parent, seed: int):
             np.bincount(np.repeat(np.arange(len(d)), d), np.maximum(t, 0), len(d))
             for _, t, d in blocks]).astype(np.int64) if len(v) else np.zeros(0, np.int64)
         order = np.lexsort((w, v))
-        start = _runs(v[order], w[order])
-        kind = np.empty(len(v), np.int64)
-        kind[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(v))))
+        v, w = v[order], w[order]
+        start = _runs(v, w)
+        kind = np.empty(len(v), np.int32)
+        kind[order] = np.repeat(
+            np.arange(len(start), dtype=np.int32), np.diff(np.append(start, len(v))))
         c = np.bincount(kind, own, len(start)).astype(np.int64)
-        v, w = v[order][start], w[order][start]
+        v, w = v[start], w[start]
+        del own, order, start
 
         words, of = np.unique(w, return_inverse=True)
+        of = of.astype(np.int32)
+        del w
         classes = plan.word_class(words)
         total = np.zeros(len(words), np.int64)
         served, tables = (np.zeros((SAMPLES, len(words)), np.int64) for _ in range(2))
@@ -561,20 +566,22 @@ def _score(plan: Plan, parent: Parent, seed: int):
             served[:, mine] = np.frombuffer(s_, np.int32).reshape(SAMPLES, -1)
             tables[:, mine] = np.frombuffer(r_, np.int32).reshape(SAMPLES, -1)
 
-        room = np.unique(v, return_inverse=True)[1] if len(v) else np.zeros(0, np.int64)
+        room = (np.unique(v, return_inverse=True)[1] if len(v) else np.zeros(0)).astype(np.int32)
         is_hot = plan.is_hot(v)
         guests = np.bincount(room, c).astype(np.int64)[room]
         seen, shared = np.flatnonzero((c > 0) & ~is_hot), np.flatnonzero((c > 0) & is_hot)
         hot = np.flatnonzero(is_hot)
         row = np.searchsorted(plan.hot, v[hot])
         guests[hot] = parent.guests[row]
-        probability = np.zeros(len(v))
+        where_shared = np.searchsorted(plan.hot, v[shared])
+        del v, is_hot
+        probability = np.zeros(len(c))
         for k in range(SAMPLES):
             base = parent.base(served[k], tables[k], k)[of]
             base = np.where(total[of] > 0, base, parent.unknown[k])
             # Pairs that are not in the training texts have no tables, only the parent's part.
-            opened = np.zeros(len(v))
-            eaten = np.zeros(len(v))
+            opened = np.zeros(len(c))
+            eaten = np.zeros(len(c))
             if len(seen):
                 rooms, room_of = np.unique(room[seen], return_inverse=True)
                 seating = Seating(c[seen], room_of, DISCOUNTS[1], STRENGTHS[1],
@@ -585,23 +592,25 @@ def _score(plan: Plan, parent: Parent, seed: int):
                 by_room[rooms] = seating.totals()
                 opened = by_room[room]
                 eaten[seen] = seating.tables
+                del seating, rooms, room_of, by_room
             if len(shared):
                 *_, eaten[shared] = _sweeps(
-                    c[shared], np.searchsorted(plan.hot, v[shared]), base[shared],
+                    c[shared], where_shared, base[shared],
                     parent.opened[k, :SWEEPS], [seed, shard, k])
             opened[hot] = parent.opened[k, SWEEPS, row]
             p = (c - DISCOUNTS[1] * eaten + (STRENGTHS[1] + DISCOUNTS[1] * opened) * base) / (
                 STRENGTHS[1] + guests)
             probability += p / SAMPLES
-        score = np.log10(probability)[kind]
-        base10 = np.log10((total + 1) / (parent.tokens + parent.words + 1))[of][kind]
-        known = (total > 0)[of][kind]
+        score = np.log10(probability)
+        base10 = np.log10((total + 1) / (parent.tokens + parent.words + 1))[of]
+        known = (total > 0)[of]
+        del probability, of, room, guests, c
 
         out, at = [], 0
         for (place, times, documents), ids, n_tokens, held, block in zip(
             blocks, sent["ids"], sent["n_tokens"], sent["held"], sent["block"], strict=True
         ):
-            pair = at + np.repeat(np.arange(len(documents)), documents)
+            pair = np.repeat(kind[at:at + len(documents)], documents)
             at += len(documents)
             there, of_place = np.unique(place, return_inverse=True)
             add = lambda x: np.bincount(of_place, x[pair] * np.abs(times), len(there))  # noqa: E731, B023

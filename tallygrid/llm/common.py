@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -17,12 +19,17 @@ END = np.uint64(0xD6E8FEB86659FD93)  # stands for the end of a text
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: the one that ``spark.checkpoint.dir`` names.
 
-    Only a session that names none, as in tests on one machine, gets a temporary one.
+    Only a session on one machine that names none, as in tests, gets a temporary one; on a
+    cluster, whose executors could not read it, that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not folder and current.isDefined():
+        folder = current.get()
     if not folder:
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if not current.isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -34,6 +41,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def row_key(*columns: str) -> Column:
+    """A 64-bit number that tells rows with different values of ``columns`` apart; NULL is a value."""
+    parts = [p for k, c in enumerate(columns) for p in (F.lit(k), F.col(c))]
+    return F.xxhash64(*parts)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z in lower case, as UTF-8."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

@@ -7,7 +7,8 @@ Only built-in expressions are used; the work is one map over the rows.
 
 Defined cases: a NULL text measures like an empty one (no words, so it fails ``few_words``);
 a NULL id is kept; repeated rows are judged one by one; an empty table gives an empty ledger;
-columns whose names the ledger needs are replaced, all others pass.  Words are compared by
+columns named like a measurement or ``failures`` are replaced by ``measure`` and ``ledger``,
+all others pass; ``apply_policy`` gives back every column as it came.  Words are compared by
 64-bit hashes of three-word windows.
 """
 
@@ -18,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 SPACE = r"\x20\x09-\x0D"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
             "n_upper")
@@ -73,35 +76,36 @@ def _repeat_words(words: Column, hashes: Column) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns ``MEASURES`` (bigint), each text read whole."""
     value = F.coalesce(F.col(text), F.lit(""))
-    kept = [c for c in docs.columns if c not in MEASURES]
+    kept = [c for c in docs.columns if c.lower() not in MEASURES]
+    words, lines, n, hashes = unused(docs, "_words", "_lines", "_n", "_hashes")
     staged = (
         docs.select(*kept)
-        .withColumn("_words", F.regexp_extract_all(value, F.lit(f"([^{SPACE}]+)")))
+        .withColumn(words, F.regexp_extract_all(value, F.lit(f"([^{SPACE}]+)")))
         .withColumn(
-            "_lines",
+            lines,
             F.filter(F.split(value, "\n", -1), lambda line: line.rlike(f"[^{SPACE}]")),
         )
-        .withColumn("_n", F.size("_words"))
+        .withColumn(n, F.size(words))
         .withColumn(
-            "_hashes",
+            hashes,
             F.when(
-                F.col("_n") >= 3,
+                F.col(n) >= 3,
                 F.transform(
-                    F.sequence(F.lit(0), F.col("_n") - 3),
+                    F.sequence(F.lit(0), F.col(n) - 3),
                     lambda i: F.xxhash64(
-                        F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)
+                        F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)
                     ),
                 ),
             ).otherwise(F.array().cast("array<bigint>")),
         )
     )
     values = {
-        "n_words": F.col("_n"),
-        "word_chars": F.char_length(F.array_join("_words", "")),
+        "n_words": F.col(n),
+        "word_chars": F.char_length(F.array_join(words, "")),
         "n_symbols": F.regexp_count(value, F.lit(r"[#*$%&|<>]")),
-        "n_lines": F.size("_lines"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": _repeat_words(F.col("_words"), F.col("_hashes")),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": _repeat_words(F.col(words), F.col(hashes)),
         "n_upper": F.regexp_count(value, F.lit(r"\p{Lu}")),
     }
     # A generator keeps the optimizer from copying these expressions into later filters.
@@ -129,7 +133,8 @@ def passes(policy: str, failures: str = "failures") -> Column:
 
 def apply_policy(docs: DataFrame, policy: str = "v3", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with the columns of ``docs``."""
-    own = {c: f"_own_{c}" for c in docs.columns if c in (*MEASURES, "failures")}
+    clash = [c for c in docs.columns if c.lower() in (*MEASURES, "failures")]
+    own = dict(zip(clash, unused(docs, *[f"_own_{c}" for c in clash]), strict=True))
     kept = ledger(docs.withColumnsRenamed(own), text).filter(passes(policy))
     return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 

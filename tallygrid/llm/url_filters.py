@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import unused
+
 HOST, DOMAIN, URL = "host", "domain", "url"
 RESULT = ("blocked", "n_entries", "lists", "first_match")
 
@@ -92,24 +94,25 @@ def judge(captures: DataFrame, intervals: DataFrame, url: str = "url", at: str =
           ) -> DataFrame:
     """``captures`` with ``blocked``, ``n_entries``, ``lists`` and ``first_match``."""
     rows = captures.drop(*RESULT)
+    asked_url, asked_at = unused(rows, "_url", "_at")
     by_key = intervals.groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("list", "since", "until"))).alias("_spans")
     )
     fields = [F.col(c) for c in rows.columns]
     # Distinct (URL, time) pairs are looked up, so repeated captures share their lookups.
     asked = (
-        rows.select(F.col(url).alias("_url"), F.col(at).alias("_at")).distinct()
-        .select("_url", "_at", F.explode(lookup_keys(F.col("_url"))).alias("key"))
+        rows.select(F.col(url).alias(asked_url), F.col(at).alias(asked_at)).distinct()
+        .select(asked_url, asked_at, F.explode(lookup_keys(F.col(asked_url))).alias("key"))
     )
     active = asked.join(by_key, "key").select(
-        "_url", "_at", "key",
+        asked_url, asked_at, "key",
         F.filter(
             "_spans",
-            lambda s: (s["since"] <= F.col("_at"))
-            & (s["until"].isNull() | (F.col("_at") < s["until"])),
+            lambda s: (s["since"] <= F.col(asked_at))
+            & (s["until"].isNull() | (F.col(asked_at) < s["until"])),
         ).alias("_spans"),
     ).filter(F.size("_spans") > 0)
-    found = active.groupBy("_url", "_at").agg(
+    found = active.groupBy(asked_url, asked_at).agg(
         F.sum(F.size("_spans")).cast("bigint").alias("n_entries"),
         F.array_join(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list(
@@ -118,7 +121,7 @@ def judge(captures: DataFrame, intervals: DataFrame, url: str = "url", at: str =
         F.min(F.struct(F.col("_spans")[0]["since"], F.col("key")))["key"].alias("first_match"),
     )
     joined = rows.join(
-        found, F.col(url).eqNullSafe(F.col("_url")) & F.col(at).eqNullSafe(F.col("_at")), "left"
+        found, F.col(url).eqNullSafe(F.col(asked_url)) & F.col(at).eqNullSafe(F.col(asked_at)), "left"
     )
     return joined.select(
         *fields,

@@ -74,3 +74,16 @@ def test_empty_table_and_no_python(spark):
 def test_null_columns(spark, name):
     docs = documents(spark, TEXTS).withColumn(name, F.lit(None).cast("string"))
     assert q.ledger(docs).count() == len(TEXTS)
+
+
+@pytest.mark.parametrize("name", ["_n", "_words", "_hashes", "_own_n_words", "N_WORDS", "Failures"])
+def test_own_columns_come_back_unchanged(spark, name):
+    docs = documents(spark, TEXTS).withColumn(name, F.lit("mine"))
+    if name == "_own_n_words":
+        docs = docs.withColumn("n_words", F.lit("mine too"))
+    kept = q.apply_policy(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert rows and {r[name] for r in rows} == {"mine"}
+    plain = q.apply_policy(documents(spark, TEXTS)).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in plain)

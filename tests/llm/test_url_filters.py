@@ -55,3 +55,13 @@ def test_keys(spark):
     row = spark.range(1).select(lookup_keys(F.lit("http://A.b.co/x/")).alias("k")).first()
     assert set(row["k"]) == {"url:A.b.co/x", "host:a.b.co", "domain:a.b.co", "domain:b.co",
                              "domain:co"}
+
+
+def test_names_of_the_lookup_may_be_columns_of_the_captures(spark):
+    captures = spark.createDataFrame(
+        [("http://x.example.com/", day(10), "u", 7, "k", "s")],
+        "url string, fetched_at date, _url string, _AT int, key string, _spans string")
+    intervals = validity(spark.createDataFrame(CHANGES, SCHEMA))
+    (row,) = judge(captures, intervals).collect()
+    assert (row["_url"], row["_AT"], row["key"], row["_spans"]) == ("u", 7, "k", "s")
+    assert row["blocked"] and row["lists"] == "a"

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import sequence_hashes, stored, word_hashes
+from .common import row_key, sequence_hashes, stored, unused, word_hashes
 from .components import components
 
 BLOCK = 2_000_000  # n-grams counted together
@@ -324,15 +324,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """``docs`` with one document of every component: the one whose id names it.
+    """``docs`` with one row of every component: the one of the smallest id.
 
-    Documents without words or without an id stay.  Of rows that repeat an id one stays,
-    the one with the smallest text hash.
+    Rows are told apart by a 64-bit key of id and text, so rows that repeat an id with other
+    texts, and rows without an id, are documents of their own; an id comes before none, and
+    the key decides between equal ids.  Of rows equal in id and text any one stays.  Rows
+    without words all stay.  Columns pass whatever their names.
     """
-    away = jaccard_components(docs, n, num, den).filter(
-        "doc_id <> component_id").select("doc_id").distinct()
-    stay = docs.join(away, "doc_id", "left_anti")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    once = stay.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
-    return stay.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    (row,) = unused(docs, "_row")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.filter(worded).withColumn(row, row_key("doc_id", "text"))
+    found = stored(jaccard_components(
+        keyed.select(F.col(row).alias("doc_id"), "text"), n, num, den).select(
+        F.col("doc_id").alias("key"), "component_id").distinct())
+    # Components of several texts, with the ids of their rows: numbers only.
+    several = found.groupBy("component_id").count().filter("count > 1").select("component_id")
+    members = found.join(several, "component_id", "left_semi").join(
+        keyed.select(F.col(row).alias("key"), "doc_id").distinct(), "key")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    members = stored(members.select("key", "component_id", order.alias("place")))
+    first = members.groupBy("component_id").agg(F.min("place")["key"].alias("key"))
+    away = members.select("key").join(first, "key", "left_anti").select(F.col("key").alias(row))
+    # Equal rows are folded before the shuffle; the join keeps their partitioning.
+    once = keyed.dropDuplicates([row]).join(away, row, "left_anti")
+    return once.select(*docs.columns).unionByName(docs.filter(~worded))

@@ -113,3 +113,16 @@ def test_large_group_of_near_copies(spark):
     want = brute(texts, 4, 85, 100)
     assert [got[i] for i in range(len(texts))] == want
     assert 3 < len({c for _, c in want}) < len(texts) - 50
+
+
+def test_rows_with_the_same_id_or_none_are_kept_by_their_texts(spark):
+    plain = [" ".join(f"{x}{i}" for i in range(30)) for x in "abcd"]
+    rows = [(1, plain[0]), (1, plain[1]), (1, plain[1]), (2, plain[1]), (None, plain[0]),
+            (None, plain[2]), (None, plain[3]), (None, plain[3]), (7, None), (7, None), (8, " ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr(
+        "doc_id", "text", "'x' AS _row", "'y' AS key")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()))
+    assert got == sorted([(1, plain[0]), (1, plain[1]), (0, plain[2]), (0, plain[3]),
+                          (7, ""), (7, ""), (8, " ")])

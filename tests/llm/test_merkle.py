@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tallygrid.llm.merkle import LEVELS, audit, content_digest, records, tree
+from tallygrid.llm.queries import op1
 
 SCHEMA = "archive string, offset bigint, body string"
 
@@ -51,3 +53,21 @@ def test_nulls_repeats_and_empty_copies(spark):
         ("long", 0, "changed")}
     assert len(places(leaves(spark, ROWS[:7]), leaves(spark, []))) == 7
     assert audit(leaves(spark, []), leaves(spark, [])).count() == 0
+
+
+def test_pages_without_ids_and_repeated_ids_are_audited(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", f"<p>page {i}</p>" * 5) for i in range(300)]
+    rows += [(None, f"http://b/{i}", f"<p>nameless {i}</p>" * 5) for i in range(300)]
+    rows += [(i, f"http://a/{i}", f"<p>again {i}</p>" * 5) for i in range(150)]
+    rows += [(4096 * 9, None, None), (None, None, "x" * 300_000)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(
+        f"{tmp_path}/pages.parquet")
+    found = op1.op1_merkle_fixity(spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    asked = duck.execute(op1.ORACLES["op1_merkle_fixity"])
+    names = [c[0] for c in asked.description]
+    expected = sorted(map(str, asked.fetchall()))
+    got = found.select(*names).collect()
+    assert sorted(str(tuple(r)) for r in got) == expected
+    assert {r["fault"] for r in got if r["archive"] < 0} == {"missing", "changed"}

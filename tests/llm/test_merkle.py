@@ -71,3 +71,10 @@ def test_pages_without_ids_and_repeated_ids_are_audited(spark, tmp_path):
     got = found.select(*names).collect()
     assert sorted(str(tuple(r)) for r in got) == expected
     assert {r["fault"] for r in got if r["archive"] < 0} == {"missing", "changed"}
+
+
+def test_levels_are_read_from_files(spark):
+    # a checkpoint keeps one task for every partition of every level that was written
+    a, b = (leaves(spark, [("f", 0, x)]) for x in "xy")
+    plan = audit(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "ExistingRDD" not in plan

@@ -11,6 +11,10 @@ over the tasks.  Gradients are counted in whole units of 2^-24, so sums and with
 not depend on how the rows are partitioned.  What reaches the driver are those sums, bounded
 by classes x nodes x features x bins and not by rows; it picks the splits.
 
+A matrix that is small enough for one task anyway (fewer than two shares of ``TASK_ROWS`` rows
+and models) has nothing to send: that task runs all rounds by the same code, instead of a job
+for every level.
+
 Several models train side by side over the same matrix: model ``j`` learns from the rows whose
 ``fold`` is not ``j`` and is judged on those whose ``fold`` is ``j``.  So cross-validation costs
 the passes of one model.  A model whose loss on its judged rows has not fallen for
@@ -20,7 +24,7 @@ the passes of one model.  A model whose loss on its judged rows has not fallen f
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,9 +44,10 @@ PARAMS = {
 }
 UNIT = float(1 << 24)
 # Rounds whose trees are walked anew in every pass before margins are written down.
-PENDING = 20
-# Rows that a task of the matrix should have at least.
+PENDING = 4
+# Rows times models that a task of the matrix should have at most, and at least.
 TASK_ROWS = 50_000
+LEAST_ROWS = 10_000
 # Up to so many tasks send their sums straight to the driver.
 FEW_TASKS = 32
 
@@ -80,8 +85,11 @@ class Trees:
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         """Summed leaf values ``[row, class]`` of binned rows."""
+        return self.added(np.zeros((len(x), self.feature.shape[1])), x)
+
+    def added(self, total: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """``total`` with the leaf values of binned rows, added tree by tree."""
         rounds, classes, _ = self.feature.shape
-        total = np.zeros((len(x), classes))
         for r in range(rounds):
             for k in range(classes):
                 at = places(x, self.feature[r, k], self.cut[r, k], self.depth)
@@ -225,67 +233,104 @@ def binned(
     return source.mapInArrow(packed, "h binary, y binary, f binary, x binary").rdd.map(block)
 
 
+def _joined(blocks: Iterable[Block]) -> Iterator[Block]:
+    """The blocks of a task as one; array sums over many short ones are mostly calls."""
+    blocks = list(blocks)
+    if blocks:
+        yield tuple(map(np.concatenate, zip(*blocks, strict=True)))
+
+
 def _margins_of(block: Block, pending: Sequence[Trees]) -> np.ndarray:
     """The block's margins with those of the trees that are not written yet."""
     m = block[4].copy()
     for j, trees in enumerate(pending):
-        m[:, j] += trees.margins(block[3])
+        trees.added(m[:, j], block[3])
     return m
 
 
-def _sums(
-    matrix: RDD, n_features: int, pending: Sequence[Trees], active: Sequence[int],
+def _task_sums(
+    blocks: Iterable[Block], n_features: int, pending: Sequence[Trees], active: Sequence[int],
     grown: np.ndarray, cuts: np.ndarray, allowed: np.ndarray, level: int, round_: int,
     p: Mapping[str, float], classes: int,
-) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[float, int]]]:
-    """Gradient sums ``[tree, node, feature, bin]`` of one level, and losses on judged rows.
-
-    A task sends one array of sums; with many tasks they are added up on the way.
-    """
+) -> np.ndarray:
+    """Gradient sums of one level over the blocks of a task, then the models' losses, as one array."""
     bins, nodes = int(p["bins"]), 1 << level
     per_tree, trees = nodes * n_features * bins, len(active) * classes
+    sums = np.zeros((2, trees * per_tree + len(active)))
+    for block in blocks:
+        hashes, label, fold, x, _ = block
+        m = _margins_of(block, pending)
+        taken = drawn(hashes, round_, int(p["seed"]), p["rows"])
+        for a, j in enumerate(active):
+            chance = softmax(m[:, j])
+            if level == 0:
+                judged = fold == j
+                own = np.log(np.maximum(chance[judged, label[judged]], 1e-15))
+                sums[:, trees * per_tree + a] += -np.rint(own * UNIT).sum(), judged.sum()
+            mine = taken & (fold != j)
+            xs = x[mine]
+            g, h = gradients(chance[mine], label[mine])
+            for k in range(classes):
+                tree = a * classes + k
+                at = places(xs, grown[tree], cuts[tree], level)
+                columns = np.flatnonzero(allowed[tree])
+                slot = ((at[:, None] * n_features + columns) * bins + xs[:, columns]).ravel()
+                part = slice(tree * per_tree, (tree + 1) * per_tree)
+                for total, weight in ((sums[0], g[:, k]), (sums[1], h[:, k])):
+                    total[part] += np.bincount(
+                        slot, np.repeat(weight, len(columns)), per_tree)
+    return sums
+
+
+class _Passes:
+    """The matrix as partitions: a level is a job, and margins are written down now and then."""
+
+    def __init__(self, matrix: RDD, n_features: int):
+        self.matrix, self.n_features, self.written = matrix, n_features, 0
+
+    def sums(self, trees: Sequence[Trees], *level) -> np.ndarray:
+        """What the tasks add up; with many tasks it is added up on the way."""
+        pending, n_features = [t.part(self.written) for t in trees], self.n_features
+
+        def task(blocks: Iterator[Block]) -> Iterator[np.ndarray]:
+            yield _task_sums(blocks, n_features, pending, *level)
+
+        sent = self.matrix.mapPartitions(task)
+        few = sent.getNumPartitions() <= FEW_TASKS
+        return sent.reduce(np.add) if few else sent.treeReduce(np.add)
+
+    def begin(self, trees: Sequence[Trees], round_: int) -> None:
+        if round_ - self.written >= PENDING:
+            before, pending = self.matrix, [t.part(self.written) for t in trees]
+            self.matrix = before.map(
+                lambda block: (*block[:4], _margins_of(block, pending))
+            ).persist(StorageLevel.MEMORY_AND_DISK)
+            self.matrix.count()
+            before.unpersist()
+            self.written = round_
+
+
+class _OneTask:
+    """The blocks of a matrix that one task holds, with all margins up to date."""
+
+    def __init__(self, blocks: Iterable[Block], n_features: int):
+        self.blocks, self.n_features, self.written = list(_joined(blocks)), n_features, 0
+
+    def sums(self, trees: Sequence[Trees], *level) -> np.ndarray:
+        return _task_sums(self.blocks, self.n_features, [], *level)
 
-    def task(blocks: Iterator[Block]) -> Iterator[np.ndarray]:
-        sums = np.zeros((2, trees * per_tree + len(active)))
-        for block in blocks:
-            hashes, label, fold, x, _ = block
-            m = _margins_of(block, pending)
-            taken = drawn(hashes, round_, int(p["seed"]), p["rows"])
-            for a, j in enumerate(active):
-                chance = softmax(m[:, j])
-                if level == 0:
-                    judged = fold == j
-                    own = np.log(np.maximum(chance[judged, label[judged]], 1e-15))
-                    sums[:, trees * per_tree + a] += -np.rint(own * UNIT).sum(), judged.sum()
-                mine = taken & (fold != j)
-                xs = x[mine]
-                g, h = gradients(chance[mine], label[mine])
-                for k in range(classes):
-                    tree = a * classes + k
-                    at = places(xs, grown[tree], cuts[tree], level)
-                    columns = np.flatnonzero(allowed[tree])
-                    slot = ((at[:, None] * n_features + columns) * bins + xs[:, columns]).ravel()
-                    part = slice(tree * per_tree, (tree + 1) * per_tree)
-                    for total, weight in ((sums[0], g[:, k]), (sums[1], h[:, k])):
-                        total[part] += np.bincount(
-                            slot, np.repeat(weight, len(columns)), per_tree)
-        yield sums
-
-    sent = matrix.mapPartitions(task)
-    few = sent.getNumPartitions() <= FEW_TASKS
-    total = sent.reduce(np.add) if few else sent.treeReduce(np.add)
-    shape = (trees, nodes, n_features, bins)
-    losses = {j: (a / UNIT, int(n)) for j, a, n in zip(active, *total[:, trees * per_tree :])
-              if n}
-    return total[0, : trees * per_tree].reshape(shape), \
-        total[1, : trees * per_tree].reshape(shape), losses
+    def begin(self, trees: Sequence[Trees], round_: int) -> None:
+        pending = [t.part(self.written) for t in trees]
+        self.blocks = [(*block[:4], _margins_of(block, pending)) for block in self.blocks]
+        self.written = round_
 
 
 def _grow(
-    matrix: RDD, n_features: int, pending: Sequence[Trees], active: Sequence[int], round_: int, p: Mapping[str, float], classes: int,
+    over: _Passes | _OneTask, grown_so_far: Sequence[Trees], active: Sequence[int], round_: int,
+    p: Mapping[str, float], classes: int,
 ) -> tuple[list[tuple], dict[int, tuple[float, int]]]:
     """One tree per class of every active model, and the models' losses before it."""
-    depth, trees = int(p["depth"]), len(active) * classes
+    depth, trees, n_features = int(p["depth"]), len(active) * classes, over.n_features
     feature = np.zeros((trees, (1 << depth) - 1), np.int32)
     cut = np.full((trees, (1 << depth) - 1), 255, np.uint8)
     gains = np.zeros((trees, (1 << depth) - 1))
@@ -299,10 +344,12 @@ def _grow(
     open_ = np.ones((trees, 1), bool)  # nodes of the level that may split
     losses: dict[int, tuple[float, int]] = {}
     for level in range(depth):
-        g, h, judged = _sums(matrix, n_features, pending, active, feature, cut, allowed, level,
-                             round_, p, classes)
-        losses = losses or judged
+        total = over.sums(
+            grown_so_far, active, feature, cut, allowed, level, round_, p, classes)
+        size = trees * n_features * int(p["bins"]) << level
+        g, h = total[:, :size].reshape(2, trees, 1 << level, n_features, int(p["bins"]))
         if level == 0:
+            losses = {j: (a / UNIT, int(n)) for j, a, n in zip(active, *total[:, size:]) if n}
             first = allowed.argmax(axis=1)
             root = [s[np.arange(trees), 0, first].sum(axis=1) / UNIT for s in (g, h)]
             value[:, 0] = leaf_value(root[0], root[1], p)
@@ -327,9 +374,33 @@ def _grow(
     return grown, losses
 
 
-def _written(matrix: RDD, pending: Sequence[Trees]) -> RDD:
-    """The blocks with the pending trees added to their margins."""
-    return matrix.map(lambda block: (*block[:4], _margins_of(block, pending)))
+def _all_rounds(
+    over: _Passes | _OneTask, models: int, classes: int, p: Mapping[str, float]
+) -> list[tuple[Trees, list[float]]]:
+    """The trees of every model, and its losses before each of them."""
+    trees = [Trees.empty(int(p["depth"]), classes) for _ in range(models)]
+    losses: list[list[float]] = [[] for _ in range(models)]
+    active = list(range(models))
+    for round_ in range(int(p["rounds"]) + 1):
+        over.begin(trees, round_)
+        last = round_ == int(p["rounds"])
+        if last and not any(losses):
+            break
+        grown, judged = _grow(
+            over, trees, active, round_, {**p, "depth": 1} if last else p, classes)
+        still = []
+        for a, j in enumerate(active):
+            if j in judged:
+                losses[j].append(judged[j][0] / judged[j][1])
+            if losses[j] and len(losses[j]) - 1 - int(np.argmin(losses[j])) >= p["patience"]:
+                continue
+            if not last:
+                trees[j].add(*grown[a])
+            still.append(j)
+        active = still
+        if last or not active:
+            break
+    return list(zip(trees, losses, strict=True))
 
 
 @dataclass
@@ -407,41 +478,23 @@ def fit_boosted(
         raise ValueError("no features")
     df = df.filter(F.col(label).isNotNull())
     cuts = quantile_cuts(df, names, int(p["bins"]))
-    rows = df.count()
-    matrix = binned(df, names, cuts, label, fold, key, models, classes)
-    matrix = matrix.coalesce(max(1, rows // TASK_ROWS)).persist(StorageLevel.MEMORY_AND_DISK)
-    trees = [Trees.empty(int(p["depth"]), classes) for _ in range(models)]
-    losses: list[list[float]] = [[] for _ in range(models)]
-    active, written = list(range(models)), 0
-    for round_ in range(int(p["rounds"]) + 1):
-        if round_ - written >= PENDING:
-            before = matrix
-            matrix = _written(before, [t.part(written) for t in trees]).persist(
-                StorageLevel.MEMORY_AND_DISK)
-            matrix.count()
-            before.unpersist()
-            written = round_
-        pending = [t.part(written) for t in trees]
-        last = round_ == int(p["rounds"])
-        if last and not any(losses):
-            break
-        grown, judged = _grow(matrix, len(names), pending, active, round_,
-                              {**p, "depth": 1} if last else p, classes)
-        still = []
-        for a, j in enumerate(active):
-            if j in judged:
-                losses[j].append(judged[j][0] / judged[j][1])
-            if losses[j] and len(losses[j]) - 1 - int(np.argmin(losses[j])) >= p["patience"]:
-                continue
-            if not last:
-                trees[j].add(*grown[a])
-            still.append(j)
-        active = still
-        if last or not active:
-            break
-    matrix.unpersist()
+    weight = df.count() * models
+    tasks, n_features = max(1, weight // TASK_ROWS), len(names)
+    if tasks == 1:
+        matrix = binned(df, names, cuts, label, fold, key, models, classes).coalesce(1)
+        fitted = matrix.mapPartitions(
+            lambda blocks: [_all_rounds(_OneTask(blocks, n_features), models, classes, p)]).first()
+    else:
+        # all cores, unless their shares of the rows get too small
+        tasks = max(tasks, min(df.sparkSession.sparkContext.defaultParallelism,
+                               weight // LEAST_ROWS))
+        matrix = binned(df.repartition(tasks), names, cuts, label, fold, key, models, classes)
+        matrix = matrix.mapPartitions(_joined).persist(StorageLevel.MEMORY_AND_DISK)
+        over = _Passes(matrix, n_features)
+        fitted = _all_rounds(over, models, classes, p)
+        over.matrix.unpersist()
     # the loss after n trees is the n-th, so the best is also how many rounds are kept
     return [
         BoostedModel(names, cuts, t.part(0, int(np.argmin(loss)) if loss else None), loss)
-        for t, loss in zip(trees, losses, strict=True)
+        for t, loss in fitted
     ]

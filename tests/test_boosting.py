@@ -138,3 +138,28 @@ def test_kinds_of_the_classifier(spark, tmp_path):
         assert sum(r["importance"] for r in top) == pytest.approx(1.0)
         scores = modeling.cv_scores(df, ["x", "y"], params=quick, kind=kind).collect()
         assert sorted(r["fold"] for r in scores) == [0, 1, 2, 3, 4]
+
+
+def test_a_matrix_of_one_task_takes_no_job_for_a_level(spark, monkeypatch):
+    df = spark.createDataFrame(cases(200), KIND)
+    p = {"rounds": 12, "child_weight": 1.0}
+
+    def fit(group):
+        spark.sparkContext.setJobGroup(group, group)
+        model = b.fit_boosted(df, ["x", "y", "z"], fold="fold", key="id", params=p)[0]
+        return model, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    one, jobs = fit("one task")
+    monkeypatch.setattr(b, "TASK_ROWS", 10)
+    many, passes = fit("many tasks")
+    assert jobs < 12 <= passes
+    for name in ("feature", "cut", "value", "gain"):
+        assert (getattr(one.trees, name) == getattr(many.trees, name)).all()
+    assert one.losses == many.losses
+
+
+def test_blocks_of_a_task_are_one():
+    blocks = [tuple(np.full(shape, i) for shape in (2, 2, 2, (2, 3), (2, 1, 3))) for i in range(4)]
+    (one,) = b._joined(blocks)
+    assert [a.shape for a in one] == [(8,), (8,), (8,), (8, 3), (8, 1, 3)]
+    assert one[0].tolist() == [0, 0, 1, 1, 2, 2, 3, 3] and not list(b._joined([]))

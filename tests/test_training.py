@@ -30,3 +30,9 @@ def test_queries_train_the_published_model(monkeypatch, name):
     with pytest.raises(_Stop):
         training.QUERIES[name](None, "")
     assert used == [modeling.PARAMS] and modeling.PARAMS["rounds"] == 800
+
+
+def test_rows_under_a_forest_lie_in_few_partitions(spark):
+    rows = spark.range(300).selectExpr("id", "double(id) x", "int(id % 3) label").repartition(40)
+    data = modeling._assembled(rows, ["x"], "label")
+    assert data.rdd.getNumPartitions() == 1 and data.count() == 300

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Encoded pieces remembered per Python worker; those not asked for lately are dropped beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 # Lists of ids that are decoded by one gather.
 DECODED = 500
 

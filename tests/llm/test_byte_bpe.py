@@ -106,3 +106,12 @@ def test_whole_tables(spark, peer):
     lists = spark.createDataFrame(some, "k int, ids array<int>").coalesce(1)
     found = {r["k"]: r["decoded"] for r in decode(lists, RANKS, PATTERN).collect()}
     assert found == {k: None if v is None else peer.decode_bytes(v) for k, v in some}
+
+
+def test_half_a_million_pieces_are_remembered(monkeypatch):
+    asked = []
+    monkeypatch.setattr(byte_bpe.Pieces, "_encoded", lambda self, data: asked.append(data) or b"")
+    known = byte_bpe.Pieces(None)
+    for i in [*range(500_000), 0]:
+        known[str(i)]
+    assert len(asked) == 500_000 and len(known) + len(known.older) <= byte_bpe.REMEMBERED + 1

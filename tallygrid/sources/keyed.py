@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 BUCKETS = 16
 BUCKET_ROWS = 2_000_000
+PART_ROWS = 100_000  # of a bucket, rewritten by one task
 # A hash that equal values share cannot be split for ever.
 MOST_BUCKETS = 1 << 16
 
@@ -140,6 +141,31 @@ class KeyedTable:
         slot = F.pmod(F.xxhash64(by), F.lit(most)).cast("bigint")
         return rows.withColumn("_slot", slot).join(table, "_slot").drop("_slot")
 
+    def _one_per_key(
+        self, rows: DataFrame, key: str, by: str, buckets: list[Bucket], largest: int
+    ) -> DataFrame:
+        """Of the rows with one key that with the largest ``_order``, beside its bucket.
+
+        The only shuffle of whole rows: by parts of buckets, which hold all rows of their keys.
+        ``largest`` is the number of rows of the largest bucket so far.
+        """
+        parts = -(-2 * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // len(buckets))
+        parts = max(parts, -(-largest // PART_ROWS))
+        values = F.struct(*[c for c in rows.columns if c != "_order"])
+        return (
+            self._placed(rows, by, buckets)
+            .select("_bucket", F.pmod(F.xxhash64(key, F.lit(0)), F.lit(parts)).alias("_part"),
+                    F.col(key).alias("_key"), values.alias("_row"), "_order")
+            .repartition("_bucket", "_part")
+            .groupBy("_bucket", "_part", "_key")
+            .agg(F.max_by("_row", F.struct("_order")).alias("_row"))
+            .select("_row.*", "_bucket")
+        )
+
+    def _refuse_null(self, rows: DataFrame, key: str) -> None:
+        if rows.filter(F.col(key).isNull()).head(1):
+            raise ValueError(f"a row has no {key}")
+
     def upsert(self, new: DataFrame, version: str | None = None) -> int:
         """Write rows over the table by key; the number of the version they are in.
 
@@ -149,25 +175,21 @@ class KeyedTable:
         old = self.manifest()
         key, by = (old.key, old.by) if old else (self.key, self.by)
         buckets = old.buckets if old else [Bucket(self.first, r) for r in range(self.first)]
-        order = F.struct(*([F.col(version)] if version else []), F.xxhash64(F.struct("*")))
-        one = (
-            new.groupBy(F.col(key).alias("_key"))
-            .agg(F.max_by(F.struct("*"), order).alias("_row")).select("_row.*")
-        )
-        # Computed once: the buckets to read depend on it.
+        rows = new.withColumn(
+            "_order", F.struct(*([F.col(version)] if version else []), F.xxhash64(F.struct("*"))))
         folder = f"data/{uuid.uuid4().hex}"
-        staged = f"{self.path}/{folder}-incoming"
-        dealt = self._placed(one, by, buckets)
-        dealt.write.parquet(staged)
-        incoming = self.spark.read.schema(dealt.schema).parquet(staged)
-        if incoming.filter(F.col(key).isNull()).head(1):
-            raise ValueError(f"a row has no {key}")
-        touched = {r[0] for r in incoming.select("_bucket").distinct().collect()}
-        merged = incoming.drop("_bucket")
+        touched = set(range(len(buckets)))
         if old:
-            rows = self._rows(old, [buckets[i] for i in sorted(touched)])
-            kept = rows.join(merged.select(key), key, "left_anti")
-            merged = kept.unionByName(merged, allowMissingColumns=True)
+            # Computed once: the buckets to read depend on it.
+            staged = f"{self.path}/{folder}-incoming"
+            dealt = self._placed(rows, by, buckets)
+            dealt.write.parquet(staged)
+            incoming = self.spark.read.schema(dealt.schema).parquet(staged)
+            self._refuse_null(incoming, key)
+            touched = {r[0] for r in incoming.select("_bucket").distinct().collect()}
+            # Rows of the table have no order, so that a new one comes before them.
+            rows = self._rows(old, [buckets[i] for i in sorted(touched)]).unionByName(
+                incoming.drop("_bucket"), allowMissingColumns=True)
         after = [b for i, b in enumerate(buckets) if i not in touched]
         written = [
             half for i in sorted(touched) for half in (
@@ -175,19 +197,19 @@ class KeyedTable:
                 if buckets[i].rows > self.bucket_rows and 2 * buckets[i].size <= MOST_BUCKETS
                 else [buckets[i]])
         ]
-        (
-            # Rebalancing gathers a bucket's rows into few files and splits a hot bucket.
-            self._placed(merged, by, after + written).hint("rebalance", "_bucket")
-            .write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
-        )
-        numbered = T.StructType([*merged.schema.fields, T.StructField("_bucket", T.IntegerType())])
-        result = self.spark.read.schema(numbered)
-        counts = dict(result.parquet(f"{self.path}/{folder}").groupBy("_bucket").count().collect())
+        largest = max((buckets[i].rows for i in touched), default=0)
+        merged = self._one_per_key(rows, key, by, after + written, largest)
+        merged.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        result = self.spark.read.schema(merged.schema).parquet(f"{self.path}/{folder}")
+        if not old:
+            self._refuse_null(result, key)
+        counts = dict(result.groupBy("_bucket").count().collect())
         for i, b in enumerate(written, len(after)):
             place = f"{folder}/_bucket={i}" if counts.get(i) else None
             after.append(Bucket(b.size, b.rest, place, counts.get(i, 0)))
         number = old.version + 1 if old else 1
-        self._switch(Manifest(number, key, by, merged.schema.jsonValue(), after))
+        schema = result.drop("_bucket").schema
+        self._switch(Manifest(number, key, by, schema.jsonValue(), after))
         self._delete(f"{folder}-incoming")
         return number
 

@@ -104,3 +104,27 @@ def test_columns_may_be_added(spark, tmp_path):
     table.upsert(frame(spark, [("a", 2, "y")]).withColumn("more", F.lit(1.5)))
     rows = {r["id"]: r["more"] for r in table.read().collect()}
     assert rows == {"a": 1.5, "b": None}
+
+
+def test_whole_rows_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """A write moves a row once, and a first one writes it once; large buckets are dealt to parts."""
+    moved, written = [], []
+    one_per_key = keyed.KeyedTable._one_per_key
+
+    def seen(self, *args):
+        merged = one_per_key(self, *args)
+        moved.append(merged._jdf.queryExecution().executedPlan().toString().count("Exchange hash"))
+        written.append([p.name for p in (tmp_path / "t").rglob("*-incoming")])
+        return merged
+
+    monkeypatch.setattr(keyed.KeyedTable, "_one_per_key", seen)
+    monkeypatch.setattr(keyed, "PART_ROWS", 1)
+    table = KeyedTable(spark, str(tmp_path / "t"), buckets=1)
+    table.upsert(frame(spark, [(f"k{i % 60}", i, "a") for i in range(80)]), version="v")
+    table.upsert(frame(spark, [(f"k{i}", -i, "b") for i in range(20, 25)]))
+    assert moved == [1, 1] and written[0] == [] and len(written[1]) == 1
+    want = {f"k{i % 60}": i for i in range(80)} | {f"k{i}": -i for i in range(20, 25)}
+    assert content(table) == want and table.read().count() == 60
+    with pytest.raises(ValueError):
+        KeyedTable(spark, str(tmp_path / "u")).upsert(frame(spark, [(None, 1, "x")]))
+    assert KeyedTable(spark, str(tmp_path / "u")).versions() == []

@@ -14,8 +14,8 @@ The corpus is cut into blocks of documents and shards of contexts:
    shard gets back, in the order of its own words, the parent's customers and tables of each
    sample.
 3. Blocks send their pairs again, now with the documents they stand in.  Shards draw seatings
-   against the parent, and return sums for each document that has pairs there; these are added
-   up by document.
+   against the parent, and answer every block with one row: the sums of its documents that have
+   pairs there, packed.  A block's answers are added up.
 
 Nothing is sampled or cut off: a word or pair seen once has its table.  Pairs of a context
 that holds more than its share of the corpus are dealt to shards by classes of the second
@@ -40,7 +40,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import END, mixed, stored, word_hashes
+from .common import END, mixed, word_hashes
+from .common import stored as kept
 from .seating import Seating
 
 SAMPLES = 2
@@ -54,6 +55,20 @@ SHARD_BYTES = 12_000_000  # of text for each shard
 FOLDS, HELD = 7, 2
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder; the shuffles that it took are deleted at once.
+
+    Spark would leave them until the driver collects its garbage.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return kept(df)
+    finally:
+        conf.set(name, before)
+
+
 def held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD
 
@@ -520,13 +535,13 @@ def _send_documents(docs: DataFrame, plan: Plan) -> DataFrame:
     return docs.mapInArrow(work, _SENT)
 
 
-_SUMS = ("block bigint, place int, doc_id bigint, held_out boolean, n_tokens bigint, "
-         "n_known bigint, base_score double, score double")
+_ANSWER = ("block bigint, shard int, places binary, known binary, base binary, score binary, "
+           "ids array<bigint>, n_tokens array<bigint>, held array<boolean>")
 
 
 def _score(plan: Plan, parent: Parent, seed: int):
     """Step 3 in a shard: seat against the parent, and sum over each document that has pairs."""
-    names = [c.split()[0] for c in _SUMS.split(", ")]
+    names = [c.split()[0] for c in _ANSWER.split(", ")]
 
     def work(sent: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         if not len(sent):
@@ -606,7 +621,7 @@ def _score(plan: Plan, parent: Parent, seed: int):
         known = (total > 0)[of]
         del probability, of, room, guests, c
 
-        out, at = [], 0
+        rows, at = [], 0
         for (place, times, documents), ids, n_tokens, held, block in zip(
             blocks, sent["ids"], sent["n_tokens"], sent["held"], sent["block"], strict=True
         ):
@@ -614,28 +629,45 @@ def _score(plan: Plan, parent: Parent, seed: int):
             at += len(documents)
             there, of_place = np.unique(place, return_inverse=True)
             add = lambda x: np.bincount(of_place, x[pair] * np.abs(times), len(there))  # noqa: E731, B023
-            out.append(pd.DataFrame({
-                "block": block, "place": there.astype(np.int32), "n_known": add(known).astype(np.int64),
-                "base_score": add(base10), "score": add(score)}))
-            if ids is not None:
-                n = len(ids)
-                out.append(pd.DataFrame({
-                    "block": block, "place": np.arange(n, dtype=np.int32),
-                    "doc_id": pd.array(list(ids), "Float64").astype("Int64")
-                    if any(x is None or x != x for x in ids) else pd.array(ids, "Int64"),
-                    "held_out": pd.array(held, "boolean"), "n_tokens": pd.array(n_tokens, "Int64"),
-                    "n_known": 0, "base_score": 0.0, "score": 0.0}))
-        return pd.concat(out).reindex(columns=names).astype(
-            {"doc_id": "Int64", "held_out": "boolean", "n_tokens": "Int64"})
+            rows.append({
+                "block": block, "shard": shard, "places": there.tobytes(),
+                "known": add(known).astype(np.int64).tobytes(), "base": add(base10).tobytes(),
+                "score": add(score).tobytes(), "ids": _ids(ids), "n_tokens": n_tokens, "held": held})
+        return pd.DataFrame(rows, columns=names)
 
     return work
 
 
+def _ids(ids) -> list[int | None] | None:
+    """A list of ids, whose NULLs pandas may have made NaN."""
+    return None if ids is None else [None if x is None or x != x else int(x) for x in ids]
+
+
+_SUMS = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, "
+         "score double")
+
+
+def _add_up(part: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a block, with the sums of all shards that have pairs of theirs."""
+    part = part.sort_values("shard")
+    own = part[part["ids"].notna()].iloc[0]
+    n = len(own["ids"])
+    known, base, score = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    for places, k, b, s in zip(
+        part["places"], part["known"], part["base"], part["score"], strict=True
+    ):
+        there = np.frombuffer(places, np.uint16)
+        known[there] += np.frombuffer(k, np.int64)
+        base[there] += np.frombuffer(b)
+        score[there] += np.frombuffer(s)
+    return pd.DataFrame({
+        "doc_id": pd.array(_ids(own["ids"]), "Int64"), "held_out": pd.array(own["held"], "boolean"),
+        "n_tokens": own["n_tokens"], "n_known": known, "base_score": base, "score": score})
+
+
 def documents(sums: DataFrame) -> DataFrame:
-    """The documents with their shards' sums added up, before the shuffle where they can be."""
-    return sums.groupBy("block", "place").agg(
-        *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")],
-        *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
+    """The documents with their sums, a row for each."""
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")
 
 
 def score(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -671,9 +703,9 @@ def score(docs: DataFrame, seed: int = 0) -> DataFrame:
             _rebase(parent), "shard int, c binary, base binary"))
         parent.guests, parent.opened = _whole(
             based, len(plan.hot), SAMPLES, SWEEPS + 1, seed + 1)
-    sums = _send_documents(docs, plan).groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(
-        _score(plan, parent, seed + 1), _SUMS)
-    rows = documents(sums)
+    scored = _send_documents(docs, plan).groupBy("shard").cogroup(
+        answers.groupBy("shard")).applyInPandas(_score(plan, parent, seed + 1), _ANSWER)
+    rows = documents(scored.groupBy("block").applyInPandas(_add_up, _SUMS))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known",
                        F.lit(parent.tokens).cast("bigint").alias("train_tokens"),
                        "base_score", "score")

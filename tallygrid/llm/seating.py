@@ -20,6 +20,7 @@ EXACT = 64
 STEPS = 6  # of a random walk in a sweep
 FIRST_STEPS = 40  # in the first sweep
 SERIES, TERMS = 1.5, 40
+SERIES_DISHES = 2_000
 
 
 def stirling(discount: float, size: int = EXACT) -> np.ndarray:
@@ -41,7 +42,8 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
         shift[low] += np.log(y[low])
         y[low] += 1
     inverse = 1 / y
-    series = inverse / 12 - inverse**3 / 360 + inverse**5 / 1260
+    square = inverse * inverse
+    series = inverse * (1 / 12 - square * (1 / 360 - square / 1260))
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - shift
 
 
@@ -62,17 +64,20 @@ def log_stirling(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
 
 def _by_series(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     first, ways = log_gamma(c - d), log_gamma(t + 1)
+    # At a pole of Gamma the term is nothing.
+    terms = [j for j in range(1, TERMS) if abs(d * j - round(d * j)) >= 1e-12]
+    column = lambda f: np.array([[f(j)] for j in terms])
+    j, sign = column(lambda j: j), column(lambda j: (-1) ** (j + math.floor(-d * j)))
+    order, pole = column(lambda j: math.lgamma(j + 1)), column(lambda j: math.lgamma(-d * j))
     total = np.zeros(len(c))
-    for j in range(1, TERMS):
-        x = -d * j
-        there = (t >= j) & (c > d * j)
-        if abs(x - round(x)) < 1e-12 or not there.any():
-            continue  # a pole of Gamma: the term is nothing
-        sign = (-1) ** (j + math.floor(x))
-        n, m = c[there], t[there]
-        size = (ways[there] - math.lgamma(j + 1) - log_gamma(m - j + 1) + log_gamma(n - d * j)
-                - first[there] - math.lgamma(x))
-        total[there] += sign * np.exp(size)
+    # All terms of some dishes at once: there may be few dishes, for which calls cost the most.
+    for at in range(0, len(c), SERIES_DISHES):
+        part = slice(at, at + SERIES_DISHES)
+        n, m = c[part], t[part]
+        there = (m >= j) & (n > d * j)
+        size = (ways[part] - order - log_gamma(np.where(there, m - j + 1, 8.0))
+                + log_gamma(np.where(there, n - d * j, 8.0)) - first[part] - pole)
+        total[part] = np.add.reduce(sign * np.where(there, np.exp(np.where(there, size, 0.0)), 0.0))
     return np.log(np.maximum(total, 1e-300)) + first - ways - t * math.log(d)
 
 

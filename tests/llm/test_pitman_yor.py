@@ -174,6 +174,15 @@ def test_shards_answer_only_for_documents_with_pairs(spark, monkeypatch):
     assert sent[0].count() <= 300 * 4  # three pairs and the document itself
 
 
+def test_some_ids_are_null(spark):
+    """NULL ids beside others."""
+    docs = documents(spark, ["a b c", "d e", None, "a c"]).coalesce(1)
+    some = docs.withColumn("doc_id", F.when(F.col("doc_id") != 1, F.col("doc_id")))
+    rows = py.score(some).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == ["0", "2", "3", "None"]
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {0: 4, None: 3, 2: 1, 3: 3}
+
+
 def test_nothing_to_learn_from(spark):
     assert py.score(documents(spark, [])).count() == 0
     held = [i for i in range(60) if py.held_out(i)][:2]
@@ -216,3 +225,51 @@ def test_the_parent_does_not_depend_on_the_number_of_classes(spark):
         assert known == len(customers) and (whole[:, 0] == known).all()
         found.append(whole[:, -1].mean())
     assert abs(found[0] / found[1] - 1) < 0.03
+
+
+def test_shards_answer_a_block_with_one_row(spark, monkeypatch):
+    """However many documents share a shard, it sends a row for each block; blocks add them up."""
+    answers, calls = [], []
+    add_up, log_gamma = py._add_up, seating.log_gamma
+
+    def seen(part):
+        return add_up(part).assign(n_known=len(part))
+
+    monkeypatch.setattr(py, "documents", lambda sums: answers.append(sums) or sums)
+    monkeypatch.setattr(py, "_add_up", seen)
+    monkeypatch.setattr(py, "SHARD_BYTES", 800)
+    texts = [f"a{i} b{i} c{i} d{i} e{i}" for i in range(400)]
+    rows = py.score(documents(spark, texts).coalesce(1)).collect()
+    shards = -(-sum(len(t) for t in texts) // 800)
+    assert len(rows) == 400 and shards > 8
+    assert {r["n_known"] for r in rows} == {shards}  # here the rows of the one block
+    monkeypatch.setattr(seating, "log_gamma", lambda x: calls.append(1) or log_gamma(x))
+    seating.log_stirling(np.full(30, 500.0), np.full(30, 9.0), 0.8)
+    assert len(calls) <= 4  # not two for each term
+
+
+def test_the_series_is_that_of_single_terms(monkeypatch):
+    """The same sums, however many dishes are taken at once."""
+    c, t, d = np.array([64.0, 70, 900, 1e5]), np.array([3.0, 45, 1, 700]), 0.6
+    found = []
+    for dishes in (1, 3, 100):
+        monkeypatch.setattr(seating, "SERIES_DISHES", dishes)
+        found.append(seating._by_series(c, t, d))
+    want = []
+    for n, m in zip(c, t, strict=True):
+        terms = [(-1) ** (j + math.floor(-d * j)) * math.exp(
+            math.lgamma(m + 1) - math.lgamma(j + 1) - math.lgamma(m - j + 1)
+            + math.lgamma(n - d * j) - math.lgamma(n - d) - math.lgamma(-d * j))
+            for j in range(1, seating.TERMS) if j <= m and n > d * j and (3 * j) % 5]
+        want.append(math.log(sum(terms)) + math.lgamma(n - d) - math.lgamma(m + 1)
+                    - m * math.log(d))
+    for one in found:
+        assert np.allclose(one, want, rtol=1e-8)
+
+
+def test_shuffles_are_deleted_when_a_table_is_stored(spark, monkeypatch):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, during, keep = spark.conf.get(name), [], py.kept
+    monkeypatch.setattr(py, "kept", lambda df: during.append(spark.conf.get(name)) or keep(df))
+    table = py.stored(spark.range(50).repartition(4, "id"))
+    assert during == ["true"] and spark.conf.get(name) == before and table.count() == 50

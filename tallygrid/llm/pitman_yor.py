@@ -69,6 +69,15 @@ def stored(df: DataFrame) -> DataFrame:
         conf.set(name, before)
 
 
+def _delete(table: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    jvm = table.sparkSession._jvm
+    conf = table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for file in table.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(conf).delete(path, False)
+
+
 def held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD
 
@@ -139,7 +148,7 @@ class _Block:
         Words are numbered within the block, so that a pair and its document are one number to sort.
         """
         sizes = [len(c) for c in self.chains]
-        words, code = np.unique(np.concatenate(self.chains), return_inverse=True)
+        words, code = _numbered(np.concatenate(self.chains))
         code = code.astype(np.uint64)
         word_bits, doc_bits = (np.uint64(max(1, int(n - 1).bit_length()))
                                for n in (len(words), len(self.ids)))
@@ -200,6 +209,15 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the number of each value's place among them."""
+    code, values = pd.factorize(x)
+    order = np.argsort(values)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return values[order], rank[code]
+
+
 def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema)
 
@@ -259,7 +277,7 @@ def _seat(plan: Plan, seed: int):
         v, w, c = v[order], w[order], c[order]
         start = _runs(v, w)
         v, w, c = v[start], w[start], np.add.reduceat(c, start)
-        words, of = np.unique(w, return_inverse=True)
+        words, of = _numbered(w)
         learned = np.bincount(of, c, len(words)).astype(np.int64)
         hot = plan.is_hot(v)
         # Hot contexts bring only some classes of words here, so they say nothing of frequencies.
@@ -268,7 +286,7 @@ def _seat(plan: Plan, seed: int):
         known, shared = np.flatnonzero((c > 0) & ~hot), np.flatnonzero((c > 0) & hot)
         served = np.zeros((SAMPLES, len(words)), np.int32)
         if len(known):
-            seating = Seating(c[known], np.unique(v[known], return_inverse=True)[1],
+            seating = Seating(c[known], _numbered(v[known])[1],
                               DISCOUNTS[1], STRENGTHS[1], np.random.default_rng([seed, shard]))
             for k in range(SAMPLES):
                 for _ in range(SWEEPS):
@@ -376,7 +394,7 @@ def _parent_class(part: pd.DataFrame):
     """A class of words: the lists of its reports, its words, where the lists' words are in them,
     their customers in the training texts, and those in the parent in each sample."""
     lists = [_unpack(x) for x in part["w"]]
-    words, of = np.unique(np.concatenate(lists), return_inverse=True)
+    words, of = _numbered(np.concatenate(lists))
     count = lambda x: np.bincount(of, x, len(words)).astype(np.int64)
     c = count(np.concatenate([np.frombuffer(x, np.int64) for x in part["c"]]))
     parts = [np.frombuffer(x, np.int32).reshape(SAMPLES, -1) for x in part["tables"]]
@@ -489,18 +507,18 @@ class Parent:
         return own / (STRENGTHS[0] + self.customers[sample]) + self.unknown[sample]
 
 
-_SENT = ("shard int, block bigint, v binary, w binary, places binary, times binary, "
+_SENT = ("shard int, block bigint, v binary, w binary, places binary, times binary, out binary, "
          "ids array<bigint>, n_tokens array<bigint>, held array<boolean>")
 
 
 def _send_documents(docs: DataFrame, plan: Plan) -> DataFrame:
     """Step 3: a block's distinct (pair, document) with their numbers, and its documents.
 
-    Numbers of held-out documents are sent as negative ones.
+    ``out`` has a bit for each document of the block: whether it is held out.
     """
     schema = pa.schema([
         ("shard", pa.int32()), ("block", pa.int64()), ("v", pa.binary()), ("w", pa.binary()),
-        ("places", pa.binary()), ("times", pa.binary()), ("ids", pa.list_(pa.int64())),
+        ("places", pa.binary()), ("times", pa.binary()), ("out", pa.binary()), ("ids", pa.list_(pa.int64())),
         ("n_tokens", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -508,7 +526,7 @@ def _send_documents(docs: DataFrame, plan: Plan) -> DataFrame:
         for block in _blocks(batches):
             v, w, documents, place, times = block.counted()
             learned = block.training()
-            times = np.where(learned[place], times, -times)
+            out = np.packbits(~learned).tobytes()
             of_pair = plan.shard(v, w)
             shard = np.repeat(of_pair.astype(np.int32), documents)
             order = np.argsort(shard, kind="stable")
@@ -525,7 +543,7 @@ def _send_documents(docs: DataFrame, plan: Plan) -> DataFrame:
                 rows.append({
                     "shard": s, "block": number, "v": _pack_runs(v[p:q]), "w": _pack(w[p:q]),
                     "places": place[a:b].tobytes(),
-                    "times": np.concatenate([documents[p:q], times[a:b]]).tobytes(),
+                    "times": np.concatenate([documents[p:q], times[a:b]]).tobytes(), "out": out,
                     "ids": block.ids if own else None,
                     "n_tokens": [len(c) - 1 for c in block.chains] if own else None,
                     "held": (~learned).tolist() if own else None})
@@ -550,14 +568,16 @@ def _score(plan: Plan, parent: Parent, seed: int):
         v = np.concatenate([_unpack_runs(x) for x in sent["v"]])
         w = np.concatenate([_unpack(x) for x in sent["w"]])
         blocks = []
-        for places, times, pairs in zip(
-            sent["places"], sent["times"], (len(x) // 7 for x in sent["w"]), strict=True,
+        own = []
+        for places, times, held, pairs in zip(
+            sent["places"], sent["times"], sent["out"], (len(x) // 7 for x in sent["w"]), strict=True,
         ):
-            numbers = np.frombuffer(times, np.int32)
-            blocks.append((np.frombuffer(places, np.uint16), numbers[pairs:], numbers[:pairs]))
-        own = np.concatenate([
-            np.bincount(np.repeat(np.arange(len(d)), d), np.maximum(t, 0), len(d))
-            for _, t, d in blocks]).astype(np.int64) if len(v) else np.zeros(0, np.int64)
+            place, numbers = np.frombuffer(places, np.uint16), np.frombuffer(times, np.int32)
+            blocks.append((place, numbers[pairs:], numbers[:pairs]))
+            learned = np.unpackbits(np.frombuffer(held, np.uint8))[place] == 0
+            own.append(np.bincount(np.repeat(np.arange(pairs), numbers[:pairs]),
+                                   numbers[pairs:] * learned, pairs))
+        own = np.concatenate(own).astype(np.int64)
         order = np.lexsort((w, v))
         v, w = v[order], w[order]
         start = _runs(v, w)
@@ -568,7 +588,7 @@ def _score(plan: Plan, parent: Parent, seed: int):
         v, w = v[start], w[start]
         del own, order, start
 
-        words, of = np.unique(w, return_inverse=True)
+        words, of = _numbered(w)
         of = of.astype(np.int32)
         del w
         classes = plan.word_class(words)
@@ -581,7 +601,7 @@ def _score(plan: Plan, parent: Parent, seed: int):
             served[:, mine] = np.frombuffer(s_, np.int32).reshape(SAMPLES, -1)
             tables[:, mine] = np.frombuffer(r_, np.int32).reshape(SAMPLES, -1)
 
-        room = (np.unique(v, return_inverse=True)[1] if len(v) else np.zeros(0)).astype(np.int32)
+        room = _numbered(v)[1].astype(np.int32)
         is_hot = plan.is_hot(v)
         guests = np.bincount(room, c).astype(np.int64)[room]
         seen, shared = np.flatnonzero((c > 0) & ~is_hot), np.flatnonzero((c > 0) & is_hot)
@@ -628,10 +648,10 @@ def _score(plan: Plan, parent: Parent, seed: int):
             pair = np.repeat(kind[at:at + len(documents)], documents)
             at += len(documents)
             there, of_place = np.unique(place, return_inverse=True)
-            add = lambda x: np.bincount(of_place, x[pair] * np.abs(times), len(there))  # noqa: E731, B023
+            add = lambda x: np.bincount(of_place, x[pair] * times, len(there))  # noqa: E731, B023
             rows.append({
                 "block": block, "shard": shard, "places": there.tobytes(),
-                "known": add(known).astype(np.int64).tobytes(), "base": add(base10).tobytes(),
+                "known": add(known).astype(np.int32).tobytes(), "base": add(base10).tobytes(),
                 "score": add(score).tobytes(), "ids": _ids(ids), "n_tokens": n_tokens, "held": held})
         return pd.DataFrame(rows, columns=names)
 
@@ -657,7 +677,7 @@ def _add_up(part: pd.DataFrame) -> pd.DataFrame:
         part["places"], part["known"], part["base"], part["score"], strict=True
     ):
         there = np.frombuffer(places, np.uint16)
-        known[there] += np.frombuffer(k, np.int64)
+        known[there] += np.frombuffer(k, np.int32)
         base[there] += np.frombuffer(b)
         score[there] += np.frombuffer(s)
     return pd.DataFrame({
@@ -682,19 +702,20 @@ def score(docs: DataFrame, seed: int = 0) -> DataFrame:
     plan = Plan(shards, hot_contexts(docs, shards) if shards > 1 else np.zeros(0, np.uint64))
     schema = "root int, shard int, w binary, c binary, tables binary"
     reports = _send_pairs(docs, plan).groupBy("shard").applyInPandas(_seat(plan, seed), schema)
+    reports = stored(reports)
+    used = [reports]
     if len(plan.hot):
-        reports = stored(reports)
         parts = stored(reports.filter("root < 0").select(
             "shard", "w", "c", F.col("tables").alias("base")))
         _, whole = _whole(parts, len(plan.hot), 1, SAMPLES * SWEEPS, seed)
-        reports = reports.filter("root >= 0").unionByName(
-            stored(parts.mapInPandas(_report_hot(plan, whole, seed), schema)))
-    else:
-        reports = stored(reports)
+        used.append(stored(parts.mapInPandas(_report_hot(plan, whole, seed), schema)))
+        reports = reports.filter("root >= 0").unionByName(used[1])
     known, tables = _parent_tables(stored(reports.groupBy("root").applyInPandas(
         _parent_customers, "root int, known bigint, customers binary")), seed)
     reply = stored(reports.groupBy("root").applyInPandas(
         _root(known, tables, seed), "root int, shard int, c binary, roots binary, served binary"))
+    for table in used:
+        _delete(table)
     parent = Parent(reply, plan)
     answers = reply.filter("shard >= 0")
     if len(plan.hot):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -273,3 +274,20 @@ def test_shuffles_are_deleted_when_a_table_is_stored(spark, monkeypatch):
     monkeypatch.setattr(py, "kept", lambda df: during.append(spark.conf.get(name)) or keep(df))
     table = py.stored(spark.range(50).repartition(4, "id"))
     assert during == ["true"] and spark.conf.get(name) == before and table.count() == 50
+
+
+def test_tables_that_are_used_up_are_deleted(spark, monkeypatch):
+    """The reports of step 1 lie on disk no longer than the parent needs them."""
+    tables, keep = [], py.kept
+    monkeypatch.setattr(py, "kept", lambda df: tables.append(keep(df)) or tables[-1])
+    monkeypatch.setattr(py, "SHARD_BYTES", 2_000)
+    found = py.score(documents(spark, corpus()))
+    files = [f for f in tables[0].inputFiles() if os.path.exists(f.removeprefix("file:"))]
+    assert tables[0].inputFiles() and not files and found.count() == len(corpus())
+
+
+def test_values_are_numbered_in_order():
+    x = np.array([7, 2**63, 7, 0, 2**64 - 1], np.uint64)
+    for found, want in zip(py._numbered(x), np.unique(x, return_inverse=True), strict=True):
+        assert np.array_equal(found, want)
+    assert [len(y) for y in py._numbered(x[:0])] == [0, 0]

@@ -218,6 +218,11 @@ def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[order], rank[code]
 
 
+def _rooms(v: np.ndarray) -> np.ndarray:
+    """The numbers of sorted contexts, from 0."""
+    return np.cumsum(np.append([False], v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
+
+
 def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema)
 
@@ -277,7 +282,7 @@ def _seat(plan: Plan, seed: int):
         v, w, c = v[order], w[order], c[order]
         start = _runs(v, w)
         v, w, c = v[start], w[start], np.add.reduceat(c, start)
-        words, of = _numbered(w)
+        words, of = np.unique(w, return_inverse=True)
         learned = np.bincount(of, c, len(words)).astype(np.int64)
         hot = plan.is_hot(v)
         # Hot contexts bring only some classes of words here, so they say nothing of frequencies.
@@ -286,7 +291,7 @@ def _seat(plan: Plan, seed: int):
         known, shared = np.flatnonzero((c > 0) & ~hot), np.flatnonzero((c > 0) & hot)
         served = np.zeros((SAMPLES, len(words)), np.int32)
         if len(known):
-            seating = Seating(c[known], _numbered(v[known])[1],
+            seating = Seating(c[known], _rooms(v[known]),
                               DISCOUNTS[1], STRENGTHS[1], np.random.default_rng([seed, shard]))
             for k in range(SAMPLES):
                 for _ in range(SWEEPS):
@@ -394,7 +399,7 @@ def _parent_class(part: pd.DataFrame):
     """A class of words: the lists of its reports, its words, where the lists' words are in them,
     their customers in the training texts, and those in the parent in each sample."""
     lists = [_unpack(x) for x in part["w"]]
-    words, of = _numbered(np.concatenate(lists))
+    words, of = np.unique(np.concatenate(lists), return_inverse=True)
     count = lambda x: np.bincount(of, x, len(words)).astype(np.int64)
     c = count(np.concatenate([np.frombuffer(x, np.int64) for x in part["c"]]))
     parts = [np.frombuffer(x, np.int32).reshape(SAMPLES, -1) for x in part["tables"]]
@@ -588,7 +593,7 @@ def _score(plan: Plan, parent: Parent, seed: int):
         v, w = v[start], w[start]
         del own, order, start
 
-        words, of = _numbered(w)
+        words, of = np.unique(w, return_inverse=True)
         of = of.astype(np.int32)
         del w
         classes = plan.word_class(words)
@@ -601,7 +606,7 @@ def _score(plan: Plan, parent: Parent, seed: int):
             served[:, mine] = np.frombuffer(s_, np.int32).reshape(SAMPLES, -1)
             tables[:, mine] = np.frombuffer(r_, np.int32).reshape(SAMPLES, -1)
 
-        room = _numbered(v)[1].astype(np.int32)
+        room = _rooms(v).astype(np.int32)
         is_hot = plan.is_hot(v)
         guests = np.bincount(room, c).astype(np.int64)[room]
         seen, shared = np.flatnonzero((c > 0) & ~is_hot), np.flatnonzero((c > 0) & is_hot)

@@ -291,3 +291,8 @@ def test_values_are_numbered_in_order():
     for found, want in zip(py._numbered(x), np.unique(x, return_inverse=True), strict=True):
         assert np.array_equal(found, want)
     assert [len(y) for y in py._numbered(x[:0])] == [0, 0]
+
+
+def test_sorted_contexts_are_numbered():
+    assert py._rooms(np.array([3, 3, 5, 9, 9], np.uint64)).tolist() == [0, 0, 1, 2, 2]
+    assert len(py._rooms(np.zeros(0, np.uint64))) == 0

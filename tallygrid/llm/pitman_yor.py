@@ -36,10 +36,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import word_arrays
 from .common import END, mixed, word_hashes
 from .common import stored as kept
 from .seating import Seating
@@ -51,7 +53,9 @@ STRENGTHS = (5.0, 1.0)
 BLOCK_TOKENS = 1_500_000
 BLOCK_DOCS = 60_000
 KEY_BITS = 64  # of the number of a pair and its document within a block
+WORD_ROOM = 8  # bits of a 64-bit number beside a word's hash
 SHARD_BYTES = 12_000_000  # of text for each shard
+PIECE_BYTES = 300_000  # of text that is cut into words at once, which then stays in the cache
 FOLDS, HELD = 7, 2
 
 
@@ -100,9 +104,29 @@ def _pack_runs(h: np.ndarray) -> bytes:
     return np.int32(len(start)).tobytes() + times.tobytes() + _pack(h[start])
 
 
-def _unpack_runs(data: bytes) -> np.ndarray:
+def _unpack_runs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, and how often each comes."""
     n = int(np.frombuffer(data, np.int32, 1)[0])
-    return np.repeat(_unpack(data[4 + 4 * n:]), np.frombuffer(data, np.int32, n, 4))
+    return _unpack(data[4 + 4 * n:]), np.frombuffer(data, np.int32, n, 4)
+
+
+def _pairs(packed_v, packed_w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of packed rows in order, by context and word, and their places in the rows."""
+    runs = [_unpack_runs(x) for x in packed_v]
+    contexts, room = np.unique(np.concatenate([x for x, _ in runs]), return_inverse=True)
+    room = np.repeat(room.astype(np.uint64), np.concatenate([times for _, times in runs]))
+    w = np.concatenate([_unpack(x) for x in packed_w])
+    # A pair is one number to sort: its context's number and as much of its word as there is room.
+    bits = int(len(contexts) - 1).bit_length()
+    key = room << np.uint64(min(64 - bits, 63))
+    key |= w >> np.uint64(max(0, bits - WORD_ROOM))
+    order = np.argsort(key)
+    key, w = key[order], w[order]
+    if ((key[1:] == key[:-1]) & (w[1:] != w[:-1])).any():
+        w = w[np.argsort(order)]
+        order = np.lexsort((w, room))
+        w = w[order]
+    return contexts[room[order]], w, order
 
 
 def _chain(text: str | None) -> np.ndarray:
@@ -110,6 +134,14 @@ def _chain(text: str | None) -> np.ndarray:
     return np.concatenate([[END], word_hashes(text), [END]]).astype(np.uint64) >> np.uint64(8)
 
 
+def _chains(texts: pa.Array) -> list[np.ndarray]:
+    """``_chain`` of many texts at once."""
+    words, sizes = word_arrays.word_hashes(texts)
+    found = np.full(len(words) + 2 * len(texts), END)
+    found[np.arange(len(words)) + 2 * np.repeat(np.arange(len(texts)), sizes) + 1] = words
+    return np.split(found >> np.uint64(8), np.cumsum(sizes + 2)[:-1])
+
+
 class Plan:
     """Which shard a pair belongs to."""
 
@@ -124,7 +156,12 @@ class Plan:
 
     def shard(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         spread = np.where(self.is_hot(v), v + self.word_class(w), v)
-        return (mixed(spread) % np.uint64(self.shards)).astype(np.int64)
+        # Small numbers are sorted faster.
+        return (mixed(spread) % np.uint64(self.shards)).astype(np.min_scalar_type(self.shards))
+
+    def ends(self, shard: np.ndarray) -> np.ndarray:
+        """Where every shard's rows start in rows by shard, and where the last one's end."""
+        return np.append(0, np.cumsum(np.bincount(shard, minlength=self.shards)))
 
 
 class _Block:
@@ -136,9 +173,13 @@ class _Block:
         self.size = 0
 
     def add(self, doc_id, text: str | None) -> bool:
+        return self.take(doc_id, _chain(text))
+
+    def take(self, doc_id, chain: np.ndarray) -> bool:
+        """Add a document; whether the block is full."""
         self.ids.append(doc_id)
-        self.chains.append(_chain(text))
-        self.size += len(self.chains[-1])
+        self.chains.append(chain)
+        self.size += len(chain)
         return self.size >= BLOCK_TOKENS or len(self.ids) >= BLOCK_DOCS
 
     def counted(self):
@@ -194,10 +235,15 @@ class _Block:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
     block = _Block()
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if block.add(doc_id, text.as_py()):
-                yield block
-                block = _Block()
+        ids, texts = batch.columns[:2]
+        before = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        cuts = np.flatnonzero(np.diff(before // PIECE_BYTES)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+            chains = _chains(texts.slice(a, b - a)) if b > a else []
+            for doc_id, chain in zip(ids.slice(a, b - a).to_pylist(), chains, strict=True):
+                if block.take(doc_id, chain):
+                    yield block
+                    block = _Block()
     if block.ids:
         yield block
 
@@ -259,11 +305,11 @@ def _send_pairs(docs: DataFrame, plan: Plan) -> DataFrame:
             c = np.add.reduceat(np.where(block.training()[place], times, 0), first)
             shard = plan.shard(v, w)
             order = np.argsort(shard, kind="stable")
-            v, w, c, shard = v[order], w[order], c[order], shard[order]
+            v, w, c, ends = v[order], w[order], c[order], plan.ends(shard)
             rows = []
-            for s in np.unique(shard):
-                a, b = np.searchsorted(shard, [s, s + 1])
-                rows.append({"shard": int(s), "v": _pack_runs(v[a:b]), "w": _pack(w[a:b]),
+            for s in np.unique(shard).tolist():
+                a, b = ends[s], ends[s + 1]
+                rows.append({"shard": s, "v": _pack_runs(v[a:b]), "w": _pack(w[a:b]),
                              "c": c[a:b].astype(np.int32).tobytes()})
             yield _rows(rows, schema)
 
@@ -275,11 +321,8 @@ def _seat(plan: Plan, seed: int):
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         shard = int(part["shard"].iloc[0])
-        v = np.concatenate([_unpack_runs(x) for x in part["v"]])
-        w = np.concatenate([_unpack(x) for x in part["w"]])
-        c = np.concatenate([np.frombuffer(x, np.int32) for x in part["c"]]).astype(np.int64)
-        order = np.lexsort((w, v))
-        v, w, c = v[order], w[order], c[order]
+        v, w, order = _pairs(part["v"], part["w"])
+        c = np.concatenate([np.frombuffer(x, np.int32) for x in part["c"]]).astype(np.int64)[order]
         start = _runs(v, w)
         v, w, c = v[start], w[start], np.add.reduceat(c, start)
         words, of = np.unique(w, return_inverse=True)
@@ -533,15 +576,15 @@ def _send_documents(docs: DataFrame, plan: Plan) -> DataFrame:
             learned = block.training()
             out = np.packbits(~learned).tobytes()
             of_pair = plan.shard(v, w)
-            shard = np.repeat(of_pair.astype(np.int32), documents)
+            shard = np.repeat(of_pair, documents)
             order = np.argsort(shard, kind="stable")
-            place, times, shard = place[order], times[order], shard[order]
+            place, times, ends = place[order], times[order], plan.ends(shard)
             order = np.argsort(of_pair, kind="stable")
-            v, w, documents, of_pair = v[order], w[order], documents[order], of_pair[order]
+            v, w, documents, pair_ends = v[order], w[order], documents[order], plan.ends(of_pair)
             rows = []
             for s in range(plan.shards):
-                a, b = np.searchsorted(shard, [s, s + 1])
-                p, q = np.searchsorted(of_pair, [s, s + 1])
+                a, b = ends[s], ends[s + 1]
+                p, q = pair_ends[s], pair_ends[s + 1]
                 own = s == number % plan.shards
                 if a == b and not own:
                     continue
@@ -570,8 +613,7 @@ def _score(plan: Plan, parent: Parent, seed: int):
         if not len(sent):
             return pd.DataFrame(columns=names)
         shard = int(sent["shard"].iloc[0])
-        v = np.concatenate([_unpack_runs(x) for x in sent["v"]])
-        w = np.concatenate([_unpack(x) for x in sent["w"]])
+        v, w, order = _pairs(sent["v"], sent["w"])
         blocks = []
         own = []
         for places, times, held, pairs in zip(
@@ -583,8 +625,6 @@ def _score(plan: Plan, parent: Parent, seed: int):
             own.append(np.bincount(np.repeat(np.arange(pairs), numbers[:pairs]),
                                    numbers[pairs:] * learned, pairs))
         own = np.concatenate(own).astype(np.int64)
-        order = np.lexsort((w, v))
-        v, w = v[order], w[order]
         start = _runs(v, w)
         kind = np.empty(len(v), np.int32)
         kind[order] = np.repeat(
@@ -652,7 +692,11 @@ def _score(plan: Plan, parent: Parent, seed: int):
         ):
             pair = np.repeat(kind[at:at + len(documents)], documents)
             at += len(documents)
-            there, of_place = np.unique(place, return_inverse=True)
+            number = np.zeros(place.max(initial=0) + 1, np.int64)  # of documents with pairs here
+            number[place] = 1
+            there = np.flatnonzero(number).astype(np.uint16)
+            number[there] = np.arange(len(there))
+            of_place = number[place]
             add = lambda x: np.bincount(of_place, x[pair] * times, len(there))  # noqa: E731, B023
             rows.append({
                 "block": block, "shard": shard, "places": there.tobytes(),

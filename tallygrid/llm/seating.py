@@ -47,38 +47,57 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - shift
 
 
-def log_stirling(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+def log_stirling(c: np.ndarray, t: np.ndarray, discount: float,
+                 prepared: np.ndarray | None = None) -> np.ndarray:
     """log S(c, t) for many customers: a coefficient of the generating function.
 
     S is ``c! / (t! d^t)`` times the coefficient of x^c in (1 - (1-x)^d)^t.  For few tables,
     up to SERIES * c^d, the binomial series of the power is added up; for more, the
     coefficient is taken at its saddle point, which is off by a few hundredths at most.
+    ``prepared`` is ``series(c, discount)``, for callers that ask again for the same customers.
     """
-    found = np.zeros(len(c))
     few = t <= SERIES * c**discount
-    for part, way in ((few, _by_series), (~few & (t < c), _by_saddle_point)):
-        if part.any():
-            found[part] = way(c[part], t[part], discount)
+    if few.all():
+        return _by_series(c, t, discount, prepared)
+    found = np.zeros(len(c))
+    many = ~few & (t < c)
+    if few.any():
+        found[few] = _by_series(
+            c[few], t[few], discount, None if prepared is None else prepared[:, few])
+    if many.any():
+        found[many] = _by_saddle_point(c[many], t[many], discount)
     return found
 
 
-def _by_series(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
-    first, ways = log_gamma(c - d), log_gamma(t + 1)
+def series(c: np.ndarray, d: float) -> np.ndarray:
+    """What of the binomial series does not depend on the tables: log Gamma(c - d), and for each
+    term j what the j factors (t - i) / c^d are multiplied by."""
+    found = np.zeros((TERMS, len(c)))
+    found[0] = log_gamma(c - d)
     # At a pole of Gamma the term is nothing.
     terms = [j for j in range(1, TERMS) if abs(d * j - round(d * j)) >= 1e-12]
     column = lambda f: np.array([[f(j)] for j in terms])
     j, sign = column(lambda j: j), column(lambda j: (-1) ** (j + math.floor(-d * j)))
     order, pole = column(lambda j: math.lgamma(j + 1)), column(lambda j: math.lgamma(-d * j))
-    total = np.zeros(len(c))
     # All terms of some dishes at once: there may be few dishes, for which calls cost the most.
     for at in range(0, len(c), SERIES_DISHES):
         part = slice(at, at + SERIES_DISHES)
-        n, m = c[part], t[part]
-        there = (m >= j) & (n > d * j)
-        size = (ways[part] - order - log_gamma(np.where(there, m - j + 1, 8.0))
-                + log_gamma(np.where(there, n - d * j, 8.0)) - first[part] - pole)
-        total[part] = np.add.reduce(sign * np.where(there, np.exp(np.where(there, size, 0.0)), 0.0))
-    return np.log(np.maximum(total, 1e-300)) + first - ways - t * math.log(d)
+        n = c[part]
+        there = n > d * j
+        size = (log_gamma(np.where(there, n - d * j, 8.0)) - found[0, part] - pole - order
+                + j * (d * np.log(n)))
+        found[terms, part] = sign * np.where(there, np.exp(np.where(there, size, 0.0)), 0.0)
+    return found
+
+
+def _by_series(c: np.ndarray, t: np.ndarray, d: float, prepared: np.ndarray | None = None) -> np.ndarray:
+    if prepared is None:
+        prepared = series(c, d)
+    total, scale = np.zeros(len(c)), c**-d
+    for j in range(TERMS - 1, 0, -1):  # a term beyond t has a factor 0
+        total += prepared[j]
+        total *= (t - (j - 1)) * scale
+    return np.log(np.maximum(total, 1e-300)) + prepared[0] - log_gamma(t + 1) - t * math.log(d)
 
 
 def _by_saddle_point(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
@@ -154,9 +173,11 @@ class Seating:
         # Steps depend on nothing that they change, so they are as likely back as forth.
         width = 1 + np.sqrt(np.minimum(guess, c - guess + 1))
 
+        # Customers and base stay the same in all steps.
+        prepared, each, start = series(c, d), np.log(base * d), log_gamma(prior)
+
         def weight(t: np.ndarray) -> np.ndarray:
-            return (log_stirling(c, t, d) + t * np.log(base * d)
-                    + log_gamma(prior + t) - log_gamma(prior))
+            return log_stirling(c, t, d, prepared) + t * each + log_gamma(prior + t) - start
 
         now = weight(t)
         for _ in range(FIRST_STEPS if self._fresh else STEPS):

@@ -8,7 +8,9 @@ from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tallygrid.llm import pitman_yor as py
@@ -296,3 +298,66 @@ def test_values_are_numbered_in_order():
 def test_sorted_contexts_are_numbered():
     assert py._rooms(np.array([3, 3, 5, 9, 9], np.uint64)).tolist() == [0, 0, 1, 2, 2]
     assert len(py._rooms(np.zeros(0, np.uint64))) == 0
+
+
+@pytest.mark.parametrize("room", [8, -56])
+def test_pairs_of_a_shard_are_sorted_as_one_number(monkeypatch, room):
+    """In the order of contexts and words, also where a number has no room for a word."""
+    monkeypatch.setattr(py, "WORD_ROOM", room)
+    sorts, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorts.append(1) or lexsort(keys))
+    rng = np.random.default_rng(8)
+    for contexts in (1, 2, 500):
+        names, words = (rng.integers(0, 2**56, n).astype(np.uint64) for n in (contexts, 300))
+        rows = [(np.sort(rng.choice(names, 400)), rng.choice(words, 400)) for _ in range(3)]
+        v, w, order = py._pairs([py._pack_runs(v) for v, _ in rows], [py._pack(w) for _, w in rows])
+        sent = [np.concatenate(x) for x in zip(*rows, strict=True)]
+        assert (v == sent[0][order]).all() and (w == sent[1][order]).all()
+        pairs = list(zip(v.tolist(), w.tolist(), strict=True))
+        assert pairs == sorted(pairs) and sorted(order.tolist()) == list(range(1_200))
+    assert bool(sorts) == (room < 0)
+    empty = py._pairs([py._pack_runs(names[:0])], [b""])
+    assert [len(x) for x in empty] == [0, 0, 0]
+
+
+def test_words_of_many_texts_are_hashed_at_once(monkeypatch):
+    """Word by word the same hashes; only words of more than 16 bytes go to the library."""
+    texts = [" the  THE\tÄb \x0b eight_by nine_byte", None, "", " \n", "x\x00 x \x1c \x85", "y",
+             *(" ".join("q" * k + w for k in range(40)) for w in ("a", "Zz", "é"))]
+    calls, digest = [], xxhash.xxh3_64_intdigest
+    want = [py._chain(t) for t in texts]
+    monkeypatch.setattr(xxhash, "xxh3_64_digest", None)
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda w: calls.append(len(w)) or digest(w))
+    for column in (pa.array(texts), pa.array(["cut", *texts])[1:], pa.array(texts, pa.large_string())):
+        found = py._chains(column)
+        assert len(found) == len(want)
+        assert all(np.array_equal(a, b) for a, b in zip(found, want, strict=True))
+    assert calls and min(calls) > 16
+
+
+@pytest.mark.parametrize("size", [1, 40, 10**9])
+def test_blocks_do_not_depend_on_the_pieces_of_text(monkeypatch, size):
+    monkeypatch.setattr(py, "PIECE_BYTES", size)
+    monkeypatch.setattr(py, "BLOCK_TOKENS", 30)
+    texts = ["a b c", None, "", "word " * 50, "d", " e f " * 9, None]
+    ids = [1, None, 3, 4, 5, 6, 7]
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(texts[a:b], pa.string())],
+                                          ["doc_id", "text"]) for a, b in ((0, 0), (0, 5), (5, 7))]
+    blocks = list(py._blocks(iter(batches)))
+    assert [i for b in blocks for i in b.ids] == ids
+    assert [b.size for b in blocks] == [5 + 2 + 2 + 52, 3 + 20 + 2]
+    chains = [c for b in blocks for c in b.chains]
+    assert all(np.array_equal(c, py._chain(t)) for c, t in zip(chains, texts, strict=True))
+
+
+def test_steps_of_a_walk_share_the_series(monkeypatch):
+    """What depends on customers alone is computed once, not in every step."""
+    terms, series = [], seating.series
+    monkeypatch.setattr(seating, "series", lambda c, d: terms.append(len(c)) or series(c, d))
+    seats = seating.Seating(np.full(50, 500), np.arange(50), 0.8, 1.0, np.random.default_rng(1))
+    for _ in range(2):
+        seats.sweep(np.full(50, 0.01))
+    assert terms == [50, 50]
+    c, t = np.array([70.0, 900, 900, 1e7]), np.array([60.0, 2, 880, 3])
+    assert np.array_equal(seating.log_stirling(c, t, 0.6),
+                          seating.log_stirling(c, t, 0.6, series(c, 0.6)))

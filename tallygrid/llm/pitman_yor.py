@@ -114,19 +114,18 @@ def _pairs(packed_v, packed_w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs of packed rows in order, by context and word, and their places in the rows."""
     runs = [_unpack_runs(x) for x in packed_v]
     contexts, room = np.unique(np.concatenate([x for x, _ in runs]), return_inverse=True)
-    room = np.repeat(room.astype(np.uint64), np.concatenate([times for _, times in runs]))
     w = np.concatenate([_unpack(x) for x in packed_w])
     # A pair is one number to sort: its context's number and as much of its word as there is room.
     bits = int(len(contexts) - 1).bit_length()
-    key = room << np.uint64(min(64 - bits, 63))
+    left = np.uint64(min(64 - bits, 63))
+    key = np.repeat(room.astype(np.uint64) << left, np.concatenate([times for _, times in runs]))
     key |= w >> np.uint64(max(0, bits - WORD_ROOM))
     order = np.argsort(key)
     key, w = key[order], w[order]
     if ((key[1:] == key[:-1]) & (w[1:] != w[:-1])).any():
-        w = w[np.argsort(order)]
-        order = np.lexsort((w, room))
-        w = w[order]
-    return contexts[room[order]], w, order
+        again = np.lexsort((w, key))
+        w, order = w[again], order[again]
+    return contexts[key >> left], w, order
 
 
 def _chain(text: str | None) -> np.ndarray:
